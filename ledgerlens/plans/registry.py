@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import detect, params, report, views
+from . import detect, ingest, params, report, views
 from .data import PaymentData
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,7 +26,32 @@ def _on_fixture(fn, **kw) -> Query:
     return run
 
 
+def _on_load(fn, part: str | None = None) -> Query:
+    """A query over the ingest pipeline (staging -> transactions -> cases)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        loaded = ingest.load_from_testdata(spark, sf_dir)
+        return fn(getattr(loaded, part)) if part else fn(loaded)
+
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
+def _ident(df: DataFrame) -> DataFrame:
+    return df
+
+
 QUERIES: dict[str, Query] = {
+    # file 01: ingest and validation
+    "ingest_staging": lambda spark, sf_dir: ingest.staging_from_testdata(spark, sf_dir),
+    "load_transactions": _on_load(_ident, "transactions"),
+    "dq_not_null": _on_fixture(ingest.dq_not_null),
+    "dq_unique_key": _on_fixture(ingest.dq_unique_key),
+    "dq_orphans": _on_fixture(ingest.dq_orphans),
+    "load_fraud_cases": _on_load(_ident, "fraud_cases"),
+    "validate_counts": _on_load(ingest.validate_counts),
+    "fraud_distribution": _on_load(ingest.fraud_distribution, "fraud_cases"),
     # file 02: detection
     "fraud_overview": _on_fixture(detect.fraud_overview),
     "amount_threshold_sweep": _on_fixture(detect.amount_threshold_sweep),

@@ -456,3 +456,75 @@ ORACLE_SQL: dict[str, str] = {
     "view_segment_performance": VIEW_SEGMENT_PERFORMANCE,
     "detector_extras": DETECTOR_EXTRAS,
 }
+
+
+# --- ingest (file 01) ------------------------------------------------------------
+RAW_MULTIPLIERS = (7919, 104729, 1299709, 15485863, 32452843, 7, 11, 13, 17, 19, 23, 29, 31, 37,
+                   41, 43, 47, 53, 59, 61, 67, 71, 73, 79, 83, 89, 97, 101)
+_RAW_FEATS = []
+for _i, _m in enumerate(RAW_MULTIPLIERS, start=1):
+    _e = (f"CAST({_base(_m)} + CAST(event_id % 10 AS DECIMAL(2,0)) * CAST(0.0000001 AS DECIMAL(8,7)) "
+          "AS DECIMAL(15,10))")
+    if _i == 28:
+        _e = f"CASE WHEN event_id % 1000 <> 3 THEN {_e} END"
+    _RAW_FEATS.append(f"{_e} AS v{_i}")
+_VS = ", ".join(f"v{i}" for i in range(1, 29))
+RAW = [
+    f"raw0 AS (SELECT event_id, CAST({SECS} % 172800 AS INTEGER) AS time_seconds, " + ", ".join(_RAW_FEATS) + ", "
+    "CAST(CASE WHEN event_id % 499 = 0 THEN CASE event_id % 4 WHEN 0 THEN 99.99 WHEN 1 THEN 1.00 WHEN 2 THEN 0.01 ELSE 5.00 END "
+    "WHEN event_id % 50 = 7 THEN CAST(value AS DECIMAL(10,2)) * 20 ELSE CAST(value AS DECIMAL(10,2)) END AS DECIMAL(10,2)) AS amount, "
+    f"CASE WHEN {FRAUD} THEN 1 ELSE 0 END AS class FROM events)",
+    f"raw AS (SELECT time_seconds, {_VS}, amount, class FROM raw0 "
+    f"UNION ALL SELECT time_seconds, {_VS}, amount, class FROM raw0 WHERE event_id % 1000 = 1 "
+    f"UNION ALL SELECT time_seconds, {_VS}, amount, 1 - class FROM raw0 WHERE event_id % 1000 = 2)",
+]
+_ROUNDED = ", ".join(f"CAST(ROUND(v{i}, 6) AS DECIMAL(10,6)) AS v{i}" for i in range(1, 29))
+_ORDER = ", ".join(["time_seconds NULLS FIRST", "amount NULLS FIRST"]
+                   + [f"ROUND(v{i}, 6) NULLS FIRST" for i in range(1, 29)] + ["class NULLS FIRST"])
+LOADED_TX = (f"ltx AS (SELECT ROW_NUMBER() OVER (ORDER BY {_ORDER}) AS transaction_id, CAST(NULL AS BIGINT) AS customer_id, "
+             f"amount, time_seconds AS transaction_time, {_ROUNDED} FROM raw)")
+_JOIN_KEYS = " AND ".join(["t.amount = s.amount", "t.transaction_time = s.time_seconds"]
+                          + [f"t.v{i} = ROUND(s.v{i}, 6)" for i in range(1, 29)])
+LOADED_FC = ("lfc AS (SELECT DISTINCT t.transaction_id, CAST(NULL AS BIGINT) AS customer_id, "
+             "CASE WHEN s.class = 1 THEN TRUE ELSE FALSE END AS is_fraud, 'kaggle_labeled' AS detection_method, "
+             "CAST(CASE WHEN s.class = 1 THEN 0.95 ELSE 0.05 END AS DECIMAL(5,4)) AS fraud_probability "
+             f"FROM ltx t JOIN raw s ON {_JOIN_KEYS})")
+
+INGEST_STAGING = _with(*RAW) + "SELECT * FROM raw"
+LOAD_TRANSACTIONS = _with(*RAW, LOADED_TX) + "SELECT * FROM ltx"
+LOAD_FRAUD_CASES = _with(*RAW, LOADED_TX, LOADED_FC) + "SELECT * FROM lfc"
+VALIDATE_COUNTS = _with(*RAW, LOADED_TX, LOADED_FC) + """
+SELECT 'staging.raw_creditcard' AS table_name, COUNT(*) AS row_count, 'Source data' AS description FROM raw
+UNION ALL SELECT 'analytics.transactions', COUNT(*), 'Main transaction table' FROM ltx
+UNION ALL SELECT 'fraud_detection.fraud_cases', COUNT(*), 'Fraud classification table' FROM lfc"""
+FRAUD_DISTRIBUTION = _with(*RAW, LOADED_TX, LOADED_FC) + f"""
+SELECT is_fraud, COUNT(*) AS case_count, {hu('COUNT(*)', '(SELECT COUNT(*) FROM lfc)', 2, 100)} AS percentage
+FROM lfc GROUP BY is_fraud ORDER BY is_fraud"""
+
+DQ_NOT_NULL = _with() + """
+SELECT 'analytics.transactions' AS table_name, 'amount' AS column_name, COUNT(*) FILTER (WHERE amount IS NULL) AS null_count FROM tx
+UNION ALL SELECT 'analytics.transactions', 'transaction_time', COUNT(*) FILTER (WHERE transaction_time IS NULL) FROM tx
+UNION ALL SELECT 'fraud_detection.fraud_cases', 'is_fraud', COUNT(*) FILTER (WHERE is_fraud IS NULL) FROM fc"""
+DQ_UNIQUE_KEY = _with(
+    "dt AS (SELECT transaction_id, COUNT(*) AS n FROM tx GROUP BY 1 HAVING COUNT(*) > 1)",
+    "df2 AS (SELECT transaction_id, COUNT(*) AS n FROM fc GROUP BY 1 HAVING COUNT(*) > 1)",
+) + """
+SELECT 'analytics.transactions' AS table_name, 'transaction_id' AS key_column, COUNT(*) AS duplicate_keys,
+  CAST(COALESCE(SUM(n), 0) AS BIGINT) AS rows_with_duplicate_key FROM dt
+UNION ALL SELECT 'fraud_detection.fraud_cases', 'transaction_id', COUNT(*), CAST(COALESCE(SUM(n), 0) AS BIGINT) FROM df2"""
+DQ_ORPHANS = _with() + """
+SELECT 'fraud case without transaction' AS check_name,
+  (SELECT COUNT(*) FROM fc WHERE transaction_id NOT IN (SELECT transaction_id FROM tx)) AS row_count
+UNION ALL SELECT 'transaction without fraud case',
+  (SELECT COUNT(*) FROM tx WHERE transaction_id NOT IN (SELECT transaction_id FROM fc))"""
+
+ORACLE_SQL.update({
+    "ingest_staging": INGEST_STAGING,
+    "load_transactions": LOAD_TRANSACTIONS,
+    "dq_not_null": DQ_NOT_NULL,
+    "dq_unique_key": DQ_UNIQUE_KEY,
+    "dq_orphans": DQ_ORPHANS,
+    "load_fraud_cases": LOAD_FRAUD_CASES,
+    "validate_counts": VALIDATE_COUNTS,
+    "fraud_distribution": FRAUD_DISTRIBUTION,
+})
