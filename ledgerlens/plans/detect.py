@@ -153,10 +153,9 @@ def zscore_threshold_sweep(
 
 
 # --- P14 -------------------------------------------------------------------
-def zscore_outliers_top(data: PaymentData, threshold: float = C.OUTLIER_AVG_Z, limit: int = 50,
-                        features: Sequence[str] = C.ZSCORE_FEATURES) -> DataFrame:
-    """Rows whose average z exceeds the threshold, frauds first, then by the
-    rounded average z; with the dominant feature (first with the largest z)."""
+def outlier_scores(data: PaymentData, features: Sequence[str] = C.ZSCORE_FEATURES) -> DataFrame:
+    """Labelled rows with each feature's z (``<f>_z``), their mean (``_avg_z``)
+    and the dominant feature (the first whose z equals the largest)."""
     fact = data.labelled.select("transaction_id", "amount", "is_fraud", *features)
     scored = _zscored(fact, features).withColumn("_avg_z", _avg_z(features))
     zs = [F.col(f"{f}_z") for f in features]
@@ -165,7 +164,14 @@ def zscore_outliers_top(data: PaymentData, threshold: float = C.OUTLIER_AVG_Z, l
     for z, label in zip(zs[:-1], C.DOMINANT_LABELS):
         dominant = F.when(z == greatest, label) if dominant is None else dominant.when(z == greatest, label)
     dominant = dominant.otherwise(C.DOMINANT_LABELS[len(features) - 1])
-    out = scored.where(F.col("_avg_z") > F.lit(threshold)).select(
+    return scored.withColumn("dominant_outlier_feature", dominant)
+
+
+def zscore_outliers_top(data: PaymentData, threshold: float = C.OUTLIER_AVG_Z, limit: int = 50,
+                        features: Sequence[str] = C.ZSCORE_FEATURES) -> DataFrame:
+    """Rows whose average z exceeds the threshold, frauds first, then by the
+    rounded average z; with the dominant feature (first with the largest z)."""
+    out = outlier_scores(data, features).where(F.col("_avg_z") > F.lit(threshold)).select(
         "transaction_id",
         "amount",
         "is_fraud",
@@ -173,7 +179,7 @@ def zscore_outliers_top(data: PaymentData, threshold: float = C.OUTLIER_AVG_Z, l
         half_up_round(F.col("_avg_z"), 2).alias("avg_zscore"),
         F.when(F.col("_avg_z") > F.lit(threshold), C.OUTLIER_LABEL).otherwise(C.NORMAL_PATTERN_LABEL)
         .alias("outlier_classification"),
-        dominant.alias("dominant_outlier_feature"),
+        "dominant_outlier_feature",
     )
     order = [F.col("is_fraud").desc_nulls_first(), F.col("avg_zscore").desc_nulls_first(),
              F.col("transaction_id").asc_nulls_last()]

@@ -11,7 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import detect, ingest, params, report, views
+from . import detect, extras, ingest, params, report, views
+from ..streaming import score as streaming
 from .data import PaymentData
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,4 +79,10 @@ QUERIES: dict[str, Query] = {
     "view_segment_performance": _on_fixture(views.segment_performance, include_timestamp=False),
     # extensions
     "detector_extras": _on_fixture(detect.detector_extras),
+    "customer_rollup": _on_fixture(extras.customer_rollup),
+    "v3_profile": _on_fixture(extras.v3_profile),
+    "outlier_dominance": _on_fixture(extras.outlier_dominance),
+    # streaming (file stream of the events table, run to completion)
+    "stream_score": streaming.stream_score_testdata,
+    "stream_hourly_alerts": streaming.stream_hourly_alerts_testdata,
 }

@@ -45,14 +45,16 @@ _TX_FEATURES = {
 _FRAUD = "((event_id % 499 = 0 AND event_id % 7 <> 3) OR (event_type = 'error' AND event_id % 20 = 7))"
 
 
-def transactions(events: DataFrame) -> DataFrame:
-    """The standard fixture ``tx`` (FIXTURES.md §3)."""
+def transactions(events: DataFrame, keep=()) -> DataFrame:
+    """The standard fixture ``tx`` (FIXTURES.md §3); ``keep`` adds columns of
+    ``events`` (e.g. the event time for a stream)."""
     return events.select(
         F.col("event_id").alias("transaction_id"),
         F.col("user_id").alias("customer_id"),
         F.expr(_TIME).alias("transaction_time"),
         F.expr(_AMOUNT).alias("amount"),
         *[F.expr(f"CAST({e} AS DECIMAL(10,6))").alias(v) for v, e in _TX_FEATURES.items()],
+        *keep,
     )
 
 

@@ -528,3 +528,59 @@ ORACLE_SQL.update({
     "validate_counts": VALIDATE_COUNTS,
     "fraud_distribution": FRAUD_DISTRIBUTION,
 })
+
+
+# --- extensions ----------------------------------------------------------------
+CUSTOMER_ROLLUP = _with() + f"""
+SELECT customer_id, COUNT(*) AS total_transactions, CAST(SUM(amount) AS DECIMAL(20,2)) AS total_amount,
+  {hu(cents('SUM(amount)'), 'COUNT(*) * 100', 2)} AS avg_transaction_amount,
+  MAX(transaction_time) AS last_transaction_time, 50 AS risk_score, TRUE AS is_active
+FROM tx GROUP BY customer_id"""
+
+V3_PROFILE = _with(f"p AS (SELECT v3, is_fraud, {z('v3')} AS z3 FROM labelled)") + f"""
+SELECT is_fraud, COUNT(*) AS transactions,
+  {hu_signed('CAST(SUM(v3) * 1000000 AS HUGEINT)', 'COUNT(v3) * 1000000', 4)} AS v3_mean,
+  CAST(ROUND(CAST(STDDEV_SAMP(CAST(v3 AS DOUBLE)) AS DECIMAL(38,12)), 4) AS DECIMAL(18,4)) AS v3_stddev,
+  MIN(v3) AS v3_min, MAX(v3) AS v3_max,
+  COUNT(*) FILTER (WHERE z3 > 3.0) AS beyond_statistical_line
+FROM p GROUP BY is_fraud ORDER BY is_fraud"""
+
+OUTLIER_DOMINANCE = _with(FRAUD_OUTLIERS, f"sa AS (SELECT *, {_ZSUM} AS avg_z FROM fo)") + f"""
+SELECT is_fraud,
+  CASE WHEN v1_zscore = {_G} THEN 'V1_dominant' WHEN v2_zscore = {_G} THEN 'V2_dominant'
+       WHEN v3_zscore = {_G} THEN 'V3_dominant' WHEN v4_zscore = {_G} THEN 'V4_dominant'
+       ELSE 'V5_dominant' END AS dominant_outlier_feature,
+  COUNT(*) AS transactions
+FROM sa WHERE avg_z > 3.0 GROUP BY 1, 2 ORDER BY 1, 2"""
+
+ORACLE_SQL.update({
+    "customer_rollup": CUSTOMER_ROLLUP,
+    "v3_profile": V3_PROFILE,
+    "outlier_dominance": OUTLIER_DOMINANCE,
+})
+
+
+# --- streaming (run to completion over the events file) -------------------------
+_V3_SNAPSHOT = "s3 AS (SELECT AVG(CAST(v3 AS DOUBLE)) AS m, STDDEV_SAMP(CAST(v3 AS DOUBLE)) AS sd FROM labelled)"
+_SCORED_TX = ("stx AS (SELECT t.transaction_id, e.ts, t.amount, ABS(CAST(t.v3 AS DOUBLE) - s3.m) / NULLIF(s3.sd, 0) AS z3 "
+              "FROM tx t JOIN events e ON e.event_id = t.transaction_id CROSS JOIN s3)")
+
+STREAM_SCORE = _with(_V3_SNAPSHOT, _SCORED_TX) + f"""
+SELECT transaction_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS event_time, amount, {r2('z3')} AS v3_risk_score,
+  {V3_ACTION} AS recommended_action
+FROM stx WHERE z3 > 10"""
+
+STREAM_HOURLY_ALERTS = _with(_V3_SNAPSHOT, _SCORED_TX, "mx AS (SELECT MAX(ts) AS mts FROM events)") + f"""
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+  strftime(date_trunc('hour', ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end,
+  COUNT(*) AS transactions, COUNT(*) FILTER (WHERE z3 > 10) AS high_risk,
+  COUNT(*) FILTER (WHERE z3 > 15 AND amount IN {PATTERN_AMOUNTS}) AS immediate_block,
+  CAST(SUM(amount) AS DECIMAL(20,2)) AS volume
+FROM stx, mx
+GROUP BY date_trunc('hour', ts), mts
+HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= mts - INTERVAL 1 HOUR"""
+
+ORACLE_SQL.update({
+    "stream_score": STREAM_SCORE,
+    "stream_hourly_alerts": STREAM_HOURLY_ALERTS,
+})
