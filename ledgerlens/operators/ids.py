@@ -7,44 +7,64 @@ one task. Instead:
    evenly; an input-position key ends the order so that even a huge group of
    identical rows is spread over several partitions) and sort within each
    partition;
-2. write that layout to the reliable checkpoint folder — the partition
-   contents are now fixed, a lost executor re-reads files, and the two passes
-   below see the same rows;
+2. in the same job, tag every row with its partition index and its position
+   inside the partition, and write the result as a table in the cluster's
+   shared checkpoint folder — the layout is fixed from here on, the lineage
+   is cut, and a lost executor re-reads files instead of recomputing the
+   input (the input is computed once, not once per pass);
 3. count rows per partition (one small row per partition), turn the counts
    into running offsets (a window over #partitions rows), broadcast them
-   (bounded by the partition count, not the data) and add each row's position
-   inside its partition.
+   (bounded by the partition count, not the data) and add each row's
+   position.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import checkpoint_path
 
 _POS_MASK = (1 << 33) - 1  # low 33 bits of monotonically_increasing_id = row index in partition
 
 
-def assign_sequential_ids(df: DataFrame, order: Sequence[Column], id_col: str, start: int = 1,
-                          num_partitions: int | None = None) -> DataFrame:
+def materialize_ordered(df: DataFrame, order: Sequence[Column], num_partitions: int | None = None,
+                        path: str | None = None) -> DataFrame:
+    """Range-partition and sort ``df`` and write it with ``_pid`` (partition)
+    and ``_pos`` (position in partition); return the written table."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = path or checkpoint_path(spark, f"ordered/{uuid.uuid4().hex}")
     keyed = df.withColumn("_input_pos", F.monotonically_increasing_id())
     keys = [*order, F.col("_input_pos")]
-    laid_out = keyed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
-    tagged = laid_out.withColumns({
-        "_pid": F.spark_partition_id(),
-        "_pos": F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK)),
-    })
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_rows"))
+    (
+        keyed.repartitionByRange(n, *keys)
+        .sortWithinPartitions(*keys)
+        .withColumns({
+            "_pid": F.spark_partition_id(),
+            "_pos": F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK)),
+        })
+        .drop("_input_pos")
+        .write.mode("overwrite").parquet(path)
+    )
+    return spark.read.parquet(path)
+
+
+def number_ordered(ordered: DataFrame, id_col: str, start: int = 1) -> DataFrame:
+    """Ids from a table written by ``materialize_ordered``."""
+    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     return (
-        tagged.join(F.broadcast(offsets), "_pid")
+        ordered.join(F.broadcast(offsets), "_pid")
         .withColumn(id_col, F.col("_offset") + F.col("_pos") + F.lit(start))
-        .drop("_pid", "_pos", "_offset", "_input_pos")
+        .drop("_pid", "_pos", "_offset")
     )
+
+
+def assign_sequential_ids(df: DataFrame, order: Sequence[Column], id_col: str, start: int = 1,
+                          num_partitions: int | None = None, path: str | None = None) -> DataFrame:
+    return number_ordered(materialize_ordered(df, order, num_partitions, path), id_col, start)

@@ -19,6 +19,9 @@ from ..sources import fixtures
 from ..sources.testdata import read_table
 
 
+_PLANS: dict = {}
+
+
 @dataclass
 class PaymentData:
     transactions: DataFrame
@@ -27,8 +30,14 @@ class PaymentData:
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str) -> "PaymentData":
-        events = read_table(spark, sf_dir, "events")
-        return cls(fixtures.transactions(events), fixtures.fraud_cases(events))
+        """The fixture tables of a test-data folder. The lazy plans (not any
+        data) are built once per session and folder and shared by every
+        report, so each report only adds its own operators."""
+        key = (id(spark._jsparkSession), sf_dir)
+        if key not in _PLANS:
+            events = read_table(spark, sf_dir, "events")
+            _PLANS[key] = cls(fixtures.transactions(events), fixtures.fraud_cases(events), fixtures.labelled(events))
+        return _PLANS[key]
 
     @property
     def labelled(self) -> DataFrame:

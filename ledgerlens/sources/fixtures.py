@@ -58,28 +58,45 @@ def transactions(events: DataFrame, keep=()) -> DataFrame:
     )
 
 
-def fraud_cases(events: DataFrame) -> DataFrame:
-    """The standard fixture ``fc`` (FIXTURES.md §4): most transactions have one
-    case, some none and some two contradicting ones.
-
-    One scan: each event yields zero, one or two case rows through a
-    generator, instead of a union that would read ``events`` twice.
-    """
+def _case_array():
+    """Zero, one or two case structs per event."""
     label = F.expr(f"CASE WHEN {_FRAUD} THEN TRUE ELSE FALSE END")
     eid = F.col("event_id")
-    cases = F.filter(
+    return F.filter(
         F.array(
             F.struct(F.lit(True).alias("keep"), label.alias("is_fraud")),
             F.struct(F.lit(False).alias("keep"), (~label).alias("is_fraud")),
         ),
         lambda c: F.when(c["keep"], (eid % 1000) != 3).otherwise((eid % 500) == 2),
     )
-    return (
-        events.select(eid.alias("transaction_id"), F.inline(cases))
-        .select("transaction_id", "is_fraud")
+
+
+def fraud_cases(events: DataFrame) -> DataFrame:
+    """The standard fixture ``fc`` (FIXTURES.md §4): most transactions have one
+    case, some none and some two contradicting ones.
+
+    One scan: each event yields zero, one or two case rows through a
+    generator, instead of a union that would read ``events`` twice.
+    """
+    return events.select(F.col("event_id").alias("transaction_id"), F.inline(_case_array())).select(
+        "transaction_id", "is_fraud"
     )
 
 
+def labelled(events: DataFrame) -> DataFrame:
+    """``tx`` joined with ``fc`` on the transaction id, without the join.
+
+    Both fixtures are projections of the same event row (the id is the unique
+    ``event_id``), so every case row belongs to exactly one transaction row:
+    generating the case rows next to the transaction columns gives the join's
+    result in one narrow pass — no shuffle of either side. Equality with the
+    join is tested.
+    """
+    tx = transactions(events, keep=(F.inline(_case_array()),))
+    return tx.select("transaction_id", "customer_id", "transaction_time", "amount",
+                     "v1", "v2", "v3", "v4", "v5", "is_fraud")
+
+
 def raw_card_file(events: DataFrame) -> DataFrame:
     """The ingest fixture ``raw`` (FIXTURES.md §5), in the delivered file's
     column names (Time, V1..V28, Amount, Class).

@@ -137,3 +137,15 @@ def test_two_contradicting_cases_count_twice(spark):
     data = make_data(spark, [(1, 0, 10), (2, 0, 20)], [(1, True), (1, False), (2, False)])
     dash = views.executive_dashboard(data, include_timestamp=False).collect()[0]
     assert dash.total_transactions == 3 and dash.fraud_cases == 1
+
+
+def test_narrow_labelled_equals_the_join(spark):
+    from conftest import SF_SMALL
+    from ledgerlens.operators.labelled import labelled as join_labelled
+    from ledgerlens.plans.data import PaymentData
+
+    data = PaymentData.from_testdata(spark, SF_SMALL)
+    joined = join_labelled(data.transactions, data.fraud_cases)
+    narrow = data.labelled.select(*joined.columns)
+    assert narrow.count() == joined.count() == 1001
+    assert narrow.exceptAll(joined).count() == 0 and joined.exceptAll(narrow).count() == 0
