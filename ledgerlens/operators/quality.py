@@ -4,7 +4,8 @@ Parquet tables in Spark accept NULLs in NOT NULL columns and have no primary
 or foreign keys, so the constraints of the data model are checked by jobs:
 null counts (one aggregate), key uniqueness (grouped count with partial
 aggregation, so a hot key costs nothing extra) and referential integrity in
-both directions (one full outer join instead of two anti joins).
+both directions (one full outer join of per-key counts instead of two anti
+joins of raw rows).
 """
 
 from __future__ import annotations
@@ -41,13 +42,20 @@ def orphan_rows(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
 
 def referential_counts(children: DataFrame, parents: DataFrame, key: str,
                        child_name: str, parent_name: str) -> DataFrame:
-    """Two rows from one full outer join: children without a parent, and
-    parents without any child."""
-    c = children.select(key, F.lit(True).alias("_c"))
-    p = parents.select(key, F.lit(True).alias("_p"))
+    """Two rows: children whose (non-NULL) key has no parent, and parents
+    without any child.
+
+    Each side is first reduced to one row per key with its row count (partial
+    aggregation, so a key holding a large share of all rows collapses on the
+    map side); only then are the two keyed counts full-outer-joined. Joining
+    the raw rows instead would buffer every row of a hot key in one task.
+    A NULL foreign key is not a violation (as in SQL), so it is not counted.
+    """
+    c = children.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_nc"))
+    p = parents.groupBy(key).agg(F.count(F.lit(1)).alias("_np"))
     one = c.join(p, key, "full_outer").agg(
-        F.count_if(F.col("_p").isNull()).alias("_orphans"),
-        F.count_if(F.col("_c").isNull()).alias("_childless"),
+        F.coalesce(F.sum(F.when(F.col("_np").isNull(), F.col("_nc"))), F.lit(0)).alias("_orphans"),
+        F.coalesce(F.sum(F.when(F.col("_nc").isNull(), F.col("_np"))), F.lit(0)).alias("_childless"),
     )
     return rows_from_one(one, ["check_name", "row_count"], [
         (f"{child_name} without {parent_name}", F.col("_orphans")),

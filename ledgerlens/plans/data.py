@@ -33,11 +33,12 @@ class PaymentData:
         """The fixture tables of a test-data folder. The lazy plans (not any
         data) are built once per session and folder and shared by every
         report, so each report only adds its own operators."""
-        key = (id(spark._jsparkSession), sf_dir)
-        if key not in _PLANS:
+        cached = _PLANS.get(sf_dir)
+        if cached is None or cached[0] is not spark or spark.sparkContext._jsc is None:
             events = read_table(spark, sf_dir, "events")
-            _PLANS[key] = cls(fixtures.transactions(events), fixtures.fraud_cases(events), fixtures.labelled(events))
-        return _PLANS[key]
+            data = cls(fixtures.transactions(events), fixtures.fraud_cases(events), fixtures.labelled(events))
+            _PLANS[sf_dir] = cached = (spark, data)
+        return cached[1]
 
     @property
     def labelled(self) -> DataFrame:
