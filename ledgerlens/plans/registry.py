@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import detect, extras, ingest, params, report, views
 from ..streaming import score as streaming
@@ -43,7 +45,25 @@ def _ident(df: DataFrame) -> DataFrame:
     return df
 
 
-QUERIES: dict[str, Query] = {
+def engine_neutral(df: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
+    """The driver-facing form of a result: DECIMAL columns as DOUBLE (exact
+    conversion of the rounded value, identical on every engine and client),
+    always-NULL columns left out."""
+    cols = [F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
+            for f in df.schema.fields if f.name not in drop]
+    return df.select(*cols)
+
+
+def _neutral(fn: Query, drop: tuple[str, ...] = ()) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return engine_neutral(fn(spark, sf_dir), drop)
+
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
+
+
+_NATIVE: dict[str, Query] = {
     # file 01: ingest and validation
     "ingest_staging": lambda spark, sf_dir: ingest.staging_from_testdata(spark, sf_dir),
     "load_transactions": _on_load(_ident, "transactions"),
@@ -86,3 +106,9 @@ QUERIES: dict[str, Query] = {
     "stream_score": streaming.stream_score_testdata,
     "stream_hourly_alerts": streaming.stream_hourly_alerts_testdata,
 }
+
+# results with their library types (DECIMAL money and ratios)
+NATIVE_QUERIES = _NATIVE
+
+_DROPPED = {"load_transactions": ("customer_id",), "load_fraud_cases": ("customer_id",)}
+QUERIES: dict[str, Query] = {name: _neutral(fn, _DROPPED.get(name, ())) for name, fn in _NATIVE.items()}

@@ -584,3 +584,22 @@ ORACLE_SQL.update({
     "stream_score": STREAM_SCORE,
     "stream_hourly_alerts": STREAM_HOURLY_ALERTS,
 })
+
+
+# --- driver-facing output types -------------------------------------------------
+def _engine_neutral(name: str, sql: str) -> str:
+    from .output_types import DOUBLE_COLUMNS, DROPPED_COLUMNS
+
+    dbl = DOUBLE_COLUMNS.get(name, ())
+    drop = DROPPED_COLUMNS.get(name, ())
+    if not dbl and not drop:
+        return sql
+    sel = "*"
+    if drop:
+        sel += " EXCLUDE (" + ", ".join(drop) + ")"
+    if dbl:
+        sel += " REPLACE (" + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in dbl) + ")"
+    return f"SELECT {sel} FROM (\n{sql}\n) AS q"
+
+
+ORACLE_SQL = {name: _engine_neutral(name, sql) for name, sql in ORACLE_SQL.items()}
