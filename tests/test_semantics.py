@@ -144,7 +144,7 @@ def test_narrow_labelled_equals_the_join(spark):
     from ledgerlens.operators.labelled import labelled as join_labelled
     from ledgerlens.plans.data import PaymentData
 
-    data = PaymentData.from_testdata(spark, SF_SMALL)
+    data = PaymentData.derive_from_testdata(spark, SF_SMALL)
     joined = join_labelled(data.transactions, data.fraud_cases)
     narrow = data.labelled.select(*joined.columns)
     assert narrow.count() == joined.count() == 1001
