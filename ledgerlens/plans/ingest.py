@@ -149,9 +149,32 @@ def write_staging(staging: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def load_from_testdata(spark: SparkSession, sf_dir: str) -> Loaded:
+    """Run the whole load for a test-data folder (lazy after the two writes)."""
     return load_all(write_staging(staging_from_testdata(spark, sf_dir)))
 
 
+def store_loaded(loaded: Loaded, path: str) -> Loaded:
+    """Write the loaded transactions and fraud cases as tables and read them
+    back (the staging table is already stored)."""
+    loaded.transactions.write.mode("overwrite").parquet(f"{path}/transactions")
+    loaded.fraud_cases.write.mode("overwrite").parquet(f"{path}/fraud_cases")
+    read = loaded.staging.sparkSession.read.parquet
+    return Loaded(loaded.staging, read(f"{path}/transactions"), read(f"{path}/fraud_cases"))
+
+
+_LOADS: dict = {}
+
+
+def loaded_from_testdata(spark: SparkSession, sf_dir: str) -> Loaded:
+    """The loaded tables of a test-data folder, loaded once per session (as
+    the setup script loads once and its validation queries read the tables)."""
+    cached = _LOADS.get(sf_dir)
+    if cached is None or cached[0] is not spark or spark.sparkContext._jsc is None:
+        stored = store_loaded(load_from_testdata(spark, sf_dir), checkpoint_path(spark, f"loaded/{uuid.uuid4().hex}"))
+        _LOADS[sf_dir] = cached = (spark, stored)
+    return cached[1]
+
+
 # --- P07 / P08 -----------------------------------------------------------------
 def validate_counts(loaded: Loaded) -> DataFrame:
     """Three rows: row counts of staging, transactions and fraud cases."""

@@ -33,7 +33,7 @@ def _on_load(fn, part: str | None = None) -> Query:
     """A query over the ingest pipeline (staging -> transactions -> cases)."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        loaded = ingest.load_from_testdata(spark, sf_dir)
+        loaded = ingest.loaded_from_testdata(spark, sf_dir)
         return fn(getattr(loaded, part)) if part else fn(loaded)
 
     run.__name__ = fn.__name__
