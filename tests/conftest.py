@@ -15,7 +15,9 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from ledgerlens.session import local_session
 
-    s = local_session(cpus=4, shuffle_partitions=4, app="ledgerlens-tests")
+    warehouse = tempfile.mkdtemp(prefix="ledgerlens-test-warehouse-")
+    s = local_session(cpus=4, shuffle_partitions=4, app="ledgerlens-tests",
+                      extra={"spark.sql.warehouse.dir": warehouse})
     if not s.conf.get("spark.checkpoint.dir", None):
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlens-test-ckpt-"))
     yield s
