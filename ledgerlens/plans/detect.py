@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.numeric import half_up_ratio, half_up_round, pct_text
+from ..functions.numeric import cents, half_up_ratio, half_up_round, pct_text
 from ..operators.reshape import rows_from_one
 from ..operators.stats import column_stats, mean_col, sd_col, with_stats, zscore
 from ..operators.sweep import confusion_sweep, precision_pct
@@ -104,7 +104,7 @@ def amount_flagged_top(data: PaymentData, multiplier: float = C.OPTIMAL_AMOUNT_M
     order = [F.col("amount").desc_nulls_first(), F.col("transaction_id").asc_nulls_last(), F.col("is_fraud").asc_nulls_last()]
     top = top_k(flagged, order, limit)
     ranked = with_percent_rank_of_top(flagged.select("amount"), top, "amount", "amount_percentile")
-    avg2 = half_up_ratio((F.col("_sum") * 100).cast("decimal(38,0)"), F.col("_cnt") * 100, 2)
+    avg2 = half_up_ratio(cents(F.col("_sum")), F.col("_cnt") * 100, 2)
     out = ranked.select(
         "transaction_id",
         "amount",
