@@ -48,8 +48,14 @@ class PaymentData:
         """
         cached = _PLANS.get(sf_dir)
         if cached is None or cached[0] is not spark or spark.sparkContext._jsc is None:
-            stored = cls.derive_from_testdata(spark, sf_dir).store(
-                checkpoint_path(spark, f"tables/{uuid.uuid4().hex}"))
+            # one derivation feeds all three writes: persisted for their
+            # duration (recomputable from lineage if a block is lost)
+            wide = fixtures.with_cases(read_table(spark, sf_dir, "events", spread=True)).persist()
+            try:
+                stored = cls(*fixtures.split_with_cases(wide)).store(
+                    checkpoint_path(spark, f"tables/{uuid.uuid4().hex}"))
+            finally:
+                wide.unpersist()
             _PLANS[sf_dir] = cached = (spark, stored)
         return cached[1]
 

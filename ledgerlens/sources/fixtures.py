@@ -83,6 +83,20 @@ def fraud_cases(events: DataFrame) -> DataFrame:
     )
 
 
+def with_cases(events: DataFrame) -> DataFrame:
+    """``tx`` columns plus ``_cases``, the event's case structs (0..2)."""
+    return transactions(events, keep=(_case_array().alias("_cases"),))
+
+
+def split_with_cases(wide: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tx, fc, labelled) from the output of ``with_cases``."""
+    tx_cols = ["transaction_id", "customer_id", "transaction_time", "amount", "v1", "v2", "v3", "v4", "v5"]
+    tx = wide.select(*tx_cols)
+    fc = wide.select("transaction_id", F.inline("_cases")).select("transaction_id", "is_fraud")
+    lab = wide.select(*tx_cols, F.inline("_cases")).select(*tx_cols, "is_fraud")
+    return tx, fc, lab
+
+
 def labelled(events: DataFrame) -> DataFrame:
     """``tx`` joined with ``fc`` on the transaction id, without the join.
 
