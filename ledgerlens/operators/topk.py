@@ -41,17 +41,22 @@ def with_percent_rank_of_top(
     (a top-k by ``value`` descending), so every population row with a value
     >= a top row's value has one of the top rows' values.
     """
-    top_values = top.select(value).distinct()  # <= k rows
-    per_value = (
+    top_values = top.select(value).distinct().withColumn("_is_top", F.lit(True))  # <= k rows
+    # one pass over the population: a count per top value, and one more group
+    # (NULL key) for every other row, so the grouped rows (<= k + 1) also give n
+    counted = (
         population.select(value)
-        .join(F.broadcast(top_values), value, "left_semi")
-        .groupBy(value)
+        .join(F.broadcast(top_values), value, "left")
+        .groupBy(F.when(F.col("_is_top"), F.col(value)).alias(value))
         .agg(F.count(F.lit(1)).alias("_n_eq"))
     )
-    running = Window.orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ge = per_value.select(value, F.sum("_n_eq").over(running).alias("_n_ge"))  # <= k rows
-    n = population.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = top.join(F.broadcast(ge), value, "left").crossJoin(F.broadcast(n))
+    running = Window.orderBy(F.col(value).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ge = counted.select(
+        value,
+        F.sum("_n_eq").over(running).alias("_n_ge"),
+        F.sum("_n_eq").over(Window.partitionBy()).alias("_n"),
+    ).where(F.col(value).isNotNull())
+    ranked = top.join(F.broadcast(ge), value, "left")
     pct = F.when(F.col("_n") == 1, F.lit(0).cast(f"decimal(18,{scale})")).otherwise(
         half_up_ratio(F.col("_n") - F.col("_n_ge"), F.col("_n") - 1, scale, factor=100)
     )
