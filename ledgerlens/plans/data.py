@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.labelled import labelled as _labelled
-from ..session import checkpoint_path
+from ..session import checkpoint_path, is_live
 from ..sources import fixtures
 from ..sources.testdata import read_table
 
@@ -47,7 +47,7 @@ class PaymentData:
         columnar tables instead of re-deriving them from ``events``.
         """
         cached = _PLANS.get(sf_dir)
-        if cached is None or cached[0] is not spark or spark.sparkContext._jsc is None:
+        if cached is None or cached[0] is not spark or not is_live(spark):
             # one derivation feeds all three writes: persisted for their
             # duration (recomputable from lineage if a block is lost)
             wide = fixtures.with_cases(read_table(spark, sf_dir, "events", spread=True)).persist()

@@ -29,7 +29,7 @@ from ..operators.ids import assign_sequential_ids, materialize_ordered, number_o
 from ..operators.quality import duplicate_keys, null_counts, referential_counts
 from ..operators.reshape import rows_from_one
 from ..schema import FEATURES
-from ..session import checkpoint_path
+from ..session import checkpoint_path, is_live
 from ..sources import fixtures
 from ..sources.card_csv import to_staging
 from ..sources.testdata import read_table
@@ -169,7 +169,7 @@ def loaded_from_testdata(spark: SparkSession, sf_dir: str) -> Loaded:
     """The loaded tables of a test-data folder, loaded once per session (as
     the setup script loads once and its validation queries read the tables)."""
     cached = _LOADS.get(sf_dir)
-    if cached is None or cached[0] is not spark or spark.sparkContext._jsc is None:
+    if cached is None or cached[0] is not spark or not is_live(spark):
         stored = store_loaded(load_from_testdata(spark, sf_dir), checkpoint_path(spark, f"loaded/{uuid.uuid4().hex}"))
         _LOADS[sf_dir] = cached = (spark, stored)
     return cached[1]

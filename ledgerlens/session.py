@@ -40,6 +40,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     return spark
 
 
+def is_live(spark: SparkSession) -> bool:
+    """False once a classic session's context has been stopped."""
+    try:
+        return spark.sparkContext._jsc is not None
+    except Exception:  # a session without a local SparkContext (e.g. Spark Connect)
+        return True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder the cluster names.
 
@@ -47,7 +55,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     (local tests) a scratch folder of our own is made; on a cluster the
     setting points at shared storage and is never overridden.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no local SparkContext: the configured folder is all we have
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        return configured or tempfile.mkdtemp(prefix="ledgerlens-ckpt-",
+                                              dir=os.environ.get("LEDGERLENS_SCRATCH", "/tmp"))
     current = sc.getCheckpointDir()
     if current:
         return current

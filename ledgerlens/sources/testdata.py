@@ -31,8 +31,11 @@ _SPLITS: dict[str, int] = {}
 
 
 def ensure_parallelism(df: DataFrame, target: int | None = None) -> DataFrame:
-    want = target or df.sparkSession.sparkContext.defaultParallelism
-    key = "|".join(sorted(df.inputFiles()))
-    if key not in _SPLITS:  # the split count of immutable input files
-        _SPLITS[key] = df.rdd.getNumPartitions()
+    try:
+        want = target or df.sparkSession.sparkContext.defaultParallelism
+        key = "|".join(sorted(df.inputFiles()))
+        if key not in _SPLITS:  # the split count of immutable input files
+            _SPLITS[key] = df.rdd.getNumPartitions()
+    except Exception:  # no local SparkContext (e.g. Spark Connect): leave as read
+        return df
     return df.repartition(want) if _SPLITS[key] < want else df
