@@ -29,7 +29,6 @@ from ..functions.numeric import cents, half_up_ratio, money_grouped_text, money_
 from ..operators.reshape import rows_from_one
 from .data import PaymentData
 from .detect import method_sweep
-from .views import _hourly_counts
 
 
 
@@ -223,8 +222,21 @@ def operational_insights(data: PaymentData, benchmark_pct: Decimal = C.INDUSTRY_
     consecutive hours, the riskiest amount segment, the most precise method,
     the alert rule, and the fraud rate and loss share against an industry
     benchmark (a parameter)."""
+    # hourly counts, segment counts and the fraud totals from ONE pass over
+    # the labelled fact: one (hour, segment) aggregate of <= 24 x 5 cells; the
+    # three roll-ups are aggregates over those cells and share its exchange
+    cells = (
+        data.labelled.select(hour_of_day(F.col("transaction_time")).alias("_h"),
+                             amount_segment_rank(F.col("amount")).alias("_seg"), "amount", "is_fraud")
+        .groupBy("_h", "_seg")
+        .agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("is_fraud")).alias("_f"), _fraud_sum().alias("_loss"))
+    )
+    hourly = cells.groupBy(F.col("_h").alias("hour_of_day")).agg(
+        F.sum("_n").alias("total_transactions"), F.sum("_f").alias("fraud_count"))
+    segments = cells.groupBy(F.col("_seg").alias("_rank")).agg(
+        F.sum("_n").alias("total_transactions"), F.sum("_f").alias("fraud_transactions"))
+    impact = cells.agg(F.sum("_loss").alias("fraud_loss"), F.sum("_f").alias("n_fraud"))
     # riskiest window of `window_hours` consecutive hours (<= 24 hourly rows)
-    hourly = _hourly_counts(data).select("hour_of_day", "total_transactions", "fraud_count")
     w = Window.orderBy("hour_of_day").rowsBetween(0, window_hours - 1)
     windows = (
         hourly.select(
@@ -242,7 +254,7 @@ def operational_insights(data: PaymentData, benchmark_pct: Decimal = C.INDUSTRY_
         F.col("_rate").alias("_peak_rate"),
     )
     seg = (
-        _segment_groups(data)
+        segments
         .withColumn("_rate", half_up_ratio(F.col("fraud_transactions"), F.col("total_transactions"), 2, factor=100))
         .orderBy(F.col("_rate").desc_nulls_last(), F.col("_rank"))
         .limit(1)
@@ -259,7 +271,7 @@ def operational_insights(data: PaymentData, benchmark_pct: Decimal = C.INDUSTRY_
     exp = -benchmark_pct.as_tuple().exponent if benchmark_pct.as_tuple().exponent < 0 else 0
     b_int = int(benchmark_pct.scaleb(exp))
     scale = 10**exp
-    totals = _fraud_impact(data).crossJoin(data.transaction_totals())
+    totals = impact.crossJoin(data.transaction_totals())
     rate = half_up_ratio(F.col("n_fraud"), F.col("n_tx"), 3, factor=100)
     loss_share = half_up_ratio(cents(F.col("fraud_loss")), F.col("volume_all_cents"), 3, factor=100)
     # (b - rate)/b·100 with rate = n_fraud·100/n_tx, in integers scaled by 10^exp
