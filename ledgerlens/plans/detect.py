@@ -100,7 +100,11 @@ def amount_flagged_top(data: PaymentData, multiplier: float = C.OPTIMAL_AMOUNT_M
     fact = data.labelled.select("transaction_id", "amount", "is_fraud")
     stats = column_stats(fact, ["amount"], F.sum("amount").alias("_sum"), F.count(F.lit(1)).alias("_cnt"))
     scored = with_stats(fact, stats)
-    flagged = scored.where(_amount_flag(multiplier))
+    # ``_cnt > 0`` and a non-NULL ``_sum`` hold for every row that can be
+    # flagged; referencing them keeps the statistics aggregate identical in
+    # both branches below (the rank counts would otherwise prune it to
+    # mean/sd), so its exchange is computed once
+    flagged = scored.where(_amount_flag(multiplier) & (F.col("_cnt") > 0) & F.col("_sum").isNotNull())
     order = [F.col("amount").desc_nulls_first(), F.col("transaction_id").asc_nulls_last(), F.col("is_fraud").asc_nulls_last()]
     top = top_k(flagged, order, limit)
     ranked = with_percent_rank_of_top(flagged.select("amount"), top, "amount", "amount_percentile")

@@ -28,7 +28,7 @@ from ..functions.bands import (
 from ..functions.numeric import cents, half_up_ratio, money_grouped_text, money_text, pct_text
 from ..operators.reshape import rows_from_one
 from .data import PaymentData
-from .detect import method_sweep
+from .detect import method_sweep, pattern_flag, v3_scored
 
 
 
@@ -91,12 +91,6 @@ def hourly_financials(data: PaymentData) -> DataFrame:
 
 
 # --- P23 -------------------------------------------------------------------
-def _fraud_impact(data: PaymentData) -> DataFrame:
-    return data.labelled.where(F.col("is_fraud")).agg(
-        F.sum("amount").alias("fraud_loss"), F.count(F.lit(1)).alias("n_fraud")
-    )
-
-
 def pattern_precision(data: PaymentData) -> DataFrame:
     """One row: precision of the V3 pattern method (2 places)."""
     sweep = method_sweep(data).where(F.col("detector_order") == 3)
@@ -106,13 +100,19 @@ def pattern_precision(data: PaymentData) -> DataFrame:
 def financial_impact(data: PaymentData, hours: int = C.OBSERVED_HOURS, v3_precision_text: str | None = None) -> DataFrame:
     """Five rows of loss and rate figures. The V3 precision row is computed
     from the data unless a fixed text is given (the published text is
-    ``constants.PUBLISHED_V3_PRECISION_TEXT``)."""
-    one = _fraud_impact(data).crossJoin(data.transaction_totals())
+    ``constants.PUBLISHED_V3_PRECISION_TEXT``). The fraud totals and the
+    pattern counts come from one aggregate over the labelled rows."""
+    fraud = F.col("is_fraud")
+    totals = [_fraud_sum().alias("fraud_loss"), F.count_if(fraud).alias("n_fraud")]
     if v3_precision_text is None:
-        one = one.crossJoin(pattern_precision(data))
-        precision_text = pct_text(F.col("pattern_precision"))
+        scored = v3_scored(data)
+        flag = pattern_flag(F.col("v3_z"), F.col("amount"))
+        one = scored.agg(*totals, F.count_if(flag).alias("_pf"), F.count_if(flag & fraud).alias("_pc"))
+        precision_text = pct_text(half_up_ratio(F.col("_pc"), F.col("_pf"), 2, factor=100))
     else:
+        one = data.labelled.agg(*totals)
         precision_text = F.lit(v3_precision_text)
+    one = one.crossJoin(F.broadcast(data.transaction_totals()))
     loss_c = cents(F.col("fraud_loss"))
     (c1, m1), (c2, m2), (c3, m3), (c4, m4), (c5, m5) = C.IMPACT_ROWS
     rows = [
