@@ -48,15 +48,23 @@ def event_stream(spark: SparkSession, path: str, max_files_per_trigger: int | No
 
 
 def transaction_stream(events: DataFrame) -> DataFrame:
-    """Events mapped to transactions, keeping the event time."""
-    return fixtures.transactions(events, keep=(F.col("ts").cast("timestamp").alias("event_time"),))
+    """Events mapped to transactions, keeping the event time. The event
+    table's wall-clock time (no zone) is read as UTC, so windows and their
+    labels do not depend on the session time zone."""
+    return fixtures.transactions(events, keep=(F.timestamp_seconds(F.unix_timestamp("ts")).alias("event_time"),))
+
+
+def utc_text(ts) -> "F.Column":
+    """'yyyy-MM-dd HH:mm:ss' of an instant as UTC wall-clock time, whatever
+    the session time zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
 
 
 def score_stream(transactions: DataFrame, stats: DataFrame, watch_z: float = C.MONITOR_V3_Z) -> DataFrame:
     scored = transactions.crossJoin(F.broadcast(stats)).withColumn("v3_z", zscore("v3"))
     return scored.where(F.col("v3_z") > F.lit(watch_z)).select(
         "transaction_id",
-        F.date_format("event_time", "yyyy-MM-dd HH:mm:ss").alias("event_time"),
+        utc_text(F.col("event_time")).alias("event_time"),
         "amount",
         half_up_round(F.col("v3_z"), 2).alias("v3_risk_score"),
         pattern_action(F.col("v3_z"), F.col("amount")).alias("recommended_action"),
@@ -76,8 +84,8 @@ def hourly_alert_stream(transactions: DataFrame, stats: DataFrame, delay: str =
             F.sum("amount").alias("volume"),
         )
         .select(
-            F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
-            F.date_format("w.end", "yyyy-MM-dd HH:mm:ss").alias("window_end"),
+            utc_text(F.col("w.start")).alias("window_start"),
+            utc_text(F.col("w.end")).alias("window_end"),
             "transactions", "high_risk", "immediate_block", "volume",
         )
     )
