@@ -149,3 +149,22 @@ def test_narrow_labelled_equals_the_join(spark):
     narrow = data.labelled.select(*joined.columns)
     assert narrow.count() == joined.count() == 1001
     assert narrow.exceptAll(joined).count() == 0 and joined.exceptAll(narrow).count() == 0
+
+
+def test_time_after_second_day_is_night(spark):
+    data = make_data(spark, [(1, 172800, 5), (2, -5, 5)], [(1, False), (2, False)])
+    got = {r.transaction_id: r.p for r in data.labelled.select(
+        "transaction_id", bands.time_period_rank(F.col("transaction_time")).alias("p")).collect()}
+    assert got == {1: 6, 2: 6}
+
+
+def test_single_row(spark):
+    from ledgerlens.operators.topk import with_percent_rank_of_top
+
+    data = make_data(spark, [(1, 10, 50, 1, 1, 1, 1, 1)], [(1, True)])
+    out = detect.method_comparison(data).collect()
+    assert all(r.total_flagged == 0 and r.precision_percentage is None for r in out)
+    assert {r.recall_percentage for r in out} == {Decimal("0.00")}
+    one = spark.createDataFrame([(7, Decimal("3.00"))], "id long, amount decimal(10,2)")
+    ranked = with_percent_rank_of_top(one, one, "amount", "pr").collect()
+    assert ranked[0].pr == Decimal("0.00")
