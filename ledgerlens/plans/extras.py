@@ -5,11 +5,14 @@ the dominance counts behind the outlier list.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.numeric import cents, half_up_ratio, half_up_round
+from ..operators.quantiles import exact_percentiles
 from ..operators.stats import column_stats, with_stats, zscore
 from .data import PaymentData
 from .detect import outlier_scores
@@ -35,6 +38,14 @@ def customer_rollup(data: PaymentData) -> DataFrame:
     )
 
 
+def amount_percentiles(data: PaymentData) -> DataFrame:
+    """The 95th and 99th continuous percentiles of labelled amounts (the
+    statistics the amount detector computes next to mean and deviation),
+    exact and without gathering all amounts into one task."""
+    return exact_percentiles(data.labelled, "amount", [("p95_amount", Decimal("0.95")),
+                                                      ("p99_amount", Decimal("0.99"))])
+
+
 def v3_profile(data: PaymentData) -> DataFrame:
     """Per label: count, exact mean (4 places), sample deviation (4 places),
     extremes of V3 and the rows beyond the statistical line (z > 3, z over

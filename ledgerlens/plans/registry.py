@@ -101,6 +101,7 @@ _NATIVE: dict[str, Query] = {
     "detector_extras": _on_fixture(detect.detector_extras),
     "customer_rollup": _on_fixture(extras.customer_rollup),
     "v3_profile": _on_fixture(extras.v3_profile),
+    "amount_percentiles": _on_fixture(extras.amount_percentiles),
     "outlier_dominance": _on_fixture(extras.outlier_dominance),
     # streaming (file stream of the events table, run to completion)
     "stream_score": streaming.stream_score_testdata,

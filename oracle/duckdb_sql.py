@@ -553,7 +553,20 @@ SELECT is_fraud,
   COUNT(*) AS transactions
 FROM sa WHERE avg_z > 3.0 GROUP BY 1, 2 ORDER BY 1, 2"""
 
+AMOUNT_PERCENTILES = _with(
+    "v AS (SELECT amount, ROW_NUMBER() OVER (ORDER BY amount) - 1 AS rk FROM labelled WHERE amount IS NOT NULL)",
+    "n AS (SELECT COUNT(*) AS n FROM v)",
+    "ps AS (SELECT name, CAST(n.n - 1 AS DECIMAL(20,0)) * p AS x FROM n, "
+    "(VALUES ('p95_amount', 0.95), ('p99_amount', 0.99)) AS t(name, p) WHERE n.n > 0)",
+    "vals AS (SELECT ps.name, lo.amount + (hi.amount - lo.amount) * (ps.x - FLOOR(ps.x)) AS val "
+    "FROM ps JOIN v lo ON lo.rk = FLOOR(ps.x) JOIN v hi ON hi.rk = CEIL(ps.x))",
+) + """
+SELECT MAX(CASE WHEN name = 'p95_amount' THEN val END) AS p95_amount,
+       MAX(CASE WHEN name = 'p99_amount' THEN val END) AS p99_amount
+FROM vals"""
+
 ORACLE_SQL.update({
+    "amount_percentiles": AMOUNT_PERCENTILES,
     "customer_rollup": CUSTOMER_ROLLUP,
     "v3_profile": V3_PROFILE,
     "outlier_dominance": OUTLIER_DOMINANCE,

@@ -33,6 +33,7 @@ DOUBLE_COLUMNS: dict[str, tuple[str, ...]] = {
     "view_segment_performance": ('fraud_rate', 'volume', 'fraud_volume', 'loss_rate',),
     "detector_extras": ('precision_percentage', 'recall_percentage', 'false_discovery_percentage', 'workload_reduction_percentage',),
     "customer_rollup": ('total_amount', 'avg_transaction_amount',),
+    "amount_percentiles": ('p95_amount', 'p99_amount',),
     "v3_profile": ('v3_mean', 'v3_stddev', 'v3_min', 'v3_max',),
     "stream_score": ('amount', 'v3_risk_score',),
     "stream_hourly_alerts": ('volume',),

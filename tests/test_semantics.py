@@ -168,3 +168,17 @@ def test_single_row(spark):
     one = spark.createDataFrame([(7, Decimal("3.00"))], "id long, amount decimal(10,2)")
     ranked = with_percent_rank_of_top(one, one, "amount", "pr").collect()
     assert ranked[0].pr == Decimal("0.00")
+
+
+def test_exact_percentiles_match_linear_interpolation(spark):
+    import numpy as np
+
+    from ledgerlens.operators.quantiles import exact_percentiles
+
+    vals = [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8, 9, 7, 9, 3, 2, 3, 8, 4]
+    df = spark.createDataFrame([(Decimal(v) / 4,) for v in vals] + [(None,)], "amount decimal(10,2)")
+    got = exact_percentiles(df, "amount", [("p95", Decimal("0.95")), ("p50", Decimal("0.5"))]).collect()[0]
+    arr = np.array([v / 4 for v in vals])
+    assert float(got.p95) == float(np.percentile(arr, 95)) and float(got.p50) == float(np.percentile(arr, 50))
+    empty = exact_percentiles(df.where("amount > 100"), "amount", [("p95", Decimal("0.95"))]).collect()
+    assert empty[0].p95 is None
