@@ -2,47 +2,72 @@
 
 ``percentile_cont(p)`` (and Spark's exact ``percentile``) keep every value of
 the group in one task's memory — for a global percentile that is the whole
-table. Here the values are ranked 0..n-1 by the distributed id operator
-(range partitioning + per-partition offsets, written once), the at most two
-ranks each percentile needs — floor and ceil of (n-1)·p — are broadcast
-(2 rows per percentile) and joined, and the result is interpolated in exact
-decimal arithmetic: v_lo + (v_hi - v_lo) · frac.
+table. Here the values are range-partitioned, sorted and written once
+(``ids.materialize_ordered``: one file per range, each row tagged with its
+partition and position). The per-partition row counts (one row per
+partition) locate the at most two ranks each percentile needs — floor and
+ceil of (n-1)·p — as (partition, position) pairs; those few pairs are
+metadata, not data, so they become literal filters on the partition column,
+and Parquet statistics skip every other file. The result is interpolated in
+exact decimal arithmetic: v_lo + (v_hi - v_lo) · frac.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .ids import assign_sequential_ids
+from .ids import materialize_ordered
 
 
 def exact_percentiles(df: DataFrame, value: str, percentiles: Sequence[tuple[str, Decimal]]) -> DataFrame:
     """One row with a column per ``(name, p)``: the continuous percentile p of
     ``value`` (NULLs ignored); NULL for an empty input."""
-    ranked = assign_sequential_ids(df.select(F.col(value).alias("_v")).where(F.col("_v").isNotNull()),
-                                   [F.col("_v").asc()], "_rank", start=0)
-    n = ranked.agg(F.count(F.lit(1)).alias("_n"))
-    wanted = n.select(F.inline(F.array(*[
-        F.struct(F.lit(name).alias("_name"),
-                 ((F.col("_n") - 1).cast("decimal(20,0)") * F.lit(p)).alias("_x"))
-        for name, p in percentiles
-    ])))
-    positions = wanted.select(
-        "_name", "_x",
-        F.floor("_x").cast("long").alias("_lo"), F.ceil("_x").cast("long").alias("_hi"),
-    ).where(F.col("_x") >= 0)
-    lo = ranked.select(F.col("_rank").alias("_lo"), F.col("_v").alias("_v_lo"))
-    hi = ranked.select(F.col("_rank").alias("_hi"), F.col("_v").alias("_v_hi"))
+    spark = df.sparkSession
+    ordered = materialize_ordered(df.select(F.col(value).alias("_v")).where(F.col("_v").isNotNull()),
+                                  [F.col("_v").asc()])
+    # one row per range partition: its size (reads only the partition column)
+    sizes = sorted((r["_pid"], r["_rows"]) for r in
+                   ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_rows")).collect())
+    n = sum(rows for _, rows in sizes)
+    value_type = ordered.schema["_v"].dataType
+    out_type = T.DecimalType(38, min(38, value_type.scale + 4)) if isinstance(value_type, T.DecimalType) \
+        else T.DoubleType()
+    if n == 0:
+        return spark.range(1).select(*[F.lit(None).cast(out_type).alias(name) for name, _ in percentiles])
+
+    def locate(rank: int) -> tuple[int, int]:
+        start = 0
+        for pid, rows in sizes:
+            if rank < start + rows:
+                return pid, rank - start
+            start += rows
+        raise ValueError(rank)
+
+    wanted = []  # (name, x, which, pid, pos)
+    for name, p in percentiles:
+        x = Decimal(n - 1) * Decimal(p)
+        for which, rank in (("lo", math.floor(x)), ("hi", math.ceil(x))):
+            wanted.append((name, str(x), which, *locate(int(rank))))
+    pids = sorted({w[3] for w in wanted})
+    targets = spark.createDataFrame(
+        [(w[0], w[1], w[2], w[3], w[4]) for w in wanted],
+        "_name string, _x string, _which string, _pid int, _pos long",
+    ).withColumn("_x", F.col("_x").cast("decimal(38,6)"))
     picked = (
-        lo.join(F.broadcast(positions), "_lo")          # <= len(percentiles) rows broadcast
-        .join(hi.join(F.broadcast(positions.select("_name", "_hi")), "_hi"), "_name")
+        ordered.where(F.col("_pid").isin(pids))          # file skipping: one file per partition
+        .join(F.broadcast(targets), ["_pid", "_pos"])    # <= 2 rows per percentile
+        .groupBy("_name", "_x")
+        .agg(F.first(F.when(F.col("_which") == "lo", F.col("_v")), ignorenulls=True).alias("_lo"),
+             F.first(F.when(F.col("_which") == "hi", F.col("_v")), ignorenulls=True).alias("_hi"))
     )
     valued = picked.select(
         "_name",
-        (F.col("_v_lo") + (F.col("_v_hi") - F.col("_v_lo")) * (F.col("_x") - F.floor("_x"))).alias("_p"),
+        (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_x") - F.floor("_x"))).cast(out_type).alias("_p"),
     )
     return valued.groupBy().pivot("_name", [name for name, _ in percentiles]).agg(F.first("_p"))
