@@ -91,3 +91,23 @@ def test_orphan_case_is_reported(spark):
            for r in ingest.dq_unique_key(make_data(spark, [(1, 0, 1), (1, 0, 2)], [(1, True)])).collect()}
     assert dup["analytics.transactions"] == (1, 2)
     assert FEATURES[0] == "v1"
+
+
+def test_case_ids_and_defaults(spark):
+    cases = spark.createDataFrame(
+        [(3, None, True, "kaggle_labeled", Decimal("0.9500")), (1, None, False, "kaggle_labeled", Decimal("0.0500")),
+         (3, None, False, "kaggle_labeled", Decimal("0.0500"))],
+        "transaction_id long, customer_id long, is_fraud boolean, detection_method string, "
+        "fraud_probability decimal(5,4)")
+    rows = sorted(ingest.with_case_ids(cases).collect(), key=lambda r: r.case_id)
+    assert [(r.case_id, r.transaction_id, r.is_fraud) for r in rows] == [(1, 1, False), (2, 3, False), (3, 3, True)]
+    assert {r.investigation_status for r in rows} == {"pending"}
+    assert {r.financial_loss for r in rows} == {Decimal("0.00")}
+
+
+def test_orphan_rows(spark):
+    from ledgerlens.operators.quality import orphan_rows
+
+    children = spark.createDataFrame([(1,), (2,), (9,)], "transaction_id long")
+    parents = spark.createDataFrame([(1,), (2,)], "transaction_id long")
+    assert [r.transaction_id for r in orphan_rows(children, parents, "transaction_id").collect()] == [9]
