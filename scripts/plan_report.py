@@ -95,7 +95,10 @@ def main(argv: list[str]) -> None:
           "`max_rows_to_one_partition` is the most rows any exchange moved into a single partition: partial "
           "aggregates (one row per upstream partition), top-k candidates, or the few grouped rows a small "
           "window runs over — never the fact rows. `max_broadcast_rows` is the largest broadcast: the one-row "
-          "statistics, ≤ #partitions offsets, ≤ k top values, or a side AQE found small at this size.\n")
+          "statistics, ≤ #partitions offsets, ≤ k top values, or a side AQE found small at this size. "
+          "Work done before the returned plan is not in these rows: the session's one-time loads (fixture "
+          "tables, ingest) and the ordered write + per-partition count that `amount_percentiles` runs when "
+          "it is built (its final plan reads only the files holding the needed ranks).\n")
     print("| query | " + " | ".join(cols) + " |")
     print("|---|" + "---|" * len(cols))
     for name, s in rows:
