@@ -182,3 +182,13 @@ def test_exact_percentiles_match_linear_interpolation(spark):
     assert float(got.p95) == float(np.percentile(arr, 95)) and float(got.p50) == float(np.percentile(arr, 50))
     empty = exact_percentiles(df.where("amount > 100"), "amount", [("p95", Decimal("0.95"))]).collect()
     assert empty[0].p95 is None
+
+
+def test_amount_method_catching_nothing_has_zero_not_null_precision(spark):
+    from conftest import SF_SMALL
+    from ledgerlens.plans.data import PaymentData
+
+    rows = {r.detection_method: r for r in detect.method_comparison(PaymentData.from_testdata(spark, SF_SMALL)).collect()}
+    amount = rows["Amount-Based (2.5x StdDev)"]
+    assert (amount.total_flagged, amount.fraud_caught) == (14, 0)
+    assert amount.precision_percentage == Decimal("0.00")
