@@ -5,11 +5,11 @@ Two ways to label transactions are offered:
 
 * ``load_fraud_cases`` reproduces the label join on 30 keys (amount, time and
   the 28 features rounded to 6 places) with its DISTINCT. The staging side is
-  reduced to distinct (keys, class) pairs *before* the join, so a group of k
-  identical source rows yields at most 2 matches per transaction instead of a
-  k x k fan-out; the pairs are then unique, so no DISTINCT pass is needed
+  reduced to one row per key with the set of classes seen *before* the join,
+  so a group of k identical source rows yields at most 2 cases per
+  transaction instead of a k x k fan-out, and no DISTINCT pass is needed
   after the join. A hot key on the transaction side is split by AQE's
-  skew-join handling (its partner side holds at most two rows).
+  skew-join handling (its partner side is a single row).
 * ``carry_label`` keeps the class through the id assignment: one pass, no
   join. It equals the label join when no two source rows share all 30 keys
   with different classes and no key is NULL.
@@ -91,12 +91,22 @@ def _case_columns(df: DataFrame, cls: str = "class") -> list:
 
 
 def load_fraud_cases(transactions: DataFrame, staging: DataFrame) -> DataFrame:
-    """Fraud cases (P06) by the 30-key label join; NULL keys match nothing."""
-    labels = staging.select(
-        "amount", F.col("time_seconds").alias("transaction_time"), *_rounded_features(staging), "class"
-    ).distinct()
+    """Fraud cases (P06) by the 30-key label join; NULL keys match nothing.
+
+    The label side is grouped by exactly the join keys, collecting the set of
+    classes seen (at most two values, de-duplicated map-side, so a hot key
+    stays two values): its output is already hash-partitioned on the join
+    keys, so only the transaction side is shuffled for the join. Each
+    (transaction, class) pair is then one case, as the DISTINCT gives.
+    """
+    labels = (
+        staging.select("amount", F.col("time_seconds").alias("transaction_time"), *_rounded_features(staging), "class")
+        .groupBy(*TX_KEYS)
+        .agg(F.collect_set("class").alias("_classes"))
+    )
     joined = transactions.select("transaction_id", *TX_KEYS).join(labels, TX_KEYS, "inner")
-    return joined.select(*_case_columns(joined))
+    cases = joined.select("transaction_id", F.explode("_classes").alias("class"))
+    return cases.select(*_case_columns(cases))
 
 
 def carry_label(transactions_with_class: DataFrame) -> DataFrame:
