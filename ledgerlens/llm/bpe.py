@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.chunks import ChunkMemory, blocks
 from ledgerlens.llm.common import ship
 
+#: chunks per generation that a worker remembers, with ids and decoded bytes
+REMEMBERED = 200_000
 #: characters of text whose new pieces go through one recursive query
 BLOCK = 2_000_000
 
@@ -127,7 +129,7 @@ class Encoder:
         self.db.register("merges_in", table)
         self.db.register("words_in", words)
         self.db.execute("CREATE TABLE merges AS FROM merges_in; CREATE TABLE vocabulary AS FROM words_in")
-        self.memory = ChunkMemory(self.encode_chunks)
+        self.memory = ChunkMemory(self.encode_chunks, limit=REMEMBERED)
 
     def encode_pieces(self, pieces: list[str]) -> dict[str, tuple[bytes, bytes]]:
         """piece -> (ids as little-endian unsigned 32-bit integers, decoded bytes)."""

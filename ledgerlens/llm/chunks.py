@@ -16,8 +16,8 @@ _VISIBLE = "!-~¡-ɏ"
 _UNSURE = re.compile(f"(?<![{_VISIBLE}]) | (?![{_VISIBLE}])")
 _CUT = re.compile(f"(?<=[{_VISIBLE}]) (?=[{_VISIBLE}])")
 
-#: entries that a worker remembers before it starts afresh (about 100 MB)
-REMEMBERED = 300_000
+#: entries that a worker learns before the older half is forgotten (two halves: about 150 MB)
+REMEMBERED = 350_000
 
 
 def chunks(text: str) -> list[str]:
@@ -26,25 +26,35 @@ def chunks(text: str) -> list[str]:
 
 
 class ChunkMemory:
-    """chunk -> value, with the space before it or without; misses are worked out in one call."""
+    """chunk -> value, with the space before it or without; misses are worked out in one call.
+
+    Two generations: what is used again moves to the young one, and when that
+    is full the old one is forgotten, so frequent chunks stay.
+    """
 
     def __init__(self, work_out: Callable[[list[str]], list], limit: int = REMEMBERED):
-        self.work_out, self.limit, self.first, self.later = work_out, limit, {}, {}
+        self.work_out, self.limit = work_out, limit
+        self.young: tuple[dict, dict] = ({}, {})  # without and with the space
+        self.old: tuple[dict, dict] = ({}, {})
 
     def values(self, texts: list[str]) -> list[list]:
         """Per text, the values of its chunks in order."""
         cut = [chunks(t) for t in texts]
-        if len(self.first) + len(self.later) > self.limit:
-            self.first.clear()
-            self.later.clear()
-        heads = list({c[0] for c in cut} - self.first.keys())
-        tails = list(set().union(*(c[1:] for c in cut)) - self.later.keys())
-        if heads or tails:
-            found = self.work_out(heads + [" " + c for c in tails])
-            self.first.update(zip(heads, found))
-            self.later.update(zip(tails, found[len(heads):]))
-        later = self.later.__getitem__
-        return [[self.first[c[0]], *map(later, c[1:])] for c in cut]
+        if sum(map(len, self.young)) > self.limit:
+            self.old, self.young = self.young, ({}, {})
+        asked = ({c[0] for c in cut}, set().union(*cut))
+        fresh = []
+        for young, old, want in zip(self.young, self.old, asked):
+            want -= young.keys()
+            known = want & old.keys()
+            young.update((c, old[c]) for c in known)
+            fresh.append(list(want - known))
+        if fresh[0] or fresh[1]:
+            found = self.work_out(fresh[0] + [" " + c for c in fresh[1]])
+            self.young[0].update(zip(fresh[0], found))
+            self.young[1].update(zip(fresh[1], found[len(fresh[0]):]))
+        first, later = self.young[0], self.young[1].__getitem__
+        return [[first[c[0]], *map(later, c[1:])] for c in cut]
 
 
 def blocks(items: list, size: Callable, most: int):

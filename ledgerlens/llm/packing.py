@@ -20,6 +20,7 @@ columns are not read.
 from __future__ import annotations
 
 import json
+import struct
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -103,9 +104,9 @@ def memory(key: str, tokenizer_json: str) -> ChunkMemory:
         tok.encode_special_tokens = True  # their strings in a text are ordinary text
 
         def work_out(chunk_list: list[str]) -> list[bytes]:
-            return [np.array(e.ids, dtype="<u4").tobytes()
+            return [struct.pack(f"<{len(ids)}I", *ids)
                     for block in blocks(chunk_list, len, BLOCK)
-                    for e in tok.encode_batch_fast(block, add_special_tokens=False)]
+                    for ids in [e.ids for e in tok.encode_batch_fast(block, add_special_tokens=False)]]
 
         _MEMORIES[key] = ChunkMemory(work_out)
     return _MEMORIES[key]
