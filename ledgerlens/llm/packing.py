@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.chunks import ChunkMemory, blocks
+from ledgerlens.llm.chunks import ChunkMemory, begins_and_ends_visibly, blocks
 from ledgerlens.llm.common import ship, store
 
 WINDOW = 2048
 END_ID = 1
 GROUP_WINDOWS = 4096
 GROUP_PIECES = 250_000
+#: chunks that go through the tokenizer as one text
+ROW = 64
 #: characters encoded at a time
 BLOCK = 2_000_000
 
@@ -103,10 +105,37 @@ def memory(key: str, tokenizer_json: str) -> ChunkMemory:
         tok = Tokenizer.from_str(tokenizer_json)
         tok.encode_special_tokens = True  # their strings in a text are ordinary text
 
-        def work_out(chunk_list: list[str]) -> list[bytes]:
+        n_bytes = np.zeros(tok.get_vocab_size(), dtype=np.int64)  # byte-level vocabulary: a character stands for a byte
+        for token, i in tok.get_vocab().items():
+            n_bytes[i] = len(token)
+
+        def alone(chunk_list: list[str]) -> list[bytes]:
             return [struct.pack(f"<{len(ids)}I", *ids)
-                    for block in blocks(chunk_list, len, BLOCK)
-                    for ids in [e.ids for e in tok.encode_batch_fast(block, add_special_tokens=False)]]
+                    for ids in [e.ids for e in tok.encode_batch_fast(chunk_list, add_special_tokens=False)]]
+
+        def work_out(chunk_list: list[str]) -> list[bytes]:
+            """Chunks that begin and end visibly are encoded in rows (no token crosses from one to the next)."""
+            out: list = [None] * len(chunk_list)
+            plain = [i for i, c in enumerate(chunk_list) if begins_and_ends_visibly(c)]
+            odd = sorted(set(range(len(chunk_list))) - set(plain))
+            for block in blocks(odd, lambda i: len(chunk_list[i]), BLOCK):
+                for i, ids in zip(block, alone([chunk_list[i] for i in block])):
+                    out[i] = ids
+            rows = [plain[a:a + ROW] for a in range(0, len(plain), ROW)]
+            for some in blocks(rows, lambda r: sum(len(chunk_list[i]) for i in r), BLOCK):
+                joined = tok.encode_batch_fast(["".join([chunk_list[i] for i in r]) for r in some], add_special_tokens=False)
+                for r, ids in zip(some, [e.ids for e in joined]):
+                    ids = np.array(ids, dtype="<u4")
+                    ends = np.cumsum([len(chunk_list[i].encode()) for i in r])
+                    upto = np.cumsum(n_bytes[ids])
+                    cut = np.searchsorted(upto, ends)
+                    if not np.array_equal(upto[cut], ends):
+                        raise ValueError("the tokenizer joined text across a safe space")
+                    flat, begin = ids.tobytes(), 0
+                    for i, end in zip(r, (4 * cut + 4).tolist()):
+                        out[i] = flat[begin:end]
+                        begin = end
+            return out
 
         _MEMORIES[key] = ChunkMemory(work_out)
     return _MEMORIES[key]
