@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ledgerlens.llm import licenses
+
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
         WITH t AS (
@@ -11,4 +13,5 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER same AS kept, text_sha256
         FROM t WINDOW same AS (PARTITION BY text_sha256)
     """,
+    "op6_license_scan": licenses.oracle(),
 }
