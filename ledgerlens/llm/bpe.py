@@ -3,14 +3,15 @@
 A recursive query holds one row per token position of every distinct piece of
 text, joins neighbouring tokens to the merge table, contracts each piece's
 leftmost pair of the lowest rank and repeats until no pair is left; ordered
-aggregation then lists the ids and decodes them again. One round makes several
-contractions where their order is settled: the occurrences of the lowest pair
-from left to right, up to the first whose new token opens a lower-ranked pair
-(that one goes first in the next round); and pairs that the merge table lets
-nothing else happen to (no merge that could take the left token from the left,
-the right token from the right, or the new token, ranks as low). A piece is cut
-beforehand between two bytes that no token of the vocabulary holds side by
-side. The result is that of contracting one pair at a time, in far fewer rounds.
+aggregation then lists the ids and decodes them again. Short words have one
+such contraction per round; in long words a round makes all whose order is
+settled: the occurrences of the lowest pair from left to right, up to the first
+whose new token opens a lower-ranked pair (that one goes first in the next
+round). Either way a pair is also contracted ahead of its turn where the merge
+table rules out any other outcome (no merge that could take the left token from
+the left, the right token from the right, or the new token, ranks as low). A
+piece is cut beforehand between two bytes that no token of the vocabulary holds
+side by side. The result is that of contracting one pair at a time.
 
 Texts are cut at safe places (``chunks``) and split by the public pattern;
 each distinct piece enters a query once per worker and block of text, so
@@ -32,15 +33,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.chunks import ChunkMemory, blocks
+from ledgerlens.llm.chunks import ChunkMemory, Memory, blocks
 from ledgerlens.llm.common import ship
 
-#: chunks per generation that a worker remembers, with ids and decoded bytes
+#: chunks and pieces per generation that a worker remembers, with ids and decoded bytes
 REMEMBERED = 200_000
 #: characters of text whose new pieces go through one recursive query
 BLOCK = 2_000_000
 
-FIXPOINT = """
+#: one contraction per round and word, besides those that are certain: for the many short words
+SHORT_FIXPOINT = """
+WITH RECURSIVE u(round, pos, word, tok) AS (
+    SELECT 0, pos, word, tok FROM pieces
+  UNION ALL
+    (WITH pairs AS (
+       SELECT round, pos, word, tok, lead(tok) OVER w AS next_tok, lead(word) OVER w AS next_word
+       FROM u WINDOW w AS (ORDER BY pos)),
+     ranked AS (
+       SELECT p.round, p.pos, p.word, p.tok, m.rank, m.certain, m.rank::BIGINT * 4294967296 + p.pos AS turn
+       FROM pairs AS p LEFT JOIN merges AS m
+         ON m.l = p.tok AND m.r = CASE WHEN p.next_word = p.word THEN p.next_tok END),
+     lowest AS (SELECT word, min(turn) AS turn FROM ranked WHERE turn IS NOT NULL GROUP BY word),
+     chosen AS (
+       SELECT r.round, r.pos, r.word, r.tok, CASE WHEN r.certain OR r.turn = l.turn THEN r.rank END AS made
+       FROM ranked AS r JOIN lowest AS l ON l.word = r.word),
+     contracted AS (
+       SELECT round + 1 AS round, pos, word, coalesce(made, tok) AS tok, lag(made) OVER (ORDER BY pos) AS swallowed_by
+       FROM chosen)
+     SELECT round, pos, word, tok FROM contracted WHERE swallowed_by IS NULL)
+), t AS (
+    SELECT u.pos, u.word, u.tok
+    FROM u JOIN (SELECT word, max(round) AS round FROM u GROUP BY word) AS last ON last.word = u.word AND last.round = u.round
+)
+"""
+
+#: all contractions whose order is settled in one round: for long words
+LONG_FIXPOINT = """
 WITH RECURSIVE t(pos, word, tok) USING KEY (pos) AS (
     SELECT pos, word, tok FROM pieces
   UNION
@@ -85,11 +113,18 @@ WITH RECURSIVE t(pos, word, tok) USING KEY (pos) AS (
      UNION ALL
      SELECT next_pos, word, CAST(NULL AS INTEGER) FROM contracted)
 )
+"""
+
+#: ordered aggregation lists the ids and decodes them
+LISTED = """
 SELECT t.word, list(t.tok ORDER BY t.pos) AS ids, string_agg(v.hex, '' ORDER BY t.pos) AS decoded
 FROM t JOIN vocabulary AS v ON v.tok = t.tok
 GROUP BY t.word ORDER BY t.word
 """
 
+#: bytes of a word that counts as long
+LONG = 48
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with Path(path).open("rb") as f:
@@ -129,6 +164,7 @@ class Encoder:
         self.db.register("merges_in", table)
         self.db.register("words_in", words)
         self.db.execute("CREATE TABLE merges AS FROM merges_in; CREATE TABLE vocabulary AS FROM words_in")
+        self.pieces = Memory(self.encode_pieces, limit=REMEMBERED)
         self.memory = ChunkMemory(self.encode_chunks, limit=REMEMBERED)
 
     def encode_pieces(self, pieces: list[str]) -> dict[str, tuple[bytes, bytes]]:
@@ -153,23 +189,32 @@ class Encoder:
         head[ends[:-1]] = True
         head[0] = True
         word = np.cumsum(head).astype(np.int32) - 1
-        rows = pa.table({"pos": np.arange(len(joined), dtype=np.int32), "word": word, "tok": self.byte_ids[joined]})
-        self.db.register("pieces", rows)
-        found = self.db.sql(FIXPOINT).to_arrow_table()
-        self.db.unregister("pieces")
-        ids = found.column("ids").combine_chunks()
-        flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-        upto = np.concatenate(([0], np.cumsum(np.asarray(ids.value_lengths()))))
-        decoded = found.column("decoded").to_pylist()
+        starts = np.flatnonzero(head)
+        long_word = np.diff(np.append(starts, len(joined))) > LONG
+        ids_of: list = [b""] * len(starts)
+        hex_of: list = [""] * len(starts)
+        for query, pick in ((SHORT_FIXPOINT, ~long_word), (LONG_FIXPOINT, long_word)):
+            if not pick.any():
+                continue
+            at = np.flatnonzero(pick[word]).astype(np.int32)
+            self.db.register("pieces", pa.table({"pos": at, "word": word[at], "tok": self.byte_ids[joined[at]]}))
+            found = self.db.sql(query + LISTED).to_arrow_table()
+            self.db.unregister("pieces")
+            ids = found.column("ids").combine_chunks()
+            flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+            begin = 0
+            for w, end, hexed in zip(found.column("word").to_pylist(), (4 * np.cumsum(np.asarray(ids.value_lengths()))).tolist(),
+                                     found.column("decoded").to_pylist()):
+                ids_of[w], hex_of[w], begin = flat[begin:end], hexed, end
         first = 0
         for (p, _), end in zip(open_, (word[ends - 1] + 1).tolist()):  # a piece is one word or several in a row
-            out[p] = (flat[4 * upto[first]:4 * upto[end]], bytes.fromhex("".join(decoded[first:end])))
+            out[p] = (b"".join(ids_of[first:end]), bytes.fromhex("".join(hex_of[first:end])))
             first = end
         return out
 
     def encode_chunks(self, chunk_list: list[str]) -> list[tuple[bytes, bytes]]:
         split = [self.split(c) for c in chunk_list]
-        known = self.encode_pieces(list(set().union(*split)) if split else [])
+        known = self.pieces.values_of(set().union(*split))
         return [(b"".join(known[p][0] for p in s), b"".join(known[p][1] for p in s)) for s in split]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:

@@ -28,35 +28,41 @@ def chunks(text: str) -> list[str]:
     return _CUT.split(text) if _UNSURE.search(text) else text.split(" ")
 
 
-class ChunkMemory:
-    """chunk -> value, with the space before it or without; misses are worked out in one call.
+class Memory:
+    """key -> value of what was worked out lately.
 
     Two generations: what is used again moves to the young one, and when that
-    is full the old one is forgotten, so frequent chunks stay.
+    is full the old one is forgotten, so frequent keys stay.
     """
 
+    def __init__(self, work_out: Callable[[list], dict], limit: int):
+        self.work_out, self.limit, self.young, self.old = work_out, limit, {}, {}
+
+    def values_of(self, keys: set) -> dict:
+        """A dictionary that holds all the keys; misses are worked out in one call."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        want = keys - self.young.keys()
+        known = want & self.old.keys()
+        self.young.update((k, self.old[k]) for k in known)
+        want -= known
+        if want:
+            self.young.update(self.work_out(list(want)))
+        return self.young
+
+
+class ChunkMemory:
+    """chunk -> value, with the space before it or without."""
+
     def __init__(self, work_out: Callable[[list[str]], list], limit: int = REMEMBERED):
-        self.work_out, self.limit = work_out, limit
-        self.young: tuple[dict, dict] = ({}, {})  # without and with the space
-        self.old: tuple[dict, dict] = ({}, {})
+        self.first = Memory(lambda some: dict(zip(some, work_out(some))), limit)
+        self.later = Memory(lambda some: dict(zip(some, work_out([" " + c for c in some]))), limit)
 
     def values(self, texts: list[str]) -> list[list]:
         """Per text, the values of its chunks in order."""
         cut = [chunks(t) for t in texts]
-        if sum(map(len, self.young)) > self.limit:
-            self.old, self.young = self.young, ({}, {})
-        asked = ({c[0] for c in cut}, set().union(*cut))
-        fresh = []
-        for young, old, want in zip(self.young, self.old, asked):
-            want -= young.keys()
-            known = want & old.keys()
-            young.update((c, old[c]) for c in known)
-            fresh.append(list(want - known))
-        if fresh[0] or fresh[1]:
-            found = self.work_out(fresh[0] + [" " + c for c in fresh[1]])
-            self.young[0].update(zip(fresh[0], found))
-            self.young[1].update(zip(fresh[1], found[len(fresh[0]):]))
-        first, later = self.young[0], self.young[1].__getitem__
+        first = self.first.values_of({c[0] for c in cut})
+        later = self.later.values_of(set().union(*[c[1:] for c in cut])).__getitem__
         return [[first[c[0]], *map(later, c[1:])] for c in cut]
 
 
