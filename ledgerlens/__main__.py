@@ -53,12 +53,8 @@ _STAMPED = {"high_risk_transactions", "executive_dashboard", "segment_performanc
 
 
 def _session() -> SparkSession:
-    active = SparkSession.getActiveSession()
-    if active is not None:
-        return active
-    from .session import local_session
-
-    return local_session()
+    """The session that spark-submit (or the caller) configured; its master is never overridden."""
+    return SparkSession.builder.appName("ledgerlens").getOrCreate()
 
 
 def run_ingest(spark: SparkSession, csv: str, out: str) -> None:

@@ -118,6 +118,7 @@ INSIGHT_ACTIONS = (
 )
 INSIGHT_ALERT_TIMEFRAME = "V3 Z-score > 15"
 INSIGHT_ALERT_ACTION = "Immediate block for amounts €1, €99.99, €0.01"
+INSIGHT_NO_DATA = "n/a"
 INDUSTRY_BENCHMARK_PCT = Decimal("0.5")
 PEAK_WINDOW_HOURS = 2
 
@@ -130,5 +131,6 @@ VALIDATION_ROWS = (
     ("analytics.transactions", "Main transaction table"),
     ("fraud_detection.fraud_cases", "Fraud classification table"),
 )
+TEST_LOAD_TIME = "2024-01-01 00:00:00"  # of the registered queries, so that loads repeat
 N_FEATURES = 28
 DEFAULT_RISK_SCORE = 50

@@ -18,7 +18,6 @@ from ..constants import (
     SEGMENT_LABELS,
     SEGMENT_LIMITS,
     SEGMENT_SHORT_LABELS,
-    VALUE_BAND_LABELS,
     VALUE_BAND_LIMITS,
 )
 
@@ -29,15 +28,14 @@ def day_seconds(t: Column) -> Column:
     return F.when(t < SECONDS_PER_DAY, t).otherwise(t - SECONDS_PER_DAY)
 
 
-def hour_of_day(t: Column, wrap: bool = False) -> Column:
+def hour_of_day(t: Column) -> Column:
     """Whole hours of the folded day offset, as INT.
 
     ``EXTRACT(HOUR FROM n * INTERVAL '1 second')`` does not wrap at 24 h, so a
     time of 172800 s or more gives 24 and above; integral division keeps that.
-    ``wrap=True`` uses ``pmod(t, 86400)`` instead.
+    Data of more than two days therefore has as many hours as it spans.
     """
-    secs = F.pmod(t, F.lit(SECONDS_PER_DAY)) if wrap else day_seconds(t)
-    return F.call_function("div", secs, F.lit(SECONDS_PER_HOUR)).cast("int")
+    return F.call_function("div", day_seconds(t), F.lit(SECONDS_PER_HOUR)).cast("int")
 
 
 def _banded(value: Column, limits, labels) -> Column:
@@ -62,10 +60,6 @@ def amount_segment_rank(amount: Column) -> Column:
     return _band_rank(amount, SEGMENT_LIMITS)
 
 
-def value_band(amount: Column) -> Column:
-    return _banded(amount, VALUE_BAND_LIMITS, VALUE_BAND_LABELS)
-
-
 def value_band_rank(amount: Column) -> Column:
     return _band_rank(amount, VALUE_BAND_LIMITS)
 
@@ -86,10 +80,6 @@ def time_period_rank(t: Column) -> Column:
     return expr.otherwise(n)
 
 
-def time_period(t: Column) -> Column:
-    return label_of_rank(time_period_rank(t), PERIOD_LABELS)
-
-
 def label_of_rank(rank: Column, labels) -> Column:
     expr = None
     for i, label in enumerate(labels, start=1):

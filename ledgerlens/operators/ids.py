@@ -31,12 +31,27 @@ from ..session import checkpoint_path
 _POS_MASK = (1 << 33) - 1  # low 33 bits of monotonically_increasing_id = row index in partition
 
 
+#: bytes of input (as the optimizer knows them) per range of the global sort
+BYTES_PER_RANGE = 256 << 20
+
+
+def ranges_for(df: DataFrame, bytes_per_range: int = BYTES_PER_RANGE) -> int:
+    """Ranges that the input's size asks for, at least the session's shuffle
+    partitions (also where the optimizer does not know the size)."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:  # no JVM plan (Spark Connect)
+        return least
+    return least if size >= 1 << 60 else max(least, -(-size // bytes_per_range))
+
+
 def materialize_ordered(df: DataFrame, order: Sequence[Column], num_partitions: int | None = None,
                         path: str | None = None) -> DataFrame:
     """Range-partition and sort ``df`` and write it with ``_pid`` (partition)
     and ``_pos`` (position in partition); return the written table."""
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or ranges_for(df)
     path = path or checkpoint_path(spark, f"ordered/{uuid.uuid4().hex}")
     keyed = df.withColumn("_input_pos", F.monotonically_increasing_id())
     keys = [*order, F.col("_input_pos")]

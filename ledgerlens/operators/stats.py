@@ -46,7 +46,3 @@ def zscore(c: str) -> Column:
     """``|x - mean| / NULLIF(sd, 0)`` using the attached statistics; NULL when
     the deviation is 0 or undefined."""
     return F.abs(F.col(c).cast("double") - F.col(mean_col(c))) / F.nullif(F.col(sd_col(c)), F.lit(0.0))
-
-
-def drop_stats(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith("_mean_") or c.startswith("_sd_")])

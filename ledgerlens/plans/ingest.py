@@ -5,11 +5,11 @@ Two ways to label transactions are offered:
 
 * ``load_fraud_cases`` reproduces the label join on 30 keys (amount, time and
   the 28 features rounded to 6 places) with its DISTINCT. The staging side is
-  reduced to one row per key with the set of classes seen *before* the join,
-  so a group of k identical source rows yields at most 2 cases per
-  transaction instead of a k x k fan-out, and no DISTINCT pass is needed
-  after the join. A hot key on the transaction side is split by AQE's
-  skew-join handling (its partner side is a single row).
+  reduced to distinct (30 keys, is fraud) rows *before* the join (a plain hash
+  aggregate, at most two rows per key), so a group of k identical source rows
+  yields at most 2 cases per transaction instead of a k x k fan-out, and no
+  DISTINCT pass is needed after the join. Both sides of the join are plain
+  shuffles on the 30 keys, so AQE can split a hot key of the transaction side.
 * ``carry_label`` keeps the class through the id assignment: one pass, no
   join. It equals the label join when no two source rows share all 30 keys
   with different classes and no key is NULL.
@@ -20,7 +20,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -32,7 +32,7 @@ from ..schema import FEATURES
 from ..session import checkpoint_path, is_live
 from ..sources import fixtures
 from ..sources.card_csv import to_staging
-from ..sources.testdata import read_table
+from ..sources.testdata import read_table, source_state
 from .data import PaymentData
 
 TX_KEYS = ["amount", "transaction_time", *FEATURES]
@@ -41,7 +41,7 @@ TX_KEYS = ["amount", "transaction_time", *FEATURES]
 def staging_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The staging table (P01) for a test-data folder: the fixture rows in the
     delivered file layout, through the same mapping the CSV reader uses."""
-    return to_staging(fixtures.raw_card_file(read_table(spark, sf_dir, "events", spread=True)))
+    return to_staging(fixtures.raw_card_file(read_table(spark, sf_dir, "events")))
 
 
 def _rounded_features(df: DataFrame) -> list:
@@ -59,14 +59,14 @@ def _ordered_rows(staging: DataFrame) -> DataFrame:
     return materialize_ordered(rows, [F.col(c).asc_nulls_first() for c in _ORDER_COLUMNS])
 
 
-def _transactions_from_ordered(ordered: DataFrame, audit_columns: bool = False, keep_class: bool = False) -> DataFrame:
+def _transactions_from_ordered(ordered: DataFrame, audit_columns: bool = False, keep_class: bool = False, as_of=None) -> DataFrame:
     with_ids = number_ordered(ordered, "transaction_id")
     cols = [F.col("transaction_id"), F.lit(None).cast("bigint").alias("customer_id"), "amount", "transaction_time"]
     if audit_columns:
         cols.append(F.lit(None).cast("timestamp").alias("transaction_timestamp"))
     cols += FEATURES
     if audit_columns:
-        cols.append(F.current_timestamp().alias("created_at"))
+        cols.append(_moment(as_of).alias("created_at"))
     if keep_class:
         cols.append("class")
     return with_ids.select(*cols)
@@ -78,12 +78,17 @@ def load_transactions(staging: DataFrame, audit_columns: bool = False, keep_clas
     return _transactions_from_ordered(_ordered_rows(staging), audit_columns, keep_class)
 
 
-def _case_columns(df: DataFrame, cls: str = "class") -> list:
-    fraud = F.col(cls) == 1
+def _is_fraud() -> Column:
+    """The label of a class code: 1 is fraud; any other code, and none, is not."""
+    return F.coalesce(F.col("class") == 1, F.lit(False))
+
+
+def _case_columns() -> list:
+    fraud = F.col("is_fraud")
     return [
         "transaction_id",
         F.lit(None).cast("bigint").alias("customer_id"),
-        F.when(fraud, True).otherwise(False).alias("is_fraud"),
+        "is_fraud",
         F.lit(C.LABEL_METHOD).alias("detection_method"),
         F.when(fraud, F.lit(C.FRAUD_PROBABILITY)).otherwise(F.lit(C.NORMAL_PROBABILITY))
         .cast("decimal(5,4)").alias("fraud_probability"),
@@ -93,35 +98,37 @@ def _case_columns(df: DataFrame, cls: str = "class") -> list:
 def load_fraud_cases(transactions: DataFrame, staging: DataFrame) -> DataFrame:
     """Fraud cases (P06) by the 30-key label join; NULL keys match nothing.
 
-    The label side is grouped by exactly the join keys, collecting the set of
-    classes seen (at most two values, de-duplicated map-side, so a hot key
-    stays two values): its output is already hash-partitioned on the join
-    keys, so only the transaction side is shuffled for the join. Each
-    (transaction, class) pair is then one case, as the DISTINCT gives.
+    The label side is the distinct (keys, is_fraud) rows: clustered on 31
+    columns, it is shuffled again for the join on 30, like the transaction
+    side. That second shuffle of an already reduced table is what lets AQE's
+    skew-join handling split a hot key (it never splits a partition that an
+    aggregate below the join still needs whole).
     """
-    labels = (
-        staging.select("amount", F.col("time_seconds").alias("transaction_time"), *_rounded_features(staging), "class")
-        .groupBy(*TX_KEYS)
-        .agg(F.collect_set("class").alias("_classes"))
-    )
+    labels = staging.select(
+        "amount", F.col("time_seconds").alias("transaction_time"), *_rounded_features(staging),
+        _is_fraud().alias("is_fraud")).distinct()
     joined = transactions.select("transaction_id", *TX_KEYS).join(labels, TX_KEYS, "inner")
-    cases = joined.select("transaction_id", F.explode("_classes").alias("class"))
-    return cases.select(*_case_columns(cases))
+    return joined.select(*_case_columns())
 
 
 def carry_label(transactions_with_class: DataFrame) -> DataFrame:
     """Fraud cases straight from a class column kept through the load."""
-    return transactions_with_class.select(*_case_columns(transactions_with_class))
+    return transactions_with_class.withColumn("is_fraud", _is_fraud()).select(*_case_columns())
+
+
+def _moment(as_of) -> Column:
+    """The load's time: now, or the given one (for repeatable loads)."""
+    return F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
 
 
-def with_case_ids(cases: DataFrame) -> DataFrame:
+def with_case_ids(cases: DataFrame, as_of=None) -> DataFrame:
     """case_id 1..n in (transaction_id, is_fraud) order, plus the defaulted
     columns of the case table."""
     order = [F.col("transaction_id").asc_nulls_first(), F.col("is_fraud").asc_nulls_first()]
     return assign_sequential_ids(cases, order, "case_id").select(
         "case_id", *[c for c in cases.columns],
         F.lit("pending").alias("investigation_status"),
-        F.current_timestamp().alias("reported_date"),
+        _moment(as_of).alias("reported_date"),
         F.lit(None).cast("timestamp").alias("resolved_date"),
         F.lit(0).cast("decimal(10,2)").alias("financial_loss"),
     )
@@ -137,15 +144,15 @@ class Loaded:
         return PaymentData(self.transactions, self.fraud_cases)
 
 
-def load_all(staging: DataFrame) -> Loaded:
-    """Staging -> transactions -> fraud cases. The ordered, rounded staging
-    rows are written once; both the ids and the label side of the join read
-    that table (its rows are the staging rows, rounded — rounding again is a
-    no-op), so the staging input is computed once."""
+def load_all(staging: DataFrame, as_of=None) -> Loaded:
+    """Staging -> transactions -> fraud cases, both with all their columns. The
+    ordered, rounded staging rows are written once; both the ids and the label
+    side of the join read that table (its rows are the staging rows, rounded —
+    rounding again is a no-op), so the staging input is computed once."""
     ordered = _ordered_rows(staging)
-    tx = _transactions_from_ordered(ordered)
+    tx = _transactions_from_ordered(ordered, audit_columns=True, as_of=as_of)
     as_staging = ordered.select(F.col("transaction_time").alias("time_seconds"), *FEATURES, "amount", "class")
-    return Loaded(staging, tx, load_fraud_cases(tx, as_staging))
+    return Loaded(staging, tx, with_case_ids(load_fraud_cases(tx, as_staging), as_of))
 
 
 def write_staging(staging: DataFrame, path: str | None = None) -> DataFrame:
@@ -158,9 +165,9 @@ def write_staging(staging: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def load_from_testdata(spark: SparkSession, sf_dir: str) -> Loaded:
-    """Run the whole load for a test-data folder (lazy after the two writes)."""
-    return load_all(write_staging(staging_from_testdata(spark, sf_dir)))
+def load_from_testdata(spark: SparkSession, sf_dir: str, as_of=C.TEST_LOAD_TIME) -> Loaded:
+    """Run the whole load for a test-data folder (lazy after the writes), at a fixed load time."""
+    return load_all(write_staging(staging_from_testdata(spark, sf_dir)), as_of)
 
 
 def store_loaded(loaded: Loaded, path: str) -> Loaded:
@@ -178,10 +185,11 @@ _LOADS: dict = {}
 def loaded_from_testdata(spark: SparkSession, sf_dir: str) -> Loaded:
     """The loaded tables of a test-data folder, loaded once per session (as
     the setup script loads once and its validation queries read the tables)."""
-    cached = _LOADS.get(sf_dir)
+    key = (sf_dir, source_state(spark, sf_dir, "events"))
+    cached = _LOADS.get(key)
     if cached is None or cached[0] is not spark or not is_live(spark):
         stored = store_loaded(load_from_testdata(spark, sf_dir), checkpoint_path(spark, f"loaded/{uuid.uuid4().hex}"))
-        _LOADS[sf_dir] = cached = (spark, stored)
+        _LOADS[key] = cached = (spark, stored)
     return cached[1]
 
 
@@ -215,8 +223,9 @@ def dq_not_null(data: PaymentData) -> DataFrame:
 
 
 def dq_unique_key(data: PaymentData) -> DataFrame:
+    """The tables' own keys; a transaction may have several cases, so a case's key is ``case_id``."""
     return duplicate_keys(data.transactions, "analytics.transactions", "transaction_id").unionByName(
-        duplicate_keys(data.fraud_cases, "fraud_detection.fraud_cases", "transaction_id")
+        duplicate_keys(data.fraud_cases, "fraud_detection.fraud_cases", "case_id")
     )
 
 

@@ -1,19 +1,26 @@
 """Named queries over a test-data folder: ``name -> fn(spark, sf_dir)``.
 
 Every entry reads the folder's tables (through the fixture mapping) and runs
-over all rows. Views are registered without their query-time timestamp so
-that results are reproducible.
+over all rows. Views and loads are registered at a fixed time, as text, so that
+results are reproducible.
 """
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import detect, extras, ingest, params, report, views
+from . import catalog, detect, extras, ingest, params, report, views
+from ..constants import TEST_LOAD_TIME
+from ..session import checkpoint_path
+from ..sources import fixtures
+from ..sources.card_csv import read_card_csv, write_card_csv
+from ..sources.testdata import read_table
 from ..streaming import score as streaming
 from .data import PaymentData
 
@@ -41,22 +48,60 @@ def _on_load(fn, part: str | None = None) -> Query:
     return run
 
 
-def _ident(df: DataFrame) -> DataFrame:
-    return df
+def _timed(fn: Query, *columns: str) -> Query:
+    return lambda spark, sf_dir: _texted(*columns)(fn(spark, sf_dir))
 
 
-def engine_neutral(df: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
-    """The driver-facing form of a result: DECIMAL columns as DOUBLE (exact
-    conversion of the rounded value, identical on every engine and client),
-    always-NULL columns left out."""
-    cols = [F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
+def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The staging rows written in the delivered file layout and read back by the declared-schema CSV reader."""
+    path = checkpoint_path(spark, f"csv/{uuid.uuid4().hex}")
+    write_card_csv(fixtures.raw_card_file(read_table(spark, sf_dir, "events")), path)
+    return read_card_csv(spark, path)
+
+
+def _sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL table function with positional, named and default arguments."""
+    name = params.register_sql_function(PaymentData.from_testdata(spark, sf_dir))
+    return spark.sql(f"SELECT * FROM {name}(2, end_hour => 6)")
+
+
+def _catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row counts of the load published as schema-qualified catalog tables and scanned by name."""
+    catalog.publish(ingest.loaded_from_testdata(spark, sf_dir))
+    return ingest.validate_counts(catalog.read_published(spark))
+
+
+def _view_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per view in a dated snapshot of all views."""
+    path = checkpoint_path(spark, f"snapshots/{uuid.uuid4().hex}")
+    data = PaymentData.from_testdata(spark, sf_dir)
+    views.snapshot_views(data, path, TEST_LOAD_TIME)
+    parts = [spark.read.parquet(f"{path}/{v}").groupBy(F.col("snapshot_date").cast("string").alias("snapshot_date"))
+             .agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(v).alias("view_name"), "snapshot_date", "row_count")
+             for v in sorted(views.VIEW_BUILDERS)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _texted(*columns: str):
+    """The table with its times as text (the same in every client)."""
+    def run(df: DataFrame) -> DataFrame:
+        return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in columns})
+
+    return run
+
+
+def engine_neutral(df: DataFrame, drop: tuple[str, ...] = (), sparse: tuple[str, ...] = ()) -> DataFrame:
+    """The driver-facing form of a result: DECIMAL columns and integer columns
+    with gaps (``sparse``) as DOUBLE (exact conversion, identical on every
+    engine and client), always-NULL columns left out."""
+    cols = [F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) or f.name in sparse else F.col(f.name)
             for f in df.schema.fields if f.name not in drop]
     return df.select(*cols)
 
 
-def _neutral(fn: Query, drop: tuple[str, ...] = ()) -> Query:
+def _neutral(fn: Query, drop: tuple[str, ...] = (), sparse: tuple[str, ...] = ()) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return engine_neutral(fn(spark, sf_dir), drop)
+        return engine_neutral(fn(spark, sf_dir), drop, sparse)
 
     run.__name__ = getattr(fn, "__name__", "query")
     run.__doc__ = fn.__doc__
@@ -66,11 +111,11 @@ def _neutral(fn: Query, drop: tuple[str, ...] = ()) -> Query:
 _NATIVE: dict[str, Query] = {
     # file 01: ingest and validation
     "ingest_staging": lambda spark, sf_dir: ingest.staging_from_testdata(spark, sf_dir),
-    "load_transactions": _on_load(_ident, "transactions"),
-    "dq_not_null": _on_fixture(ingest.dq_not_null),
-    "dq_unique_key": _on_fixture(ingest.dq_unique_key),
-    "dq_orphans": _on_fixture(ingest.dq_orphans),
-    "load_fraud_cases": _on_load(_ident, "fraud_cases"),
+    "load_transactions": _on_load(_texted("created_at"), "transactions"),
+    "dq_not_null": _on_load(ingest.dq_not_null),
+    "dq_unique_key": _on_load(ingest.dq_unique_key),
+    "dq_orphans": _on_load(ingest.dq_orphans),
+    "load_fraud_cases": _on_load(_texted("reported_date"), "fraud_cases"),
     "validate_counts": _on_load(ingest.validate_counts),
     "fraud_distribution": _on_load(ingest.fraud_distribution, "fraud_cases"),
     # file 02: detection
@@ -83,7 +128,7 @@ _NATIVE: dict[str, Query] = {
     "v3_pattern_top100": _on_fixture(detect.v3_pattern_top),
     "method_comparison": _on_fixture(detect.method_comparison),
     "view_fraud_hourly_stats": _on_fixture(views.fraud_hourly_stats),
-    "view_high_risk_transactions": _on_fixture(views.high_risk_transactions, include_timestamp=False),
+    "view_high_risk_transactions": _timed(_on_fixture(views.high_risk_transactions, as_of=TEST_LOAD_TIME), "analysis_timestamp"),
     "view_detection_performance": _on_fixture(views.detection_performance_summary),
     "analyze_fraud_by_parameters": _on_fixture(params.analyze_fraud_by_parameters),
     "analyze_fraud_by_parameters_2_6_12": _on_fixture(params.analyze_fraud_by_parameters, start_hour=2, end_hour=6,
@@ -95,8 +140,13 @@ _NATIVE: dict[str, Query] = {
     "segment_analysis": _on_fixture(report.segment_analysis),
     "period_trends": _on_fixture(report.period_trends),
     "operational_insights": _on_fixture(report.operational_insights),
-    "view_executive_dashboard": _on_fixture(views.executive_dashboard, include_timestamp=False),
-    "view_segment_performance": _on_fixture(views.segment_performance, include_timestamp=False),
+    "view_executive_dashboard": _timed(_on_fixture(views.executive_dashboard, as_of=TEST_LOAD_TIME), "report_timestamp"),
+    "view_segment_performance": _timed(_on_fixture(views.segment_performance, as_of=TEST_LOAD_TIME), "report_timestamp"),
+    # connectors and SQL surface
+    "csv_ingest_round_trip": _csv_round_trip,
+    "sql_table_function": _sql_function,
+    "catalog_scan": _catalog_scan,
+    "view_snapshots": _view_snapshots,
     # extensions
     "detector_extras": _on_fixture(detect.detector_extras),
     "customer_rollup": _on_fixture(extras.customer_rollup),
@@ -111,5 +161,7 @@ _NATIVE: dict[str, Query] = {
 # results with their library types (DECIMAL money and ratios)
 NATIVE_QUERIES = _NATIVE
 
-_DROPPED = {"load_transactions": ("customer_id",), "load_fraud_cases": ("customer_id",)}
-QUERIES: dict[str, Query] = {name: _neutral(fn, _DROPPED.get(name, ())) for name, fn in _NATIVE.items()}
+_SPARSE = {"ingest_staging": ("class",), "csv_ingest_round_trip": ("class",)}  # a row without a class
+# always NULL after a load
+_DROPPED = {"load_transactions": ("customer_id", "transaction_timestamp"), "load_fraud_cases": ("customer_id", "resolved_date")}
+QUERIES: dict[str, Query] = {name: _neutral(fn, _DROPPED.get(name, ()), _SPARSE.get(name, ())) for name, fn in _NATIVE.items()}

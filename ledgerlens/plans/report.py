@@ -91,12 +91,6 @@ def hourly_financials(data: PaymentData) -> DataFrame:
 
 
 # --- P23 -------------------------------------------------------------------
-def pattern_precision(data: PaymentData) -> DataFrame:
-    """One row: precision of the V3 pattern method (2 places)."""
-    sweep = method_sweep(data).where(F.col("detector_order") == 3)
-    return sweep.select(half_up_ratio(F.col("caught"), F.col("flagged"), 2, factor=100).alias("pattern_precision"))
-
-
 def financial_impact(data: PaymentData, hours: int = C.OBSERVED_HOURS, v3_precision_text: str | None = None) -> DataFrame:
     """Five rows of loss and rate figures. The V3 precision row is computed
     from the data unless a fixed text is given (the published text is
@@ -213,7 +207,7 @@ def period_trends(data: PaymentData) -> DataFrame:
 
 # --- P26 -------------------------------------------------------------------
 def _two_digit_hour(h: Column) -> Column:
-    return F.concat(F.lpad(h.cast("string"), 2, "0"), F.lit(":00"))
+    return F.concat(F.when(h.between(0, 9), "0").otherwise(""), h.cast("string"), F.lit(":00"))
 
 
 def operational_insights(data: PaymentData, benchmark_pct: Decimal = C.INDUSTRY_BENCHMARK_PCT,
@@ -282,14 +276,21 @@ def operational_insights(data: PaymentData, benchmark_pct: Decimal = C.INDUSTRY_
     better = half_up_ratio(F.lit(b_int) * F.col("n_tx") - F.col("n_fraud") * (100 * scale),
                            F.lit(b_int) * F.col("n_tx"), 0, factor=100)
     bench_txt = str(benchmark_pct)
-    one = peak.crossJoin(seg).crossJoin(best).crossJoin(totals)
+    # every part has at most one row; where one has none (no two consecutive hours,
+    # no rows at all) its recommendation says so and the others stand
+    one = totals
+    for part in (peak, seg, best):
+        one = one.join(F.broadcast(part), F.lit(True), "left")
     ops, bench = C.INSIGHT_CATEGORY_OPS, C.INSIGHT_CATEGORY_BENCH
     t = C.INSIGHT_TYPES
+    none = F.lit(C.INSIGHT_NO_DATA)
     rows = [
-        (ops, t[0], F.concat(F.col("_h0"), F.lit("-"), F.col("_h1")),
-         F.concat(F.col("_peak_rate").cast("string"), F.lit("%" + C.INSIGHT_ACTIONS[0]))),
-        (ops, t[1], F.col("_segment"), F.concat(F.col("_seg_rate").cast("string"), F.lit("%" + C.INSIGHT_ACTIONS[1]))),
-        (ops, t[2], F.col("_method"), F.concat(F.col("_precision").cast("string"), F.lit("%" + C.INSIGHT_ACTIONS[2]))),
+        (ops, t[0], F.coalesce(F.concat(F.col("_h0"), F.lit("-"), F.col("_h1")), none),
+         F.coalesce(F.concat(F.col("_peak_rate").cast("string"), F.lit("%" + C.INSIGHT_ACTIONS[0])), none)),
+        (ops, t[1], F.coalesce(F.col("_segment"), none),
+         F.coalesce(F.concat(F.col("_seg_rate").cast("string"), F.lit("%" + C.INSIGHT_ACTIONS[1])), none)),
+        (ops, t[2], F.coalesce(F.col("_method"), none),
+         F.coalesce(F.concat(F.col("_precision").cast("string"), F.lit("%" + C.INSIGHT_ACTIONS[2])), none)),
         (ops, t[3], C.INSIGHT_ALERT_TIMEFRAME, C.INSIGHT_ALERT_ACTION),
         (bench, t[4], F.concat(rate.cast("string"), F.lit(f"% vs {bench_txt}%")),
          F.when(better >= 0, F.concat(better.cast("string"), F.lit("% better than industry benchmark")))

@@ -7,7 +7,10 @@ and examples only.
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -48,28 +51,37 @@ def is_live(spark: SparkSession) -> bool:
         return True
 
 
+def _own_scratch() -> str:
+    """A folder of this process on this machine, removed when it ends."""
+    path = tempfile.mkdtemp(prefix="ledgerlens-ckpt-", dir=os.environ.get("LEDGERLENS_SCRATCH"))
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset
-    (local tests) a scratch folder of our own is made; on a cluster the
-    setting points at shared storage and is never overridden.
+    ``spark.checkpoint.dir`` is read from the session. Only a session whose
+    master is this machine (tests, examples) gets a scratch folder of its own
+    where the setting is missing; anywhere else that is an error, because a
+    folder of the driver is not one that the executors share.
     """
     try:
         sc = spark.sparkContext
-    except Exception:  # no local SparkContext: the configured folder is all we have
+    except Exception:  # no local SparkContext (Spark Connect): the configured folder is all we have
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        return configured or tempfile.mkdtemp(prefix="ledgerlens-ckpt-",
-                                              dir=os.environ.get("LEDGERLENS_SCRATCH", "/tmp"))
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share") from None
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir()
-    scratch = tempfile.mkdtemp(prefix="ledgerlens-ckpt-", dir=os.environ.get("LEDGERLENS_SCRATCH", "/tmp"))
-    sc.setCheckpointDir(scratch)
+    if not configured:
+        if not re.match(r"local(\[|$)", sc.master or ""):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = _own_scratch()
+    sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 

@@ -83,40 +83,13 @@ def fraud_cases(events: DataFrame) -> DataFrame:
     )
 
 
-def with_cases(events: DataFrame) -> DataFrame:
-    """``tx`` columns plus ``_cases``, the event's case structs (0..2)."""
-    return transactions(events, keep=(_case_array().alias("_cases"),))
-
-
-def split_with_cases(wide: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(tx, fc, labelled) from the output of ``with_cases``."""
-    tx_cols = ["transaction_id", "customer_id", "transaction_time", "amount", "v1", "v2", "v3", "v4", "v5"]
-    tx = wide.select(*tx_cols)
-    fc = wide.select("transaction_id", F.inline("_cases")).select("transaction_id", "is_fraud")
-    lab = wide.select(*tx_cols, F.inline("_cases")).select(*tx_cols, "is_fraud")
-    return tx, fc, lab
-
-
-def labelled(events: DataFrame) -> DataFrame:
-    """``tx`` joined with ``fc`` on the transaction id, without the join.
-
-    Both fixtures are projections of the same event row (the id is the unique
-    ``event_id``), so every case row belongs to exactly one transaction row:
-    generating the case rows next to the transaction columns gives the join's
-    result in one narrow pass — no shuffle of either side. Equality with the
-    join is tested.
-    """
-    tx = transactions(events, keep=(F.inline(_case_array()),))
-    return tx.select("transaction_id", "customer_id", "transaction_time", "amount",
-                     "v1", "v2", "v3", "v4", "v5", "is_fraud")
-
-
 def raw_card_file(events: DataFrame) -> DataFrame:
     """The ingest fixture ``raw`` (FIXTURES.md §5), in the delivered file's
     column names (Time, V1..V28, Amount, Class).
 
     Copies of rows (an exact duplicate for ``event_id % 1000 = 1``, a copy with
-    the class flipped for ``= 2``) come from a per-row generator: one scan.
+    the class flipped for ``= 2``, a copy with class 2 for ``= 5``) come from a
+    per-row generator: one scan. Rows with ``event_id % 1000 = 4`` have no class.
     """
     eid = F.col("event_id")
     fraud = F.expr(f"CASE WHEN {_FRAUD} THEN 1 ELSE 0 END")
@@ -130,12 +103,14 @@ def raw_card_file(events: DataFrame) -> DataFrame:
         if i == N_FEATURES:
             c = F.when((eid % 1000) != 3, c)
         feats.append(c.alias(f"V{i}"))
-    copies = F.when((eid % 1000).isin(1, 2), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    copies = F.when((eid % 1000).isin(1, 2, 5), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     rows = events.select(
         F.expr(_TIME).alias("Time"), *feats, F.expr(_AMOUNT).alias("Amount"),
         fraud.alias("_class"), eid.alias("_eid"), F.explode(copies).alias("_copy"),
     )
-    flip = (F.col("_copy") == 1) & ((F.col("_eid") % 1000) == 2)
-    return rows.withColumn("Class", F.when(flip, 1 - F.col("_class")).otherwise(F.col("_class"))).drop(
+    kind, copy = F.col("_eid") % 1000, F.col("_copy") == 1
+    label = (F.when(copy & (kind == 2), 1 - F.col("_class")).when(copy & (kind == 5), 2)
+             .when(kind == 4, F.lit(None).cast("int")).otherwise(F.col("_class")))
+    return rows.withColumn("Class", label).drop(
         "_class", "_eid", "_copy"
     )

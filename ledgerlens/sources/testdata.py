@@ -14,28 +14,18 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """Read one table. ``spread``: a table stored as fewer splits than the
-    session has cores (one small file with one row group reads as a single
-    task) is round-robin repartitioned to the default parallelism, so the
-    per-row work that follows uses every core. A large table already has
-    more splits than cores, and then nothing is added. Worth it only before
-    heavy per-row work (the extra exchange costs more than light work saves)."""
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read one table as its files are split; a caller that wants other splits repartitions."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(table_path(sf_dir, name))
-    return ensure_parallelism(df) if spread else df
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
-_SPLITS: dict[str, int] = {}
-
-
-def ensure_parallelism(df: DataFrame, target: int | None = None) -> DataFrame:
+def source_state(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """What tells one state of a table's files from another: the top path's length and modification time."""
     try:
-        want = target or df.sparkSession.sparkContext.defaultParallelism
-        key = "|".join(sorted(df.inputFiles()))
-        if key not in _SPLITS:  # the split count of immutable input files
-            _SPLITS[key] = df.rdd.getNumPartitions()
-    except Exception:  # no local SparkContext (e.g. Spark Connect): leave as read
-        return df
-    return df.repartition(want) if _SPLITS[key] < want else df
+        path = spark._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, name))
+        status = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path)
+        return f"{status.getLen()}@{status.getModificationTime()}"
+    except AttributeError:  # no JVM gateway (Spark Connect)
+        return ""

@@ -31,6 +31,7 @@ from ..plans.detect import pattern_action, pattern_flag
 from ..schema import EVENTS
 from ..session import checkpoint_path
 from ..sources import fixtures
+from ..sources.testdata import read_table
 
 
 def write_stats_snapshot(data: PaymentData, path: str, features=("v3",)) -> DataFrame:
@@ -71,12 +72,9 @@ def score_stream(transactions: DataFrame, stats: DataFrame, watch_z: float = C.M
     )
 
 
-def hourly_alert_stream(transactions: DataFrame, stats: DataFrame, delay: str = "1 hour",
-                        window: str = "1 hour") -> DataFrame:
-    scored = transactions.crossJoin(F.broadcast(stats)).withColumn("v3_z", zscore("v3"))
+def _alert_windows(scored: DataFrame, window: str) -> DataFrame:
     return (
-        scored.withWatermark("event_time", delay)
-        .groupBy(F.window("event_time", window).alias("w"))
+        scored.groupBy(F.window("event_time", window).alias("w"))
         .agg(
             F.count(F.lit(1)).alias("transactions"),
             F.count_if(F.col("v3_z") > F.lit(C.MONITOR_V3_Z)).alias("high_risk"),
@@ -91,6 +89,29 @@ def hourly_alert_stream(transactions: DataFrame, stats: DataFrame, delay: str =
     )
 
 
+def hourly_alert_stream(transactions: DataFrame, stats: DataFrame, delay: str = "1 hour",
+                        window: str = "1 hour") -> DataFrame:
+    scored = transactions.crossJoin(F.broadcast(stats)).withColumn("v3_z", zscore("v3"))
+    return _alert_windows(scored.withWatermark("event_time", delay), window)
+
+
+def close_open_windows(emitted: DataFrame, transactions: DataFrame, stats: DataFrame, window: str = "1 hour") -> DataFrame:
+    """All windows of a source that has ended: those the stream emitted, and those still in its state.
+
+    Append mode emits a window only when the watermark has passed its end, so
+    the last windows of a source that stops stay in the state. This closing
+    step computes them as a batch from the source's rows past the last emitted
+    window (a time filter); the stream's own output is left as it is.
+    """
+    last = emitted.agg(F.max("window_end").alias("last_end"))  # one row
+    scored = (
+        transactions.crossJoin(F.broadcast(last))
+        .where(F.col("last_end").isNull() | (utc_text(F.col("event_time")) >= F.col("last_end")))
+        .drop("last_end").crossJoin(F.broadcast(stats)).withColumn("v3_z", zscore("v3"))
+    )
+    return emitted.unionByName(_alert_windows(scored, window))
+
+
 def run_to_parquet(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True,
                    processing_time: str | None = None) -> StreamingQuery:
     writer = (stream.writeStream.format("parquet").option("path", path)
@@ -119,14 +140,13 @@ def stream_score_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_hourly_alerts_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X2 over a test-data folder."""
+    """X2 over a test-data folder: the stream runs until its source ends, then its open windows are closed."""
     data = PaymentData.from_testdata(spark, sf_dir)
-
-    def build(base: str) -> DataFrame:
-        stats = write_stats_snapshot(data, f"{base}/stats")
-        return hourly_alert_stream(transaction_stream(event_stream(spark, _events_glob(sf_dir))), stats)
-
-    return _run(spark, "hourly", build)
+    stats_path = checkpoint_path(spark, f"streams/stats-{uuid.uuid4().hex}")
+    stats = write_stats_snapshot(data, stats_path)
+    emitted = _run(spark, "hourly", lambda base: hourly_alert_stream(
+        transaction_stream(event_stream(spark, _events_glob(sf_dir))), stats))
+    return close_open_windows(emitted, transaction_stream(read_table(spark, sf_dir, "events")), stats)
 
 
 def _events_glob(sf_dir: str) -> str:

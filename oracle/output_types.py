@@ -10,9 +10,9 @@ column types of both sides agree.
 """
 
 DOUBLE_COLUMNS: dict[str, tuple[str, ...]] = {
-    "ingest_staging": ('v1', 'v2', 'v3', 'v4', 'v5', 'v6', 'v7', 'v8', 'v9', 'v10', 'v11', 'v12', 'v13', 'v14', 'v15', 'v16', 'v17', 'v18', 'v19', 'v20', 'v21', 'v22', 'v23', 'v24', 'v25', 'v26', 'v27', 'v28', 'amount',),
+    "ingest_staging": ('v1', 'v2', 'v3', 'v4', 'v5', 'v6', 'v7', 'v8', 'v9', 'v10', 'v11', 'v12', 'v13', 'v14', 'v15', 'v16', 'v17', 'v18', 'v19', 'v20', 'v21', 'v22', 'v23', 'v24', 'v25', 'v26', 'v27', 'v28', 'amount', 'class',),
     "load_transactions": ('amount', 'v1', 'v2', 'v3', 'v4', 'v5', 'v6', 'v7', 'v8', 'v9', 'v10', 'v11', 'v12', 'v13', 'v14', 'v15', 'v16', 'v17', 'v18', 'v19', 'v20', 'v21', 'v22', 'v23', 'v24', 'v25', 'v26', 'v27', 'v28',),
-    "load_fraud_cases": ('fraud_probability',),
+    "load_fraud_cases": ("fraud_probability", "financial_loss"),
     "fraud_distribution": ('percentage',),
     "amount_threshold_sweep": ('precision_percentage',),
     "amount_flagged_top50": ('amount', 'avg_amount', 'optimal_threshold', 'amount_percentile',),
@@ -39,8 +39,11 @@ DOUBLE_COLUMNS: dict[str, tuple[str, ...]] = {
     "stream_hourly_alerts": ('volume',),
 }
 
+DOUBLE_COLUMNS["csv_ingest_round_trip"] = DOUBLE_COLUMNS["ingest_staging"]
+DOUBLE_COLUMNS["sql_table_function"] = DOUBLE_COLUMNS["analyze_fraud_by_parameters"]
+
 # always-NULL columns left out of the registered outputs
 DROPPED_COLUMNS: dict[str, tuple[str, ...]] = {
-    "load_transactions": ("customer_id",),
-    "load_fraud_cases": ("customer_id",),
+    "load_transactions": ("customer_id", "transaction_timestamp"),
+    "load_fraud_cases": ("customer_id", "resolved_date"),
 }

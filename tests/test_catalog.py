@@ -10,10 +10,10 @@ def test_publish_and_verify(spark):
     catalog.publish(loaded)
     catalog.publish(loaded)  # rerun: overwrite, same counts
     counts = {t: spark.table(t).count() for t in catalog.TABLES.values()}
-    assert counts == {"staging.raw_creditcard": 1002, "analytics.transactions": 1002,
-                      "fraud_detection.fraud_cases": 1003}
+    assert counts == {"staging.raw_creditcard": 1003, "analytics.transactions": 1003,
+                      "fraud_detection.fraud_cases": 1004}
     again = catalog.read_published(spark)
-    assert {r.table_name: r.row_count for r in ingest.validate_counts(again).collect()}["analytics.transactions"] == 1002
+    assert {r.table_name: r.row_count for r in ingest.validate_counts(again).collect()}["analytics.transactions"] == 1003
     catalog.truncate_staging(spark)
     assert spark.table("staging.raw_creditcard").count() == 0
     catalog.drop_staging(spark)

@@ -77,8 +77,8 @@ def test_carry_label_equals_join_without_conflicts(spark):
 def test_expected_ingest_counts(spark):
     loaded = ingest.load_from_testdata(spark, SF_SMALL)
     counts = {r.table_name: r.row_count for r in ingest.validate_counts(loaded).collect()}
-    assert counts == {"staging.raw_creditcard": 1002, "analytics.transactions": 1002,
-                      "fraud_detection.fraud_cases": 1003}
+    assert counts == {"staging.raw_creditcard": 1003, "analytics.transactions": 1003,
+                      "fraud_detection.fraud_cases": 1004}
     unlabelled = loaded.transactions.join(loaded.fraud_cases, "transaction_id", "left_anti").count()
     assert unlabelled == 1
 
@@ -87,9 +87,12 @@ def test_orphan_case_is_reported(spark):
     data = make_data(spark, [(1, 0, 10), (2, 0, 10)], [(1, True), (99, False)])
     got = {r.check_name: r.row_count for r in ingest.dq_orphans(data).collect()}
     assert got == {"fraud case without transaction": 1, "transaction without fraud case": 1}
-    dup = {r.table_name: (r.duplicate_keys, r.rows_with_duplicate_key)
-           for r in ingest.dq_unique_key(make_data(spark, [(1, 0, 1), (1, 0, 2)], [(1, True)])).collect()}
-    assert dup["analytics.transactions"] == (1, 2)
+    twice = make_data(spark, [(1, 0, 1), (1, 0, 2)], [(1, True), (1, False)])
+    cases = ingest.with_case_ids(twice.fraud_cases.selectExpr("*"), "2024-01-01")
+    dup = {r.table_name: (r.key_column, r.duplicate_keys, r.rows_with_duplicate_key)
+           for r in ingest.dq_unique_key(type(twice)(twice.transactions, cases)).collect()}
+    assert dup["analytics.transactions"] == ("transaction_id", 1, 2)
+    assert dup["fraud_detection.fraud_cases"] == ("case_id", 0, 0)  # two cases of one transaction are fine
     assert FEATURES[0] == "v1"
 
 
