@@ -2,72 +2,54 @@
 
 ``percentile_cont(p)`` (and Spark's exact ``percentile``) keep every value of
 the group in one task's memory — for a global percentile that is the whole
-table. Here the values are range-partitioned, sorted and written once
-(``ids.materialize_ordered``: one file per range, each row tagged with its
-partition and position). The per-partition row counts (one row per
-partition) locate the at most two ranks each percentile needs — floor and
-ceil of (n-1)·p — as (partition, position) pairs; those few pairs are
-metadata, not data, so they become literal filters on the partition column,
-and Parquet statistics skip every other file. The result is interpolated in
-exact decimal arithmetic: v_lo + (v_hi - v_lo) · frac.
+table. Here the values are first counted per distinct value (map-side
+combined: one pass over the table), the distinct values are cut into
+``buckets`` of about equally many by approximate quantiles, and the counts per
+bucket (at most ``buckets`` rows) locate the bucket of each rank that the
+percentiles need: floor and ceil of (n-1)·p. Only those buckets' distinct
+values are accumulated, one small window per rank, and the result is
+interpolated in exact decimal arithmetic: v_lo + (v_hi - v_lo) · frac. Nothing
+is written, sorted as a whole, or collected.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ids import materialize_ordered
 
-
-def exact_percentiles(df: DataFrame, value: str, percentiles: Sequence[tuple[str, Decimal]]) -> DataFrame:
+def exact_percentiles(df: DataFrame, value: str, percentiles: Sequence[tuple[str, Decimal]], buckets: int = 1000) -> DataFrame:
     """One row with a column per ``(name, p)``: the continuous percentile p of
     ``value`` (NULLs ignored); NULL for an empty input."""
-    spark = df.sparkSession
-    ordered = materialize_ordered(df.select(F.col(value).alias("_v")).where(F.col("_v").isNotNull()),
-                                  [F.col("_v").asc()])
-    # one row per range partition: its size (reads only the partition column)
-    sizes = sorted((r["_pid"], r["_rows"]) for r in
-                   ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_rows")).collect())
-    n = sum(rows for _, rows in sizes)
-    value_type = ordered.schema["_v"].dataType
-    out_type = T.DecimalType(38, min(38, value_type.scale + 4)) if isinstance(value_type, T.DecimalType) \
-        else T.DoubleType()
-    if n == 0:
-        return spark.range(1).select(*[F.lit(None).cast(out_type).alias(name) for name, _ in percentiles])
-
-    def locate(rank: int) -> tuple[int, int]:
-        start = 0
-        for pid, rows in sizes:
-            if rank < start + rows:
-                return pid, rank - start
-            start += rows
-        raise ValueError(rank)
-
-    wanted = []  # (name, x, which, pid, pos)
-    for name, p in percentiles:
-        x = Decimal(n - 1) * Decimal(p)
-        for which, rank in (("lo", math.floor(x)), ("hi", math.ceil(x))):
-            wanted.append((name, str(x), which, *locate(int(rank))))
-    pids = sorted({w[3] for w in wanted})
-    targets = spark.createDataFrame(
-        [(w[0], w[1], w[2], w[3], w[4]) for w in wanted],
-        "_name string, _x string, _which string, _pid int, _pos long",
-    ).withColumn("_x", F.col("_x").cast("decimal(38,6)"))
-    picked = (
-        ordered.where(F.col("_pid").isin(pids))          # file skipping: one file per partition
-        .join(F.broadcast(targets), ["_pid", "_pos"])    # <= 2 rows per percentile
-        .groupBy("_name", "_x")
-        .agg(F.first(F.when(F.col("_which") == "lo", F.col("_v")), ignorenulls=True).alias("_lo"),
-             F.first(F.when(F.col("_which") == "hi", F.col("_v")), ignorenulls=True).alias("_hi"))
-    )
-    valued = picked.select(
-        "_name",
-        (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_x") - F.floor("_x"))).cast(out_type).alias("_p"),
-    )
-    return valued.groupBy().pivot("_name", [name for name, _ in percentiles]).agg(F.first("_p"))
+    counts = (df.select(F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+              .groupBy("_v").agg(F.count(F.lit(1)).alias("_c")))
+    kind = counts.schema["_v"].dataType
+    out_type = T.DecimalType(38, min(38, kind.scale + 4)) if isinstance(kind, T.DecimalType) else T.DoubleType()
+    steps = [i / buckets for i in range(1, buckets)]
+    cuts = counts.agg(F.percentile_approx("_v", steps, 10 * buckets).alias("_cuts"), F.sum("_c").alias("_n"))  # one row
+    placed = counts.crossJoin(F.broadcast(cuts)).select(
+        "_v", "_c", "_n", F.aggregate("_cuts", F.lit(0), lambda acc, cut: acc + (cut <= F.col("_v")).cast("int")).alias("_b"))
+    sizes = placed.groupBy("_b", "_n").agg(F.sum("_c").alias("_size"))  # at most ``buckets`` rows
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    x = [(name, (F.col("_n") - 1).cast("decimal(20,0)") * F.lit(Decimal(p)).cast("decimal(7,6)")) for name, p in percentiles]
+    ranks = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("_name"), F.lit(side).alias("_side"), f(at).cast("long").alias("_rank"), (at - F.floor(at)).alias("_frac"))
+        for name, at in x for side, f in (("lo", F.floor), ("hi", F.ceil))]))
+    wanted = (sizes.select("_b", "_before", "_size", ranks.alias("_t")).select("_b", "_before", "_size", "_t.*")
+              .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_size"))))  # two per percentile
+    upto = Window.partitionBy("_name", "_side").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = (placed.join(F.broadcast(wanted), "_b")
+             .withColumn("_upto", F.col("_before") + F.sum("_c").over(upto))
+             .where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c"))))
+
+    def of(name: str, column: str, side: str):
+        return F.max(F.when((F.col("_name") == name) & (F.col("_side") == side), F.col(column)))
+
+    return found.agg(*[
+        (of(name, "_v", "lo") + (of(name, "_v", "hi") - of(name, "_v", "lo")) * of(name, "_frac", "lo")).cast(out_type).alias(name)
+        for name, _ in percentiles])

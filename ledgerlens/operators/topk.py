@@ -7,17 +7,18 @@ single-partition shuffle of the input happens.
 ``PERCENT_RANK() OVER (ORDER BY x)`` over the whole flagged set would be a
 single-partition window. For the k top rows (by x descending) it only needs
 two numbers per row: n, the size of the set, and the number of rows with a
-value >= x. Those rows all have values among the at most k distinct values of
-the top rows, so they are counted by a broadcast semi-join against those
-<= k values followed by a grouped count (<= k groups), and a running sum over
-the <= k group rows. rank = (n - ge) / (n - 1), and 0 when n = 1.
+value >= x. The top rows already are all rows above their lowest value, so
+that number is counted among them, except at the lowest value itself: one
+aggregate over the set counts n and the rows at or above that one value. The
+top rows ride along as one array of <= k records, so they are computed once.
+rank = (n - ge) / (n - 1), and 0 when n = 1.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_up_ratio
@@ -41,23 +42,16 @@ def with_percent_rank_of_top(
     (a top-k by ``value`` descending), so every population row with a value
     >= a top row's value has one of the top rows' values.
     """
-    top_values = top.select(value).distinct().withColumn("_is_top", F.lit(True))  # <= k rows
-    # one pass over the population: a count per top value, and one more group
-    # (NULL key) for every other row, so the grouped rows (<= k + 1) also give n
+    packed = top.agg(F.collect_list(F.struct(*top.columns)).alias("_rows"), F.min(value).alias("_low"))  # one row
     counted = (
-        population.select(value)
-        .join(F.broadcast(top_values), value, "left")
-        .groupBy(F.when(F.col("_is_top"), F.col(value)).alias(value))
-        .agg(F.count(F.lit(1)).alias("_n_eq"))
+        population.select(value).crossJoin(F.broadcast(packed))
+        .agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(value) >= F.col("_low")).alias("_n_low"),
+             F.first("_low").alias("_low"), F.first("_rows").alias("_rows"))
     )
-    running = Window.orderBy(F.col(value).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ge = counted.select(
-        value,
-        F.sum("_n_eq").over(running).alias("_n_ge"),
-        F.sum("_n_eq").over(Window.partitionBy()).alias("_n"),
-    ).where(F.col(value).isNotNull())
-    ranked = top.join(F.broadcast(ge), value, "left")
+    each = counted.select("_n", "_n_low", "_low", "_rows", F.explode("_rows").alias("_r"))
+    among_top = F.size(F.filter("_rows", lambda r: r[value] >= F.col("_r")[value]))
+    ge = F.when(F.col("_r")[value] == F.col("_low"), F.col("_n_low")).otherwise(among_top)
     pct = F.when(F.col("_n") == 1, F.lit(0).cast(f"decimal(18,{scale})")).otherwise(
-        half_up_ratio(F.col("_n") - F.col("_n_ge"), F.col("_n") - 1, scale, factor=100)
+        half_up_ratio(F.col("_n") - ge, F.col("_n") - 1, scale, factor=100)
     )
-    return ranked.withColumn(out, pct).drop("_n", "_n_ge")
+    return each.select("_r.*", pct.alias(out))
