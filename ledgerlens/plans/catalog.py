@@ -36,12 +36,16 @@ def verify_schemas(spark: SparkSession) -> DataFrame:
     )
 
 
-def publish(loaded: Loaded) -> dict[str, str]:
-    """Write the loaded tables as catalog tables (overwrite: idempotent)."""
+def publish(loaded: Loaded, base_path: str | None = None) -> dict[str, str]:
+    """Write the loaded tables as catalog tables (overwrite: idempotent), in
+    the warehouse or, if given, as external tables under ``base_path``."""
     spark = loaded.staging.sparkSession
     create_schemas(spark)
     for part, table in TABLES.items():
-        getattr(loaded, part).write.mode("overwrite").saveAsTable(table)
+        writer = getattr(loaded, part).write.mode("overwrite")
+        if base_path is not None:
+            writer = writer.option("path", f"{base_path.rstrip('/')}/{part}")
+        writer.saveAsTable(table)
     return dict(TABLES)
 
 

@@ -67,7 +67,7 @@ def _sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row counts of the load published as schema-qualified catalog tables and scanned by name."""
-    catalog.publish(ingest.loaded_from_testdata(spark, sf_dir))
+    catalog.publish(ingest.loaded_from_testdata(spark, sf_dir), checkpoint_path(spark, f"catalog/{uuid.uuid4().hex}"))
     return ingest.validate_counts(catalog.read_published(spark))
 
 
