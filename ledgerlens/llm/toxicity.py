@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import keep_one_per, ship
+from ledgerlens.llm.common import keep_one_per, ship, store
 
 MAX_EXAMPLES = 8192
 MAX_TERMS = 1024
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
               .filter("lid IS NOT NULL AND label IS NOT NULL").groupBy("lid").agg(F.max("label").alias("label")))
     chosen = marked.orderBy(F.xxhash64("lid"), "lid").limit(max_examples)
     texts = docs.select(F.col(f"`{id_col}`").alias("lid"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    sample = keep_one_per(texts.join(F.broadcast(chosen), "lid"), ["lid"])  # at most max_examples rows
+    sample = store(keep_one_per(texts.join(F.broadcast(chosen), "lid"), ["lid"]), "toxicity-sample")  # at most max_examples rows
     distinct = keep_one_per(sample, ["text"])  # copies of one text speak once for its words
     found = _term_rows(distinct, "text", ["lid", "label"], None)
     n, pos = distinct.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
