@@ -96,7 +96,7 @@ IMPACT_ROWS = (
 )
 IMPACT_VS_AVG_SUFFIX = "% vs avg transaction"
 IMPACT_PER_HOUR_NOTE = "2-day period average"
-IMPACT_RATE_NOTE = "Industry benchmark: 0.5%"
+IMPACT_RATE_NOTE = "Industry benchmark: {}%"
 IMPACT_PRECISION_NOTE = "Best performing method"
 PUBLISHED_V3_PRECISION_TEXT = "89.66%"
 

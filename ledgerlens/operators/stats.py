@@ -28,7 +28,9 @@ def sd_col(c: str) -> str:
 def column_stats(df: DataFrame, columns: Iterable[str], *extra: Column) -> DataFrame:
     """One row: mean and sample standard deviation (n-1) of each column, in
     DOUBLE, plus any ``extra`` aggregates (same pass). The sample deviation is
-    NULL for fewer than two rows."""
+    NULL for fewer than two rows. Sums of doubles depend on their order in the
+    last digits, so a row whose score equals a threshold to some fifteen digits
+    may fall on either side in another file layout."""
     aggs = list(extra)
     for c in columns:
         x = F.col(c).cast("double")

@@ -91,7 +91,8 @@ def hourly_financials(data: PaymentData) -> DataFrame:
 
 
 # --- P23 -------------------------------------------------------------------
-def financial_impact(data: PaymentData, hours: int = C.OBSERVED_HOURS, v3_precision_text: str | None = None) -> DataFrame:
+def financial_impact(data: PaymentData, hours: int = C.OBSERVED_HOURS, v3_precision_text: str | None = None,
+                     benchmark_pct: Decimal = C.INDUSTRY_BENCHMARK_PCT) -> DataFrame:
     """Five rows of loss and rate figures. The V3 precision row is computed
     from the data unless a fixed text is given (the published text is
     ``constants.PUBLISHED_V3_PRECISION_TEXT``). The fraud totals and the
@@ -116,7 +117,7 @@ def financial_impact(data: PaymentData, hours: int = C.OBSERVED_HOURS, v3_precis
          pct_text(half_up_ratio(loss_c * F.col("n_tx"), F.col("n_fraud") * F.col("volume_all_cents"), 1, factor=100),
                   C.IMPACT_VS_AVG_SUFFIX)),
         (c3, m3, money_text(half_up_ratio(loss_c, F.lit(hours * 100), 2), 2), C.IMPACT_PER_HOUR_NOTE),
-        (c4, m4, pct_text(half_up_ratio(F.col("n_fraud"), F.col("n_tx"), 3, factor=100)), C.IMPACT_RATE_NOTE),
+        (c4, m4, pct_text(half_up_ratio(F.col("n_fraud"), F.col("n_tx"), 3, factor=100)), C.IMPACT_RATE_NOTE.format(benchmark_pct)),
         (c5, m5, precision_text, C.IMPACT_PRECISION_NOTE),
     ]
     names = ["analysis_category", "metric", "value", "percentage_of_volume"]

@@ -245,7 +245,7 @@ ORACLE_SQL: dict[str, str] = {
              text(percent("n_loss", "n_tx", 3)), text(percent("caught", "flagged", 2))),
             (text(percent(cent("loss"), cent("vol_tx"), 4)),
              text(percent(f"{cent('loss')} * n_tx", f"n_loss * {cent('vol_tx')}", 1), C.IMPACT_VS_AVG_SUFFIX),
-             f"'{C.IMPACT_PER_HOUR_NOTE}'", f"'{C.IMPACT_RATE_NOTE}'", f"'{C.IMPACT_PRECISION_NOTE}'"))],
+             f"'{C.IMPACT_PER_HOUR_NOTE}'", f"'{C.IMPACT_RATE_NOTE.format(C.INDUSTRY_BENCHMARK_PCT)}'", f"'{C.IMPACT_PRECISION_NOTE}'"))],
         "totals, (SELECT * FROM hits WHERE ord = 3)"), *three_methods(C.METHOD_LABELS_SHORT)),
     "segment_analysis": query(
         f"SELECT seg_long AS amount_segment, count(*) AS total_transactions, {GUILTY_N} AS fraud_transactions, "
