@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import ship
+from ledgerlens.llm.common import keep_one_per, ship
 
 SAMPLE_PAGES = 160
 SAMPLE_CHARS = 100_000
@@ -375,10 +375,12 @@ def extract_pages(model: BiLSTM, pages: list[str | None]) -> list[str]:
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES) -> BiLSTM:
-    some = (pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{html_col}`").alias("html"))
-            .filter((F.length("html") > 0) & (F.length("html") <= SAMPLE_CHARS))
-            .orderBy(F.xxhash64("id"), "id", F.xxhash64("html")).limit(sample))
-    return train([r["html"] for r in some.collect()])  # at most sample * SAMPLE_CHARS characters
+    rows = (pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{html_col}`").cast("string").alias("html"))
+            .filter((F.length("html") > 0) & (F.length("html") <= SAMPLE_CHARS)).withColumn("h", F.xxhash64("html")))
+    chosen = rows.select("id", "h").distinct().orderBy(F.xxhash64("id"), "id", "h").limit(sample)  # ids first: no task sends pages
+    picked = rows.alias("r").join(F.broadcast(chosen).alias("c"), F.expr("r.id <=> c.id AND r.h = c.h"), "left_semi")
+    one = keep_one_per(picked, ["id", "h"]).orderBy(F.xxhash64("id"), "id", "h")
+    return train([r["html"] for r in one.collect()])  # at most sample * SAMPLE_CHARS characters
 
 
 def extract(pages: DataFrame, model: BiLSTM, id_col: str = "page_id", html_col: str = "html", also: tuple[str, ...] = ()) -> DataFrame:
