@@ -55,6 +55,13 @@ def test_unseen_pages_and_layouts(model, pages):
     assert right / total > 0.97
 
 
+def test_without_usable_sample_pages(spark):
+    page = "<body><nav><a href='/'>Home</a></nav><article>" + "<p>Some words of a long article, one after the other.</p>" * 3_000 + "</article></body>"
+    df = spark.createDataFrame([(1, page)], "page_id long, html string")
+    text = H.extract(df, H.fit(df)).first().text
+    assert text.count("\n") == 2_999 and "Home" not in text
+
+
 def test_rows(spark, model, pages):
     long_page = "<article>" + "<p>Some words of a long article.</p>" * 5_000 + "</article>"
     rows = [(1, "u", pages[101], "x"), (1, "u", pages[101], "x"), (None, None, None, "x"), (2, "v", "", "x"), (3, "w", long_page, "x")]

@@ -1,6 +1,7 @@
 import re
 
 import corpus_pipeline
+from corpus import documents, mixed
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import queries, toxicity
@@ -38,3 +39,24 @@ def test_run_and_registered_names(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and "sequence_id" in out.columns
     assert sorted(q.split("_")[0] for q in queries.QUERIES) == sorted(f"op{i}" for i in range(1, 11))
+
+
+def test_stages_on_awkward_rows_and_empty_tables(spark):
+    """Null ids and texts, repeated rows, long texts and clashing names pass every stage; the columns stay."""
+    rows = mixed(spark)
+    docs = documents(spark, rows)
+    now = docs
+    for name, f in corpus_pipeline.STAGES:
+        out = corpus_pipeline.store(f(spark, now, SF), name)
+        if name == "toxicity":
+            assert out.count() == len(rows)  # nothing here is toxic
+        if name == "exact_dedup":
+            texts = {re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in rows}
+            assert out.count() == len(texts)
+        if name != "packing":
+            assert out.columns == docs.columns
+            assert f(spark, docs.limit(0), SF).count() == 0
+        now = out
+    assert now.count() > 0
+    packing = dict(corpus_pipeline.STAGES)["packing"]
+    assert packing(spark, docs.limit(0), SF).count() == 0
