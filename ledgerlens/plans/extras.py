@@ -18,10 +18,13 @@ from .data import PaymentData
 from .detect import outlier_scores
 
 
-def customer_rollup(data: PaymentData) -> DataFrame:
+def customer_rollup(data: PaymentData, as_of=None, epoch: str | None = None) -> DataFrame:
     """One row per customer over all transactions (a hot customer costs
     nothing extra: partial aggregation runs before the shuffle). No risk
-    formula exists, so the score keeps its default."""
+    formula exists, so the score keeps its default. ``created_date`` is the
+    load's date (``as_of``, else today); transactions know only their second
+    since the first one, so ``last_transaction_date`` needs that moment
+    (``epoch``) and is NULL without it."""
     g = data.transactions.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("total_transactions"),
         F.sum("amount").alias("total_amount"),
@@ -33,6 +36,8 @@ def customer_rollup(data: PaymentData) -> DataFrame:
         "total_amount",
         half_up_ratio(cents(F.col("total_amount")), F.col("total_transactions") * 100, 2).alias("avg_transaction_amount"),
         "last_transaction_time",
+        (F.current_date() if as_of is None else F.to_date(F.lit(as_of))).alias("created_date"),
+        F.timestamp_seconds(F.unix_timestamp(F.lit(epoch).cast("timestamp")) + F.col("last_transaction_time")).alias("last_transaction_date"),
         F.lit(C.DEFAULT_RISK_SCORE).alias("risk_score"),
         F.lit(True).alias("is_active"),
     )

@@ -149,7 +149,8 @@ _NATIVE: dict[str, Query] = {
     "view_snapshots": _view_snapshots,
     # extensions
     "detector_extras": _on_fixture(detect.detector_extras),
-    "customer_rollup": _on_fixture(extras.customer_rollup),
+    "customer_rollup": _timed(_on_fixture(extras.customer_rollup, as_of=TEST_LOAD_TIME, epoch=TEST_LOAD_TIME),
+                              "created_date", "last_transaction_date"),
     "v3_profile": _on_fixture(extras.v3_profile),
     "amount_percentiles": _on_fixture(extras.amount_percentiles),
     "outlier_dominance": _on_fixture(extras.outlier_dominance),

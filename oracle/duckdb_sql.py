@@ -274,6 +274,8 @@ ORACLE_SQL: dict[str, str] = {
     "customer_rollup": query(
         f"SELECT customer_id, count(*) AS total_transactions, CAST(sum(amount) AS DECIMAL(20,2)) AS total_amount, "
         f"{mean_money('sum(amount)', 'count(*)')} AS avg_transaction_amount, max(transaction_time) AS last_transaction_time, "
+        f"'{C.TEST_LOAD_TIME[:10]} 00:00:00' AS created_date, "
+        f"strftime(TIMESTAMP '{C.TEST_LOAD_TIME}' + to_seconds(max(transaction_time)), '%Y-%m-%d %H:%M:%S') AS last_transaction_date, "
         f"{C.DEFAULT_RISK_SCORE} AS risk_score, true AS is_active FROM payment GROUP BY customer_id"),
 }
 
