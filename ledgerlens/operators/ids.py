@@ -31,16 +31,18 @@ from ..session import checkpoint_path
 _POS_MASK = (1 << 33) - 1  # low 33 bits of monotonically_increasing_id = row index in partition
 
 
-#: bytes of input (as the optimizer knows them) per range of the global sort
+#: bytes of the inputs (as the optimizer knows them) per range of the global sort
 BYTES_PER_RANGE = 256 << 20
 
 
 def ranges_for(df: DataFrame, bytes_per_range: int = BYTES_PER_RANGE) -> int:
-    """Ranges that the input's size asks for, at least the session's shuffle
-    partitions (also where the optimizer does not know the size)."""
+    """Ranges that the size of the tables read asks for, at least the session's
+    shuffle partitions (also where a size is unknown). The plan's own estimate
+    is no measure: without column statistics a join's is the product of its sides."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except AttributeError:  # no JVM plan (Spark Connect)
         return least
     return least if size >= 1 << 60 else max(least, -(-size // bytes_per_range))

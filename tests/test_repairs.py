@@ -99,3 +99,6 @@ def test_ranges_follow_the_input(spark):
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert ids.ranges_for(small) == least
     assert ids.ranges_for(spark.range(10_000_000), bytes_per_range=1 << 20) >= 70
+    wide = spark.range(1_000_000).withColumnRenamed("id", "a")
+    joined = wide.join(wide.withColumnRenamed("a", "b"), F.col("a") == F.col("b"))
+    assert ids.ranges_for(joined, bytes_per_range=1 << 20) <= 16  # not the product of the sides
