@@ -208,19 +208,27 @@ class Encoder:
                 ids_of[w], hex_of[w], begin = flat[begin:end], hexed, end
         first = 0
         for (p, _), end in zip(open_, (word[ends - 1] + 1).tolist()):  # a piece is one word or several in a row
-            out[p] = (b"".join(ids_of[first:end]), bytes.fromhex("".join(hex_of[first:end])))
+            if end == first + 1:
+                out[p] = (ids_of[first], bytes.fromhex(hex_of[first]))
+            else:
+                out[p] = (b"".join(ids_of[first:end]), bytes.fromhex("".join(hex_of[first:end])))
             first = end
         return out
 
     def encode_chunks(self, chunk_list: list[str]) -> list[tuple[bytes, bytes]]:
-        split = [self.split(c) for c in chunk_list]
+        # a space and ASCII letters are one piece of either public pattern
+        split = [[c] if (w := c[1:] if c[:1] == " " else c).isascii() and w.isalpha() else self.split(c) for c in chunk_list]
         known = self.pieces.values_of(set().union(*split))
-        return [(b"".join(known[p][0] for p in s), b"".join(known[p][1] for p in s)) for s in split]
+        out = []
+        for s in split:
+            parts = [known[p] for p in s]
+            out.append(parts[0] if len(parts) == 1 else (b"".join([a for a, _ in parts]), b"".join([b for _, b in parts])))
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         for block in blocks(texts, len, BLOCK):
             for values in self.memory.values(block):
-                yield b"".join(v[0] for v in values), b"".join(v[1] for v in values)
+                yield b"".join([v[0] for v in values]), b"".join([v[1] for v in values])
 
 
 _ENCODERS: dict[str, Encoder] = {}
