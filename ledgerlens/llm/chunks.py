@@ -19,8 +19,8 @@ _CUT = re.compile(f"(?<=[{_VISIBLE}]) (?=[{_VISIBLE}])")
 #: a chunk with its space that can stand between others of its kind
 begins_and_ends_visibly = re.compile(f" [{_VISIBLE}](?s:.*[{_VISIBLE}])?").fullmatch
 
-#: entries that a worker learns before the older half is forgotten (two halves: about 100 MB)
-REMEMBERED = 250_000
+#: entries that a worker learns before the older half is forgotten (two halves: about 125 MB)
+REMEMBERED = 300_000
 
 
 def chunks(text: str) -> list[str]:
