@@ -1,24 +1,27 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Labelled examples form a block-max inverted index: the postings of a term are
-cut into blocks of examples, each with the largest weight it holds. A document's
-possible similarity to a block is bounded by the block maxima of its terms, so
-blocks are opened best bound first and the search ends when no unopened block
-can still reach the k-th best: the k nearest are exact. Neighbours vote by
-similarity; a logistic fit on leave-one-out votes of the examples makes the vote
-a probability; the neighbours themselves are the evidence.
+Labelled examples form a block-max inverted index over all their words: the
+postings of a word are cut into blocks of examples, each with the largest weight
+it holds. A document's possible similarity to a block is bounded by the block
+maxima of its words, so blocks are opened best bound first and the search ends
+when no unopened block can still reach the k-th best: the k nearest are exact.
+Neighbours vote by similarity and are the evidence. A second vote is taken by the
+same search over the words that go with the label alone (chi-square), since few
+words of a text tell; a logistic fit on leave-one-out votes of the examples makes
+both a probability.
 
 What is bounded: the examples (``max_examples``, drawn from the labelled rows
-by a hash of their id) and the terms (``max_terms``, those most associated with
-the label by chi-square among the examples' words). Inverse document
-frequencies come from all documents, and every whole text is scored.
-
-Defined results: a text with none of the terms (null and empty texts too) has
-no neighbours and scores the smoothed share of toxic examples among examples
-without terms; equal similarities are ordered by the examples' order; several
-labels of one id count as toxic if any does; null labels are ignored; without
-any labelled row every score is 0; repeated rows are scored each; an empty table
-gives an empty result; extra columns, whatever their names, are carried through.
+by a hash of their id) and the words of the second vote (``max_terms``, those of
+at least MIN_CHI2). Document frequencies come from all documents; those of words
+that no example holds stay a table, which is joined to the documents' other words,
+so every text is normed over all its words.
+
+Defined results: a text with no word of any example (null and empty texts too) has
+no neighbours and scores the share of toxic examples among examples without words,
+smoothed by the share among all; equal similarities are ordered by the examples'
+order; several labels of one id count as toxic if any does; null labels are ignored;
+without any labelled row every score is 0; repeated rows are scored each; an empty
+table gives an empty result; extra columns, whatever their names, are carried through.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +43,14 @@ MAX_EXAMPLES = 8192
 MAX_TERMS = 1024
 NEIGHBOURS = 25
 BLOCK = 64
+#: blocks opened before the k-th best is first known
+FIRST_BLOCKS = 4
 #: chi-square (one degree of freedom) that a term must reach: about p = 4e-8
 MIN_CHI2 = 30.0
 #: terms taken by rank alone if fewer reach the bar
 FALLBACK_TERMS = 64
+#: words a task of the document frequencies holds before it hands its counts on
+HELD_TERMS = 300_000
 
 EVIDENCE = "array<struct<example:{id},similarity:double,toxic:int>>"
 _WORDS = re.compile(r"\w+").findall
@@ -53,6 +60,73 @@ def words_of(text: str | None) -> list[str]:
     return _WORDS((text or "").lower())
 
 
+def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The ranges start .. start + count, one after another."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def _kth(sims: np.ndarray, k: int) -> float:
+    """The k-th largest, 0 if fewer are above 0."""
+    held = sims[sims > 0]
+    return float(np.partition(held, len(held) - k)[len(held) - k]) if len(held) >= k else 0.0
+
+
+#: room for the postings of one text, kept by the process: fresh pages for each text cost more than the sums
+_SCRATCH = [np.empty(0, np.int64), np.empty(0)]
+
+
+@dataclass
+class Postings:
+    """Sparse terms x examples: postings by term and example; the postings of a term in a block are one entry with its maximum."""
+
+    width: int
+    rows: np.ndarray
+    values: np.ndarray
+    entry_block: np.ndarray
+    entry_max: np.ndarray
+    entry_start: np.ndarray  # first posting of each entry, and the end
+    term_start: np.ndarray  # first entry of each term, and the end
+
+    @classmethod
+    def of(cls, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> Postings:
+        row = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
+        term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        value = np.concatenate([q for _, q in vectors]) if vectors else np.zeros(0)
+        order = np.argsort(term, kind="stable")
+        row, term, value = row[order], term[order], value[order]
+        new = np.flatnonzero(np.diff(term * (len(vectors) // BLOCK + 1) + row // BLOCK, prepend=-1))
+        return cls(len(vectors), row, value, row[new] // BLOCK,
+                   np.maximum.reduceat(value, new) if len(new) else np.zeros(0),
+                   np.append(new, len(row)), np.searchsorted(term[new], np.arange(terms + 1)))
+
+    def opened(self, entries: np.ndarray, weight: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Per example, the weighted sum of its postings in the live ones of the entries."""
+        start = self.entry_start[entries[live]]
+        held = self.entry_start[entries[live] + 1] - start
+        at = _spans(start, held)
+        return np.bincount(self.rows[at], np.repeat(weight[live], held) * self.values[at], minlength=self.width)
+
+    def all_opened(self, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        start, end = self.entry_start[self.term_start[terms]], self.entry_start[self.term_start[terms + 1]]
+        spans = list(zip(start.tolist(), end.tolist()))
+        n = int((end - start).sum())
+        if len(_SCRATCH[0]) < n:
+            _SCRATCH[:] = np.empty(2 * n, np.int64), np.empty(2 * n)
+        rows, values = _SCRATCH[0][:n], _SCRATCH[1][:n]
+        np.concatenate([self.rows[a:b] for a, b in spans], out=rows)
+        np.concatenate([self.values[a:b] for a, b in spans], out=values)
+        values *= np.repeat(weight, end - start)
+        return np.bincount(rows, values, minlength=self.width)
+
+    def __getitem__(self, terms: np.ndarray) -> np.ndarray:
+        """The dense rows of some terms."""
+        out = np.zeros((len(terms), self.width))
+        for i, t in enumerate(terms):
+            at = slice(self.entry_start[self.term_start[t]], self.entry_start[self.term_start[t + 1]])
+            out[i, self.rows[at]] = self.values[at]
+        return out
+
+
 @dataclass
 class Index:
     """Block-max inverted index over unit vectors; examples ordered so that like stands with like."""
@@ -61,50 +135,53 @@ class Index:
     idf: np.ndarray
     ids: list
     toxic: np.ndarray
-    weights: np.ndarray = field(repr=False)  # postings of a term and block are weights[term, block*BLOCK:...]
-    block_max: np.ndarray = field(repr=False)
-    filled: np.ndarray = field(repr=False)  # (term, block): has postings
+    weights: Postings = field(repr=False)
 
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, tf-idf weights of unit length)."""
+    def counted(self, words: dict[str, int]) -> dict[int, int]:
         at = self.terms
-        tf = Counter([at[w] for w in words_of(text) if w in at])
-        return self.unit(tf)
+        return {at[w]: n for w, n in words.items() if w in at}
 
-    def unit(self, tf: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(tf), dtype=np.int64)
+    def vector(self, tf: dict[int, int]) -> tuple[np.ndarray, np.ndarray, float]:
+        """(terms, tf-idf weights of unit length, their squared length before)."""
+        t = np.fromiter(tf, np.int64, len(tf))
         if not len(t):
-            return t, np.zeros(0)
-        w = (1 + np.log(np.array([tf[i] for i in t.tolist()], dtype=np.float64))) * self.idf[t]
-        return t, w / np.sqrt((w * w).sum())
+            return t, np.zeros(0), 0.0
+        order = np.argsort(t)
+        t = t[order]
+        w = (1 + np.log(np.fromiter(tf.values(), np.float64, len(tf))[order])) * self.idf[t]
+        square = float((w * w).sum())
+        return t, w / np.sqrt(square), square
 
     def nearest(self, t: np.ndarray, q: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar examples with similarity above 0: (rows, similarities), exact, ties by row."""
-        none = np.zeros(0, dtype=np.int64), np.zeros(0)
-        if not len(t) or not len(self.ids):
-            return none
-        bound = q @ self.block_max[t]
+        p = self.weights
+        if not len(t) or not p.width:
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        counts = p.term_start[t + 1] - p.term_start[t]
+        entries, weight = _spans(p.term_start[t], counts), np.repeat(q, counts)
+        block = p.entry_block[entries]
+        bound = np.bincount(block, weight * p.entry_max[entries], minlength=-(-p.width // BLOCK))
         order = np.argsort(-bound, kind="stable")
-        rows, sims, kth = [], [], 0.0
-        held = 0
-        for b in order.tolist():
-            if bound[b] <= 0 or (held >= k and bound[b] < kth - 1e-9):
-                break
-            live = self.filled[t, b]
-            s = q[live] @ self.weights[t[live], b * BLOCK:(b + 1) * BLOCK]
-            hit = np.flatnonzero(s > 0)
-            hit = hit[hit + b * BLOCK != without]
-            if not len(hit):
-                continue
-            rows.append(hit + b * BLOCK)
-            sims.append(s[hit])
-            held += len(hit)
-            if held >= k:
-                best = np.concatenate(sims)
-                kth = np.partition(best, len(best) - k)[len(best) - k]
-        if not rows:
-            return none
-        rows, sims = np.concatenate(rows), np.round(np.concatenate(sims), 9)
+        order = order[bound[order] > 0]
+        first = np.zeros(len(bound), bool)
+        first[order[:FIRST_BLOCKS]] = True
+        sims = p.opened(entries, weight, first[block])
+        if without >= 0:
+            sims[without] = 0.0
+        kth = _kth(sims, k)
+        rest = (bound >= max(kth - 1e-9, 1e-300)) & ~first
+        if rest.any():
+            live = rest[block]
+            if 2 * live.sum() > len(live):
+                sims = p.all_opened(t, q)  # reading on is faster than leaving some out
+            else:
+                sims += p.opened(entries, weight, live)
+            if without >= 0:
+                sims[without] = 0.0
+            kth = _kth(sims, k)
+        rows = np.flatnonzero(sims >= max(kth - 1e-9, 1e-300))
+        sims = np.round(sims[rows], 9)
+        rows, sims = rows[sims > 0], sims[sims > 0]
         top = np.lexsort((rows, -sims))[:k]
         return rows[top], sims[top]
 
@@ -112,23 +189,23 @@ class Index:
 @dataclass
 class Model:
     index: Index
+    telling: Index | None  # the same examples over the words that go with the label
     k: int
     no_neighbour: float
-    slope: np.ndarray  # intercept, weight of the vote's log-odds, weight of the matched words' log count
+    slope: np.ndarray  # log-odds of the vote; intercept, then with telling words: constant, log-odds of their vote, their log count
+    others: DataFrame | None = field(repr=False, default=None)  # (term, df) of words that no example holds
+    documents: int = 0
 
-    def features(self, sims: np.ndarray, rows: np.ndarray, matched: int) -> np.ndarray:
-        vote = (sims @ self.index.toxic[rows] + 0.5) / (sims.sum() + 1.0)
-        return np.array([1.0, np.log(vote / (1 - vote)), np.log1p(matched)])
+    def second(self, words: dict[str, int], without: int = -1) -> list[float]:
+        """The features besides the vote over all words."""
+        if self.telling is None or not (tf := self.telling.counted(words)):
+            return [1.0, 0.0, 0.0, 0.0]
+        rows, sims = self.telling.nearest(*self.telling.vector(tf)[:2], self.k, without)
+        return [1.0, 1.0, log_odds(sims @ self.telling.toxic[rows], sims.sum()), np.log1p(sum(tf.values()))] if len(rows) else [1.0, 0.0, 0.0, 0.0]
 
-    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        at = self.index.terms
-        tf = Counter([at[w] for w in words_of(text) if w in at])
-        t, q = self.index.unit(tf)
-        rows, sims = self.index.nearest(t, q, self.k)
-        if not len(rows):
-            return self.no_neighbour, rows, sims
-        x = float(self.slope @ self.features(sims, rows, sum(tf.values())))
-        return 1 / (1 + np.exp(-min(max(x, -30.0), 30.0))), rows, sims
+
+def log_odds(toxic: float, total: float) -> float:
+    return float(np.log((toxic + 0.5) / (total - toxic + 0.5)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -144,12 +221,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def _term_rows(df: DataFrame, text: str, extra: list[str], terms: set[str] | None) -> DataFrame:
-    """(extra..., terms): the distinct words of each text, or those of ``terms``."""
+def _term_rows(df: DataFrame, text: str, extra: list[str]) -> DataFrame:
+    """(extra..., terms): the distinct words of each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [set(words_of(t)) for t in b.column(b.num_columns - 1).to_pylist()]
-            kept = pa.array([sorted(f if terms is None else f & terms) for f in found], pa.list_(pa.string()))
+            kept = pa.array([sorted(set(words_of(t))) for t in b.column(b.num_columns - 1).to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], kept], names=[*extra, "terms"])
 
     picked = df.select(*extra, F.col(text).alias("text"))
@@ -157,23 +233,31 @@ def _term_rows(df: DataFrame, text: str, extra: list[str], terms: set[str] | Non
     return picked.mapInArrow(run, T.StructType(fields))
 
 
-def corpus_frequencies(df: DataFrame, text: str, terms: set[str]) -> tuple[int, dict[str, int]]:
-    """Over all documents: their number and, for each of the (bounded) terms, how many contain it.
+def corpus_frequencies(df: DataFrame, text: str) -> tuple[int, DataFrame]:
+    """Over all documents: their number, and the stored table (term, df) of every word.
 
-    One pass; each task returns one count per term it met.
+    One pass; each task returns its counts whenever it holds HELD_TERMS words.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: Counter = Counter()
         n = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(["", *met]), pa.array([n, *met.values()], pa.int64())], names=["term", "df"])
+
         for b in batches:
-            n += b.num_rows
             for t in b.column(0):
-                met.update(terms.intersection(words_of(t.as_py())))
-        yield pa.RecordBatch.from_arrays([pa.array(["", *met]), pa.array([n, *met.values()], pa.int64())], names=["term", "n"])
+                n += 1
+                met.update(set(words_of(t.as_py())))
+                if len(met) > HELD_TERMS:
+                    yield out()
+                    met, n = Counter(), 0
+        yield out()
 
-    rows = df.select(F.col(text).alias("text")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    found = {r["term"]: r["n"] for r in rows.collect()}  # at most max_terms + 1 rows
-    return found.pop("", 0), found
+    table = store(df.select(F.col(text).alias("text")).mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")),
+                  "toxicity-frequencies")
+    total = table.filter("term = ''").select(F.sum("df")).first()[0]
+    return total or 0, table.filter("term <> ''")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
@@ -186,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(f"`{id_col}`").alias("lid"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sample = store(keep_one_per(texts.join(F.broadcast(chosen), "lid"), ["lid"]), "toxicity-sample")  # at most max_examples rows
     distinct = keep_one_per(sample, ["text"])  # copies of one text speak once for its words
-    found = _term_rows(distinct, "text", ["lid", "label"], None)
+    found = _term_rows(distinct, "text", ["lid", "label"])
     n, pos = distinct.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     counts = found.select("label", F.explode("terms").alias("term")).groupBy("term").agg(
         F.count("*").cast("double").alias("df"), F.sum("label").cast("double").alias("a")).filter("df >= 5")
@@ -195,62 +279,97 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ranked = (counts.filter(F.col("df") < n).withColumn("chi2", chi2).orderBy(F.desc("chi2"), "term").limit(max_terms).collect()
               if 0 < pos < n else [])
     strong = [r["term"] for r in ranked if r["chi2"] is not None and r["chi2"] >= MIN_CHI2]
-    terms = sorted(strong or [r["term"] for r in ranked[:FALLBACK_TERMS]])
-    at = {w: i for i, w in enumerate(terms)}
-    total, df = corpus_frequencies(texts, "text", set(terms)) if terms else (0, {})
-    idf = np.array([np.log((1 + total) / (1 + df.get(w, 0))) + 1 for w in terms])
+    telling = sorted(strong or [r["term"] for r in ranked[:FALLBACK_TERMS]])
+    if not n:
+        return _build([], {}, np.zeros(0), k)
+    total, frequencies = corpus_frequencies(texts, "text")
+    spoken = store(_term_rows(sample, "text", []).select(F.explode("terms").alias("term")).distinct(), "toxicity-words")
+    known = frequencies.join(spoken, "term").toArrow()  # bounded: the words of max_examples texts
+    order = np.argsort(np.array(known["term"].to_pylist(), dtype=object), kind="stable")
+    at = {w: i for i, w in enumerate(known["term"].take(pa.array(order)).to_pylist())}
+    idf = np.log((1 + total) / (1 + known["df"].to_numpy()[order])) + 1
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tf = [Counter([at[w] for w in words_of(t) if w in at]) for t in b.column("text").to_pylist()]
+            tf = [Counter(words_of(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("lid"), b.column("label"), pa.array([sorted(c) for c in tf], pa.list_(pa.int32())),
-                 pa.array([[c[i] for i in sorted(c)] for c in tf], pa.list_(pa.int32()))], names=["lid", "label", "t", "tf"])
+                [b.column("lid"), b.column("label"), pa.array([list(c) for c in tf], pa.list_(pa.string())),
+                 pa.array([list(c.values()) for c in tf], pa.list_(pa.int32()))], names=["lid", "label", "t", "tf"])
 
     kind = sample.schema["lid"].dataType.simpleString()
-    examples = sample.select("lid", "label", "text").mapInArrow(counted, f"lid {kind}, label int, t array<int>, tf array<int>")
-    rows = [(r["lid"], r["label"], dict(zip(r["t"], r["tf"]))) for r in examples.collect()]  # bounded: max_examples * max_terms
-    return _build(rows, at, idf, k)
+    examples = sample.select("lid", "label", "text").mapInArrow(counted, f"lid {kind}, label int, t array<string>, tf array<int>").toArrow()
+    rows = [(lid.as_py(), label.as_py(), {at[w]: m for w, m in zip(t.as_py(), tf.as_py())})
+            for lid, label, t, tf in zip(*(examples[c] for c in ("lid", "label", "t", "tf")))]  # bounded: max_examples texts
+    model = _build(rows, at, idf, k, telling)
+    model.others, model.documents = store(frequencies.join(spoken, "term", "left_anti"), "toxicity-other-words"), total
+    return model
+
 
+def _indexed(examples: list, at: dict[str, int], idf: np.ndarray) -> Index:
+    """Over (id, label, tf), in their order."""
+    index = Index(at, idf, [e[0] for e in examples], np.array([float(e[1]) for e in examples]), Postings.of([], 0))
+    index.weights = Postings.of([index.vector(tf)[:2] for _, _, tf in examples], len(at))
+    return index
 
-def _build(rows: list, at: dict[str, int], idf: np.ndarray, k: int) -> Model:
+
+def _build(rows: list, at: dict[str, int], idf: np.ndarray, k: int, telling: list[str] = ()) -> Model:
     bare = [label for _, label, tf in rows if not tf]
-    no_neighbour = (sum(bare) + 0.5) / (len(bare) + 1.0) if rows else 0.0
-    index = Index(at, idf, [], np.zeros(0), np.zeros((len(at), 0)), np.zeros((len(at), 0)), np.zeros((len(at), 0), bool))
-    spoken = [(lid, label, tf, *index.unit(tf)) for lid, label, tf in rows if tf]
+    share = (sum(label for _, label, _ in rows) + 0.5) / (len(rows) + 1.0)
+    no_neighbour = (sum(bare) + share) / (len(bare) + 1.0) if rows else 0.0
+    empty = Index(at, idf, [], np.zeros(0), Postings.of([], 0))
+    spoken = [(*r, *empty.vector(r[2])[:2]) for r in rows if r[2]]
     # examples with the same strongest term share blocks, which keeps the block maxima sharp
     spoken.sort(key=lambda r: (int(r[3][np.argmax(r[4])]), str(r[0])))
-    blocks = -(-len(spoken) // BLOCK)
-    index.weights = np.zeros((len(at), blocks * BLOCK))
-    for row, (_, _, _, t, q) in enumerate(spoken):
-        index.weights[t, row] = q
-    shaped = index.weights.reshape(len(at), blocks, BLOCK)
-    index.block_max = shaped.max(axis=2) if blocks else np.zeros((len(at), 0))
-    index.filled = index.block_max > 0
-    index.ids = [r[0] for r in spoken]
-    index.toxic = np.array([float(r[1]) for r in spoken])
-    model = Model(index, k, no_neighbour, np.array([0.0, 1.0, 0.0]))
+    spoken = [r[:3] for r in spoken]
+    model = Model(_indexed(spoken, at, idf), None, k, no_neighbour, np.array([1.0, 0.0, 0.0, 0.0, 0.0]))
+    words = list(at)
+    if telling:
+        few = {at[w]: i for i, w in enumerate(telling)}
+        model.telling = _indexed([(lid, label, {few[i]: m for i, m in tf.items() if i in few}) for lid, label, tf in spoken],
+                                 {w: i for i, w in enumerate(telling)}, idf[[at[w] for w in telling]])
     x, y = [], []
-    for row, (_, label, tf, t, q) in enumerate(spoken):
-        near, sims = index.nearest(t, q, k, without=row)
+    for row, (_, label, tf) in enumerate(spoken):
+        near, sims = model.index.nearest(*model.index.vector(tf)[:2], k, without=row)
         if len(near):
-            x.append(model.features(sims, near, sum(tf.values())))
+            x.append([log_odds(sims @ model.index.toxic[near], sims.sum()),
+                      *model.second({words[i]: m for i, m in tf.items()}, without=row)])
             y.append(float(label))
     if len(set(y)) == 2:
-        model.slope = _logistic(np.array(x), np.array(y))
+        order = [1, 0, 2, 3, 4]  # the intercept first, which the ridge leaves out
+        model.slope[order] = _logistic(np.array(x)[:, order], np.array(y))
     return model
 
 
+def other_words(df: DataFrame, model: Model) -> DataFrame:
+    """(key, square): for each text with words that no example holds, the sum of their squared weights."""
+    shared = df.sparkSession.sparkContext.broadcast(set(model.index.terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for b in batches:
+            other = [{w: n for w, n in Counter(words_of(t)).items() if w not in known} for t in b.column("text").to_pylist()]
+            held = [bool(o) for o in other]
+            terms = pa.array([[{"term": w, "tf": n} for w, n in o.items()] for o in other], pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([b.column("key"), terms], names=["key", "terms"]).filter(pa.array(held))
+
+    kind = df.schema["key"].dataType.simpleString()
+    rows = df.mapInArrow(run, f"key {kind}, terms array<struct<term:string,tf:int>>")
+    one = rows.groupBy("key").agg(F.any_value("terms").alias("terms")).select("key", F.inline("terms"))  # copies of a text once
+    idf = F.log((1.0 + model.documents) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0
+    return one.join(model.others, "term", "left").groupBy("key").agg(F.sum(F.pow((1.0 + F.log("tf")) * idf, 2.0)).alias("square"))
+
+
 def score(df: DataFrame, model: Model, text_col: str = "text", prefix: str = "toxicity") -> DataFrame:
     """Append ``<prefix>_score`` and ``<prefix>_evidence`` (the nearest examples) to every row."""
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by max_examples and max_terms
+    shared = spark.sparkContext.broadcast(replace(model, others=None))  # bounded by max_examples
     place = df.columns.index(text_col)
     names = [f"c{i}" for i in range(len(df.columns))]
     ids = pa.array(model.index.ids) if model.index.ids else pa.array([], pa.int64())
     kind = "long" if pa.types.is_integer(ids.type) else "string"
     fields = [T.StructField(n, f.dataType) for n, f in zip(names, df.schema.fields)]
-    out = T.StructType([*fields, T.StructField("score", T.DoubleType()),
+    out = T.StructType([*fields, T.StructField("own", T.DoubleType()), T.StructField("toxic", T.DoubleType()),
+                        T.StructField("total", T.DoubleType()), T.StructField("second", T.DoubleType()),
                         T.StructField("evidence", T._parse_datatype_string(EVIDENCE.format(id=kind)))])
     near = pa.list_(pa.struct([("example", pa.int64() if kind == "long" else pa.string()),
                                ("similarity", pa.float64()), ("toxic", pa.int32())]))
@@ -258,17 +377,35 @@ def score(df: DataFrame, model: Model, text_col: str = "text", prefix: str = "to
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            scores, evidence = [], []
+            numbers, evidence = [], []
             for t in b.column(place):
                 text = t.as_py()
-                s, rows, sims = m.score(text if text is None or isinstance(text, str) else str(text))
-                scores.append(float(s))
+                words = Counter(words_of(text if text is None or isinstance(text, str) else str(text)))
+                at, q, own = m.index.vector(m.index.counted(words))
+                rows, sims = m.index.nearest(at, q, m.k)
+                numbers.append((own, float(sims @ m.index.toxic[rows]), float(sims.sum()), float(m.slope[1:] @ m.second(words))))
                 evidence.append([{"example": m.index.ids[r] if kind == "long" else str(m.index.ids[r]), "similarity": float(v),
                                   "toxic": int(m.index.toxic[r])} for r, v in zip(rows.tolist(), sims.tolist())])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array(evidence, near)],
-                                             names=[*names, "score", "evidence"])
-
-    scored = ship(df).toDF(*names).mapInArrow(run, out)
+            parts = [pa.array(list(x), pa.float64()) for x in (zip(*numbers) if numbers else [[]] * 4)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *parts, pa.array(evidence, near)],
+                                             names=[*names, "own", "toxic", "total", "second", "evidence"])
+
+    plain = ship(df).toDF(*names)
+    found = plain.mapInArrow(run, out)
+    if model.others is not None:
+        text = F.coalesce(F.col(names[place]).cast("string"), F.lit(""))
+        key = F.struct(F.xxhash64(text).alias("a"), F.crc32(text.cast("binary")).alias("b"), F.length(text).alias("n"))
+        rest = other_words(plain.select(key.alias("key"), text.alias("text")), model)
+        found = found.withColumn("key", key).join(rest, "key", "left")
+    else:
+        found = found.withColumn("square", F.lit(0.0))
+    # similarities so far are to the text's words that examples hold; over all its words they are smaller by this factor
+    found = found.withColumn("f", F.when(F.col("own") > 0, F.sqrt(F.col("own") / (F.col("own") + F.coalesce("square", F.lit(0.0))))).otherwise(0.0))
+    vote = F.log((F.expr("toxic * f") + 0.5) / (F.expr("(total - toxic) * f") + 0.5))
+    x = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("second") + float(model.slope[0]) * vote))
+    scored = found.select(
+        *names, F.when(F.size("evidence") == 0, F.lit(float(model.no_neighbour))).otherwise(1.0 / (1.0 + F.exp(-x))).alias("score"),
+        F.expr("transform(evidence, e -> named_struct('example', e.example, 'similarity', round(e.similarity * f, 9), 'toxic', e.toxic))"))
     return scored.toDF(*df.columns, f"{prefix}_score", f"{prefix}_evidence")
 
 

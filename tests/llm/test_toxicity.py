@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -74,3 +75,22 @@ def test_without_labels_nothing_is_toxic(spark):
     none = spark.createDataFrame([(None, 1), (5, None)], "doc_id long, toxic int")
     model = toxicity.fit(docs, none)
     assert [r.toxicity_score for r in toxicity.score(docs, model).collect()] == [0.0, 0.0]
+
+
+def test_cosine_over_all_words_of_every_text(spark):
+    """Neighbours and similarities equal a plain cosine over all words, also those that no example holds."""
+    rows, labels = rows_and_labels(spark, 200)
+    rows += [(1000, rows[1][1] + " unseen unseen other7"), (1001, "unseen other8"), (1001, "unseen other8")]
+    docs = documents(spark, rows)
+    seen = labels.filter("doc_id < 120")
+    out = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(docs, seen)).collect()}
+    tf = [Counter(t.split()) for _, t in rows]
+    df = Counter(w for c in tf for w in c)
+    raw = [{w: (1 + np.log(n)) * (np.log((1 + len(rows)) / (1 + df[w])) + 1) for w, n in c.items()} for c in tf]
+    unit = [{w: x / np.sqrt(sum(y * y for y in v.values())) for w, x in v.items()} for v in raw]
+    for (i, _), v in zip(rows, unit):
+        sims = {j: sum(x * unit[j].get(w, 0.0) for w, x in v.items()) for j in range(120)}
+        expected = sorted((s for s in sims.values() if s > 0), reverse=True)[:25]
+        assert np.allclose([e.similarity for e in out[i].toxicity_evidence], expected, atol=1e-8)
+        assert all(abs(sims[e.example] - e.similarity) < 1e-8 for e in out[i].toxicity_evidence)
+    assert out[1001].toxicity_evidence == [] and len(out[1000].toxicity_evidence) == 25
