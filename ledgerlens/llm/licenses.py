@@ -1,7 +1,8 @@
 """Licence scans by canonical digest lookup (DataFrame operations only).
 
-A text is made canonical (copyright lines go, case and punctuation are
-levelled, equivalent spellings become one) and its SHA-256 is joined to the
+A text is made canonical (lines that name a copyright holder go, case, white space
+and punctuation are levelled, equivalent spellings become one, a known title before
+the text goes) and its SHA-256 is joined to the
 digests of known licences made canonical in the same way. The unit is the
 entire text; every line that speaks of a licence is looked up too, as an
 entire line, against known one-line notices.
@@ -92,18 +93,25 @@ EQUIVALENT = [
     ("utilisation", "utilization"), ("whilst", "while"), ("copyright owner", "copyright holder"),
     ("copyright owners", "copyright holders"),
 ]
-#: a line that begins like this names a holder, not a licence
-COPYRIGHT_LINE = r"(?im)^[\x20\t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: body text may wrap before "copyright notice": such a line is marked, so that it does not begin like a notice line
+BODY_LINE = r"(?im)^[\x20\t]*(copyright[\x20\t]+(notices?|holders?|owners?)\b)"
+#: a line that begins like this names a holder, not a licence: copyright and a sign, a year, a place holder or a name
+COPYRIGHT_LINE = (r"(?m)^[\x20\t]*((?i:copyright)[\x20\t]*:?[\x20\t]*(\([cC]\)|©|[0-9]|[\[<{])|C(opyright|OPYRIGHT)[\x20\t]+((?i:by)[\x20\t]+)?[A-Z]"
+                  r"|\([cC]\)[^\n]*\b(19|20)[0-9][0-9]\b|©|(?i:all rights reserved))[^\n]*")
+#: titles that may stand before a text, as made canonical
+TITLE = (r"^(the )?(mit license( mit| expat)?|expat license|isc license( isc| iscl)?|(bsd zero clause|zero clause bsd) license( 0bsd)?"
+         r"|bsd [23] clause license|[23] clause bsd license) ")
 
 
 def canonical(text: Column) -> Column:
-    bare = F.regexp_replace(text_or_empty(text), COPYRIGHT_LINE.replace("(?im)", "(?imd)"), "")
+    marked = F.regexp_replace(text_or_empty(text), BODY_LINE.replace("(?im)", "(?imd)"), "- $1")
+    bare = F.regexp_replace(marked, COPYRIGHT_LINE.replace("(?m)", "(?md)"), "")
     flat = F.trim(F.regexp_replace(F.lower(bare), "[^a-z0-9]+", " "))
     same = flat
     for a, b in EQUIVALENT:
         same = F.regexp_replace(same, rf"\b{a}\b", b)
     any_ = r"\b(?:" + "|".join(a for a, _ in EQUIVALENT) + r")\b"
-    return F.when(F.regexp_like(flat, F.lit(any_)), same).otherwise(flat)
+    return F.regexp_replace(F.when(F.regexp_like(flat, F.lit(any_)), same).otherwise(flat), TITLE, "")
 
 
 def known(spark: SparkSession) -> DataFrame:
@@ -139,10 +147,11 @@ def oracle() -> str:
         return "'" + x.replace("'", "''") + "'"
 
     def canon(x: str) -> str:
-        flat = f"trim(regexp_replace(lower(regexp_replace(coalesce({x}, ''), {sql(COPYRIGHT_LINE)}, '', 'g')), '[^a-z0-9]+', ' ', 'g'))"
+        marked = f"regexp_replace(coalesce({x}, ''), {sql(BODY_LINE)}, '- \\1', 'g')"
+        flat = f"trim(regexp_replace(lower(regexp_replace({marked}, {sql(COPYRIGHT_LINE)}, '', 'g')), '[^a-z0-9]+', ' ', 'g'))"
         for a, b in EQUIVALENT:
             flat = rf"regexp_replace({flat}, '\b{a}\b', '{b}', 'g')"
-        return f"sha256({flat})"
+        return f"sha256(regexp_replace({flat}, {sql(TITLE)}, ''))"
 
     texts = ", ".join(f"({sql(k.split(' (')[0])}, {sql(t)})" for k, t in KNOWN_TEXTS.items())
     notices = ", ".join(f"({sql(k)}, {sql(t)})" for k, t in KNOWN_NOTICES)

@@ -1,3 +1,5 @@
+import textwrap
+
 import duckdb
 
 from corpus import awkward, documents
@@ -31,3 +33,23 @@ def test_same_as_sql(spark):
 def test_no_python_on_the_way(spark):
     plan = licenses.scan(documents(spark, [(1, "a")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_licences_as_they_are_wrapped_and_titled(spark):
+    """Wherever the lines break, also before "copyright notice"; under common titles; holders in several forms."""
+    fold = lambda key, width: "\n\n".join(textwrap.fill(p, width) for p in licenses.KNOWN_TEXTS[key].split("\n\n"))
+    isc = licenses.KNOWN_TEXTS["ISC"].replace("above copyright notice", "above\ncopyright notice")
+    rows = [(1, "ISC License\n\nCopyright (c) 2020, Some Body\n\n" + isc),
+            (2, "The MIT License (MIT)\n\nCopyright (c) 2015 Some Body\n\n" + fold("MIT", 78)),
+            (3, "The MIT License\n\nCopyright Some Body and others\n\n" + fold("MIT", 60)),
+            (4, "The ISC License\n\n(c) 2019 Some Body\nAll rights reserved.\n\n" + isc.upper())]
+    rows += [(10 + w, "Copyright 2020 X\n" + fold(k, w)) for k in ("MIT", "ISC", "0BSD") for w in range(50, 90)]
+    expected = {1: "ISC", 2: "MIT", 3: "MIT", 4: "ISC"}
+    df = documents(spark, rows)
+    out = [(r.doc_id, r.canonical_sha256, r.licence) for r in licenses.scan(df).collect()]
+    assert all(licence == expected[i] for i, _, licence in out if i < 10)
+    assert all(licence is not None for _, _, licence in out)
+    con = duckdb.connect()
+    con.register("documents", df.select("doc_id", "text").toPandas())
+    found = con.sql(ORACLE_SQL["op6_license_scan"]).fetchall()
+    assert sorted(out) == sorted(r[:3] for r in found)
