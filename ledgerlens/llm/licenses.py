@@ -18,6 +18,8 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,36 @@ _APACHE_HEADER = (
     "on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for "
     "the specific language governing permissions and limitations under the License.")
 
+_CONDITIONS_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution.\n\n")
+_NO_ENDORSEMENT_BSD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission.\n\n")
+_WARRANTY_BSD = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+    "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN "
+    "CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+
+
+def _files() -> dict[str, str]:
+    """The long texts beside this file, read by the driver; those with instructions after the terms also without these."""
+    out = {}
+    for f in sorted((Path(__file__).parent / "known_licenses").glob("*.txt")):
+        text = f.read_text(encoding="utf-8")
+        out[f.stem] = text
+        if (end := text.find("END OF TERMS AND CONDITIONS")) >= 0:
+            out[f"{f.stem} (terms)"] = text[:end] + "END OF TERMS AND CONDITIONS"
+    return out
+
+
 #: fixed values: public licence texts by their common identifiers
 KNOWN_TEXTS = {
     "MIT": _PERMISSION_MIT,
@@ -60,6 +92,9 @@ KNOWN_TEXTS = {
     "0BSD": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
              "hereby granted.\n\n") + _WARRANTY_ISC,
     "Apache-2.0 (header)": _APACHE_HEADER,
+    "BSD-2-Clause": _CONDITIONS_BSD + _WARRANTY_BSD,
+    "BSD-3-Clause": _CONDITIONS_BSD + _NO_ENDORSEMENT_BSD + _WARRANTY_BSD,
+    **_files(),
 }
 
 #: names under which one-line notices state a licence
@@ -114,16 +149,21 @@ def canonical(text: Column) -> Column:
     return F.regexp_replace(F.when(F.regexp_like(flat, F.lit(any_)), same).otherwise(flat), TITLE, "")
 
 
-def known(spark: SparkSession) -> DataFrame:
-    """(kind, licence, digest): kind is text or line; a digest appears once per kind."""
-    rows = [("text", k.split(" (")[0], t) for k, t in KNOWN_TEXTS.items()] + [("line", k, t) for k, t in KNOWN_NOTICES]
-    raw = spark.createDataFrame(rows, "kind string, licence string, body string")
+def known(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame:
+    """(kind, licence, digest): kind is text or line; a digest appears once per kind. ``texts`` takes the place of KNOWN_TEXTS."""
+    rows = [] if texts is not None else [("text", k.split(" (")[0], t) for k, t in KNOWN_TEXTS.items()]
+    raw = spark.createDataFrame(rows + [("line", k, t) for k, t in KNOWN_NOTICES], "kind string, licence string, body string")
+    if texts is not None:
+        raw = raw.unionByName(texts.select(F.lit("text").alias("kind"), "licence", "body"))
     return raw.select("kind", "licence", F.sha2(canonical(F.col("body")), 256).alias("digest")).groupBy(
         "kind", "digest").agg(F.min("licence").alias("licence"))
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, canonical_sha256, licence of the entire text, licences its lines state, licence lines."""
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: DataFrame | None = None) -> DataFrame:
+    """``texts`` (licence, body): the known whole texts, KNOWN_TEXTS if none are given.
+
+    One row per input row: doc_id, canonical_sha256, licence of the entire text, licences its lines state, licence lines.
+    """
     text = F.col(f"`{text_col}`")
     lines = F.when(F.regexp_like(text_or_empty(text), F.lit("(?i)licen[cs]|released under|distributed under")),
                    F.filter(F.split(text_or_empty(text), "\n"),
@@ -131,7 +171,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     rows = store(df.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("doc_id"),
                            F.sha2(canonical(text), 256).alias("canonical_sha256"),
                            F.transform(lines, lambda x: F.sha2(canonical(x), 256)).alias("lines")), "licence-digests")
-    table = known(df.sparkSession)
+    table = known(df.sparkSession, texts)
     whole = F.broadcast(table.filter("kind = 'text'").select(F.col("digest").alias("canonical_sha256"), "licence"))
     notice = F.broadcast(table.filter("kind = 'line'").select("digest", F.col("licence").alias("stated")))
     stated = rows.select("rid", F.explode("lines").alias("digest")).join(notice, "digest").groupBy("rid").agg(

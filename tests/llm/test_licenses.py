@@ -53,3 +53,13 @@ def test_licences_as_they_are_wrapped_and_titled(spark):
     con.register("documents", df.select("doc_id", "text").toPandas())
     found = con.sql(ORACLE_SQL["op6_license_scan"]).fetchall()
     assert sorted(out) == sorted(r[:3] for r in found)
+
+
+def test_full_texts_and_a_table_of_ones_own(spark):
+    names = ["BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"]
+    rows = [(i, "Copyright (c) 2021, Some Body\n\n" + " ".join(licenses.KNOWN_TEXTS[k].split("  "))) for i, k in enumerate(names)]
+    df = documents(spark, rows)
+    assert [r.licence for r in licenses.scan(df).orderBy("doc_id").collect()] == names
+    own = spark.createDataFrame([("OWN-1", "You may  do\nas you like.")], "licence string, body string")
+    found = licenses.scan(documents(spark, [(1, "Copyright 2020 X\nYou may do as you LIKE"), (2, rows[0][1])]), texts=own)
+    assert [r.licence for r in found.orderBy("doc_id").collect()] == ["OWN-1", None]
