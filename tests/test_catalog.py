@@ -1,5 +1,5 @@
 """Schemas, published tables and the staging clean-up."""
-from conftest import SF_SMALL
+from payment_helpers import SF_SMALL
 from ledgerlens.plans import catalog, ingest
 
 

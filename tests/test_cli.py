@@ -1,5 +1,5 @@
 """The command line: CSV -> tables -> every report."""
-from conftest import SF_SMALL
+from payment_helpers import SF_SMALL
 from ledgerlens.__main__ import REPORTS, run_ingest, run_reports
 from ledgerlens.sources import fixtures
 from ledgerlens.sources.card_csv import write_card_csv

@@ -4,7 +4,7 @@ from decimal import Decimal
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, make_data
+from payment_helpers import SF_SMALL, make_data
 from ledgerlens.operators.ids import assign_sequential_ids
 from ledgerlens.plans import ingest
 from ledgerlens.schema import FEATURES, STAGING

@@ -4,7 +4,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from conftest import SF_SMALL
+from payment_helpers import SF_SMALL
 
 import __spark_entry__ as entry
 from ledgerlens.plans.registry import QUERIES

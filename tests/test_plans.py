@@ -1,7 +1,7 @@
 """Physical-plan shape: no global window, no un-aggregated single partition."""
 import pytest
 
-from conftest import SF_SMALL
+from payment_helpers import SF_SMALL
 from ledgerlens.plans import detect, report, views
 from ledgerlens.plans.data import PaymentData
 

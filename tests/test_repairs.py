@@ -5,7 +5,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, make_data
+from payment_helpers import SF_SMALL, make_data
 from ledgerlens import session
 from ledgerlens.operators import ids
 from ledgerlens.plans import ingest, report

@@ -3,7 +3,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, make_data
+from payment_helpers import SF_SMALL, make_data
 from ledgerlens.operators.quality import referential_counts
 from ledgerlens.plans import extras, ingest, views
 from ledgerlens.plans.data import PaymentData

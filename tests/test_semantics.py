@@ -4,7 +4,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from conftest import make_data
+from payment_helpers import make_data
 from ledgerlens.functions import bands
 from ledgerlens.plans import detect, report, views
 
@@ -140,7 +140,7 @@ def test_two_contradicting_cases_count_twice(spark):
 
 
 def test_narrow_labelled_equals_the_join(spark):
-    from conftest import SF_SMALL
+    from payment_helpers import SF_SMALL
     from ledgerlens.operators.labelled import labelled as join_labelled
     from ledgerlens.plans.data import PaymentData
 
@@ -185,7 +185,7 @@ def test_exact_percentiles_match_linear_interpolation(spark):
 
 
 def test_amount_method_catching_nothing_has_zero_not_null_precision(spark):
-    from conftest import SF_SMALL
+    from payment_helpers import SF_SMALL
     from ledgerlens.plans.data import PaymentData
 
     rows = {r.detection_method: r for r in detect.method_comparison(PaymentData.from_testdata(spark, SF_SMALL)).collect()}

@@ -1,5 +1,5 @@
 """SQL access: temporary views and the table function with defaults."""
-from conftest import SF_SMALL
+from payment_helpers import SF_SMALL
 from ledgerlens.plans import params, views
 from ledgerlens.plans.data import PaymentData
 

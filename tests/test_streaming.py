@@ -2,7 +2,7 @@
 late rows beyond the watermark are dropped."""
 import datetime as dt
 
-from conftest import SF_SMALL
+from payment_helpers import SF_SMALL
 from ledgerlens.operators.stats import column_stats
 from ledgerlens.plans import views
 from ledgerlens.plans.data import PaymentData
