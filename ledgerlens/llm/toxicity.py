@@ -17,8 +17,8 @@ that no example holds stay a table, which is joined to the documents' other word
 so every text is normed over all its words.
 
 Defined results: a text with no word of any example (null and empty texts too) has
-no neighbours and scores the share of toxic examples among examples without words,
-smoothed by the share among all; equal similarities are ordered by the examples'
+no neighbours: with words it scores the share of toxic examples among all, without any
+the share among examples without words, drawn to that of all as by PRIOR rows; equal similarities are ordered by the examples'
 order; several labels of one id count as toxic if any does; null labels are ignored;
 without any labelled row every score is 0; repeated rows are scored each; an empty
 table gives an empty result; extra columns, whatever their names, are carried through.
@@ -49,6 +49,8 @@ FIRST_BLOCKS = 4
 MIN_CHI2 = 30.0
 #: terms taken by rank alone if fewer reach the bar
 FALLBACK_TERMS = 64
+#: rows that the share among all examples counts for beside the examples without words
+PRIOR = 50
 #: words a task of the document frequencies holds before it hands its counts on
 HELD_TERMS = 300_000
 
@@ -191,7 +193,8 @@ class Model:
     index: Index
     telling: Index | None  # the same examples over the words that go with the label
     k: int
-    no_neighbour: float
+    no_neighbour: float  # score of a text with words, none of which any example holds
+    no_words: float  # score of a text without words
     slope: np.ndarray  # log-odds of the vote; intercept, then with telling words: constant, log-odds of their vote, their log count
     others: DataFrame | None = field(repr=False, default=None)  # (term, df) of words that no example holds
     documents: int = 0
@@ -315,13 +318,13 @@ def _indexed(examples: list, at: dict[str, int], idf: np.ndarray) -> Index:
 def _build(rows: list, at: dict[str, int], idf: np.ndarray, k: int, telling: list[str] = ()) -> Model:
     bare = [label for _, label, tf in rows if not tf]
     share = (sum(label for _, label, _ in rows) + 0.5) / (len(rows) + 1.0)
-    no_neighbour = (sum(bare) + share) / (len(bare) + 1.0) if rows else 0.0
+    no_words = (sum(bare) + PRIOR * share) / (len(bare) + PRIOR) if rows else 0.0
     empty = Index(at, idf, [], np.zeros(0), Postings.of([], 0))
     spoken = [(*r, *empty.vector(r[2])[:2]) for r in rows if r[2]]
     # examples with the same strongest term share blocks, which keeps the block maxima sharp
     spoken.sort(key=lambda r: (int(r[3][np.argmax(r[4])]), str(r[0])))
     spoken = [r[:3] for r in spoken]
-    model = Model(_indexed(spoken, at, idf), None, k, no_neighbour, np.array([1.0, 0.0, 0.0, 0.0, 0.0]))
+    model = Model(_indexed(spoken, at, idf), None, k, share if rows else 0.0, no_words, np.array([1.0, 0.0, 0.0, 0.0, 0.0]))
     words = list(at)
     if telling:
         few = {at[w]: i for i, w in enumerate(telling)}
@@ -383,7 +386,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", prefix: str = "to
                 words = Counter(words_of(text if text is None or isinstance(text, str) else str(text)))
                 at, q, own = m.index.vector(m.index.counted(words))
                 rows, sims = m.index.nearest(at, q, m.k)
-                numbers.append((own, float(sims @ m.index.toxic[rows]), float(sims.sum()), float(m.slope[1:] @ m.second(words))))
+                numbers.append((own if words else -1.0, float(sims @ m.index.toxic[rows]), float(sims.sum()), float(m.slope[1:] @ m.second(words))))
                 evidence.append([{"example": m.index.ids[r] if kind == "long" else str(m.index.ids[r]), "similarity": float(v),
                                   "toxic": int(m.index.toxic[r])} for r, v in zip(rows.tolist(), sims.tolist())])
             parts = [pa.array(list(x), pa.float64()) for x in (zip(*numbers) if numbers else [[]] * 4)]
@@ -404,7 +407,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", prefix: str = "to
     vote = F.log((F.expr("toxic * f") + 0.5) / (F.expr("(total - toxic) * f") + 0.5))
     x = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("second") + float(model.slope[0]) * vote))
     scored = found.select(
-        *names, F.when(F.size("evidence") == 0, F.lit(float(model.no_neighbour))).otherwise(1.0 / (1.0 + F.exp(-x))).alias("score"),
+        *names, F.when(F.size("evidence") == 0, F.when(F.col("own") < 0, F.lit(float(model.no_words))).otherwise(F.lit(float(model.no_neighbour)))).otherwise(1.0 / (1.0 + F.exp(-x))).alias("score"),
         F.expr("transform(evidence, e -> named_struct('example', e.example, 'similarity', round(e.similarity * f, 9), 'toxic', e.toxic))"))
     return scored.toDF(*df.columns, f"{prefix}_score", f"{prefix}_evidence")
 
