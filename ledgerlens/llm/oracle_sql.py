@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import licenses
+from ledgerlens.llm import licenses, merkle
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
@@ -14,4 +14,5 @@ ORACLE_SQL: dict[str, str] = {
         FROM t WINDOW same AS (PARTITION BY text_sha256)
     """,
     "op6_license_scan": licenses.oracle(),
+    "op11_merkle_manifest": merkle.oracle(),
 }

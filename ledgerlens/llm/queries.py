@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, exact_dedup, html_extract, licenses, packing, pii, quality, sharding, simhash, toxicity
+from ledgerlens.llm import bpe, exact_dedup, html_extract, licenses, merkle, packing, pii, quality, sharding, simhash, toxicity
 from ledgerlens.llm.common import read_table
 
 SHARDS = 16
@@ -79,6 +79,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    tampered = F.when(hit, merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    found = merkle.build(merkle.leaves(docs, changed={"text": tampered}))
+    return merkle.verify(found).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_toxicity": op2_toxicity,
@@ -90,4 +98,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_pii": op9_pii,
     "op10_html_extraction": op10_html_extraction,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
