@@ -10,7 +10,7 @@ map-side and the shuffle merges them. A popcount directory above the words
 (sums per 4096 keys, and per 4096 of those, until one node holds all) gives each
 word the number of leaves before it; a leaf's position is that number plus the
 popcount of the lower bits of its word. Every window of the directory spans at
-most 4096 rows, so no group, however large, meets in one task.
+most 8192 rows, so no group, however large, meets in one task.
 
 Reducing: a node goes to slot ``position & 7`` of the slot array keyed by
 (group, position >> 3); the digest of an array is a node of the next level. Paths
@@ -90,9 +90,10 @@ def id_bitmaps(placed: DataFrame) -> DataFrame:
 def with_popcounts(counts: DataFrame, low: int, high: int) -> DataFrame:
     """Add ``before`` (rows of the group under smaller keys) and ``total`` (rows of the group) to (grp, key, n, ...)."""
     up = F.shiftright("key", FAN_BITS)
-    siblings = Window.partitionBy("grp", up)  # at most 2 ** FAN_BITS rows
+    top = (high >> FAN_BITS) - (low >> FAN_BITS) <= 1  # two nodes at the most: keys on both sides of 0 never meet in one
+    siblings = Window.partitionBy("grp", *([] if top else [up]))  # at most 2 ** FAN_BITS rows, twice that at the top
     earlier = F.coalesce(F.sum("n").over(siblings.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    if low >> FAN_BITS == high >> FAN_BITS:
+    if top:
         return counts.withColumns({"before": earlier, "total": F.sum("n").over(siblings)})
     above = counts.groupBy("grp", up.alias("key")).agg(F.sum("n").alias("n"))
     above = with_popcounts(above, low >> FAN_BITS, high >> FAN_BITS).select(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, exact_dedup, html_extract, licenses, merkle, packing, pii, quality, sharding, simhash, toxicity
+from ledgerlens.llm import bpe, exact_dedup, html_extract, licenses, merkle, packing, pii, quality, sharding, simhash, toxicity, whitening
 from ledgerlens.llm.common import read_table
 
 SHARDS = 16
@@ -87,6 +87,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(found).withColumnRenamed("id", "doc_id")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    return whitening.whiten(vectors, model).select(
+        F.col("id").alias("vec_id"), "component", F.lit(model.n).cast("long").alias("n"),
+        F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained",
+        F.lit(model.identity_error).alias("identity_error"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_toxicity": op2_toxicity,
@@ -99,4 +108,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_html_extraction": op10_html_extraction,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
