@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, exact_dedup, html_extract, licenses, merkle, packing, pii, quality, sharding, simhash, toxicity, whitening
+from ledgerlens.llm import (bpe, exact_dedup, html_extract, licenses, merkle, ngram_join, packing, pii, quality, sharding, simhash, toxicity,
+                             whitening)
 from ledgerlens.llm.common import read_table
 
 SHARDS = 16
@@ -96,6 +97,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(model.identity_error).alias("identity_error"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_toxicity": op2_toxicity,
@@ -109,4 +114,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": op10_html_extraction,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_ngram_join": op13_ngram_join,
 }
