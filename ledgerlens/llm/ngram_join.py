@@ -9,20 +9,21 @@ another in at most H tokens has equal tokens in all but H segments.
 Index: a set stands, in its own band, under the digest of its tokens in each
 segment, and in the first few segments also under the digests with one token left
 out. Probe: the larger set of a pair looks up its segments in each band that holds
-sizes it may be similar to. Which segments is settled by cost: a count of all
-tokens by hash slot tells an upper bound of how many sets can hold a segment's
-tokens; segments without tokens or with frequent tokens only are skipped while
-enough others are left. Of q segments probed for equality a similar set matches at
-least q - H, and only pairs with that many matches go on. Where too few segments
-are cheap, some are probed with one deletion (such a segment covers one differing
-token and counts for two), and where that does not suffice either, the frequent
-ones are probed after all, by a join that splits hot keys; then one match is enough.
+sizes it may be similar to; any H + 1 segments suffice, and m leaves some to choose
+from. Which ones is settled by cost: a count of all tokens by hash slot bounds how
+many sets can hold a segment's tokens, and the H + 1 segments of the least bound are
+probed, those with tokens of the set's own before those of shared passages. Where
+even some of these hold frequent tokens only, cheap segments are probed with one
+deletion instead (such a segment covers one differing token and counts for two), and
+where that does not suffice either, the frequent ones are probed after all, by a
+join that splits hot keys.
 
 Verification compares the tokens themselves. Within groups of alike sets not all
-pairs are compared: first every set is compared with the best-connected set of its
-segments, which joins the bulk of each group; then only pairs in different
-components are counted and verified. All links between different components are
-found this way, so the components are those of all pairs.
+pairs are compared: in each of a few rounds every set is compared with the
+best-connected set, of another component, that its digests lead to, which joins the
+bulk of each group; then only pairs in different components are verified. All links
+between different components are found this way, so the components are those of all
+pairs.
 
 Distribution: digests travel packed, some bytes each, to buckets that grow in number
 with the tokens; a bucket returns only digests that several sets share, digests of
@@ -52,15 +53,19 @@ from ledgerlens.llm.simhash import components
 SHINGLE = 5
 #: similarity in percent
 PERCENT = 80
-#: bytes of text that are hashed at a time, and texts (a place in a packed digest has 14 bits)
+#: bytes of text that are hashed at a time, and texts (a place in a packed digest has 12 bits)
 CHUNK_BYTES = 2 << 20
-CHUNK_TEXTS = 1 << 14
+CHUNK_TEXTS = 1 << 12
 #: slots of the token counts
-SLOTS = 1 << 16
+SLOTS = 1 << 20
+#: slots that travel in one row
+SLOT_RUN = 1 << 14
 #: digests a bucket is meant to hold
-BUCKET = 400_000
+BUCKET = 1_500_000
 #: digests of texts whose copies a task recognises while it counts tokens
 SEEN = 100_000
+#: rounds in which sets are compared with one other set each
+ROUNDS = 2
 INDEX, PROBE = 1, 2
 
 _U = np.uint64
@@ -215,8 +220,8 @@ class Bands:
 
     @staticmethod
     def slack(h):
-        """Segments that may be skipped, or matched beyond the first."""
-        return 1 + (h + 1) // 8
+        """Segments that need not be probed."""
+        return 1 + (h + 1) // 4
 
     def deletions(self, band: np.ndarray) -> np.ndarray:
         """Segments indexed with one token left out as well: all of few, some of many."""
@@ -250,72 +255,55 @@ def views(size: np.ndarray, bands: Bands) -> Views:
 def digests(sets: Sets, bands: Bands, cost: np.ndarray, bar: float):
     """All index and probe digests of some sets.
 
-    Returns (digest, set, role, q, cheap): ``q`` is the number of segments probed
-    for equality, 0 if one match is enough.
+    Returns (digest, set, role, cheap); digests that are not cheap are of frequent tokens or none.
     """
     v = views(sets.size, bands)
     m = bands.segments[v.band]
-    low_size = bands.edge[v.band + 1] - 1
-    r = sets.size[v.owner]
-    h = Bands.differing(r, np.minimum(r, low_size), bands.percent)
     count = sets.size[v.owner]
-    at = _spans(sets.start[v.owner], count)
-    token = sets.tokens[at]
+    h = Bands.differing(count, np.minimum(count, bands.edge[v.band + 1] - 1), bands.percent)
+    token = sets.tokens[_spans(sets.start[v.owner], count)]
     view = np.repeat(np.arange(len(m)), count)
     segment = ((token >> _U(32)) * np.repeat(m, count).astype(_U) >> _U(32)).astype(np.int64)
     new = np.ones(len(token), bool)
     new[1:] = (view[1:] != view[:-1]) | (segment[1:] != segment[:-1])
     start = np.flatnonzero(new)
     end = np.append(start[1:], len(token))
-    # dense: a row for every segment of every view
-    first = np.cumsum(m) - m
+    first = np.cumsum(m) - m  # a row for every segment of every view
     row = first[view[start]] + segment[start]
     rows = int(m.sum())
-    total, held, least = np.zeros(rows, _U), np.zeros(rows, np.int64), np.full(rows, np.inf)
-    mixed, own_cost = mix(token, 5), cost[(token & _U(SLOTS - 1)).astype(np.int64)]
+    total, least = np.zeros(rows, _U), np.full(rows, np.inf)
+    mixed, own_cost = mix(token, 5), cost[(token & _U(SLOTS - 1)).astype(np.int64)].astype(np.float64)
     if len(start):
-        total[row], held[row], least[row] = _sums(mixed, start, end), end - start, np.minimum.reduceat(own_cost, start)
+        total[row], least[row] = _sums(mixed, start, end), np.minimum.reduceat(own_cost, start)
     row_view = np.repeat(np.arange(len(m)), m)
     place = np.arange(rows) - first[row_view]
     base = mix((v.band[row_view].astype(_U) << _U(32)) + place.astype(_U), 6)
     cheap = least < bar
-    rank = np.cumsum(cheap) - np.repeat((np.cumsum(cheap) - cheap)[first] if rows else [], m)  # place among the cheap ones, from 1
-    wanted = np.where(v.own, m, h + 1 + Bands.slack(h))
-    probed = cheap & (rank <= wanted[row_view])
-    q = np.bincount(row_view, probed, minlength=len(m)).astype(np.int64)
-    out = []
+    order = np.lexsort((least, row_view))
+    probed = np.zeros(rows, bool)
+    probed[order] = place <= h[row_view]  # the h + 1 cheapest: within a view, ``place`` counts the order too
     reach = bands.deletions(v.band)
-    few = np.flatnonzero(q <= h)
-    q[few] = 0
-    deleted_probe = np.zeros(rows, bool)
-    if len(few):  # the cheap segments do not suffice
-        second = _second_least(own_cost, start, end)
+    lacking = np.bincount(row_view, probed & ~cheap, minlength=len(m)).astype(np.int64)
+    shortened = np.zeros(rows, bool)
+    if lacking.any():
         loose = np.zeros(rows, bool)
-        loose[row] = second < bar  # whichever token is left out, a rare one stays
-        for k in few.tolist():
+        loose[row] = _second_least(own_cost, start, end) < bar  # whichever token is left out, a rare one stays
+        for k in np.flatnonzero(lacking).tolist():
             mine = np.arange(first[k], first[k] + m[k])
-            probed[mine] = cheap[mine]
-            missing = int(h[k]) + 1 - int(cheap[mine].sum())
-            up = mine[(place[mine] < reach[k]) & loose[mine]][:max(missing, 0)]
-            deleted_probe[up] = True
-            missing -= len(up)
-            if missing > 0:
-                dear = mine[~cheap[mine]]
-                probed[dear[np.argsort(least[dear], kind="stable")][:missing]] = True
-    own_row = v.own[row_view]
-    role = np.where(own_row, INDEX, 0) | np.where(probed, PROBE, 0)
+            up = mine[probed[mine] & loose[mine] & (place[mine] < reach[k])][:lacking[k]]
+            shortened[up] = True
+            dear = mine[probed[mine] & ~cheap[mine]]
+            probed[dear[np.argsort(-least[dear], kind="stable")][:len(up)]] = False
+    role = np.where(v.own[row_view], INDEX, 0) | np.where(probed, PROBE, 0)
     use = role > 0
-    out.append((mix(total + base)[use], v.owner[row_view][use], role[use], q[row_view][use], cheap[use]))
-    # one token left out
-    token_row = np.repeat(row, end - start)
-    indexed = v.own[view] & (segment < reach[view])
-    for pick, kind in ((indexed, INDEX), (deleted_probe[token_row], PROBE)):
-        left = np.flatnonzero(pick)
-        if len(left):
-            rest = _least_without(own_cost, start, end)[left] < bar  # digests of frequent tokens are never probed with a deletion
-            left = left[rest]
+    out = [(mix(total + base)[use], v.owner[row_view][use], role[use], cheap[use])]
+    if len(start):  # with one token left out; digests of frequent tokens are never probed so
+        token_row = np.repeat(row, end - start)
+        rest = _least_without(own_cost, start, end) < bar
+        for pick, kind in ((v.own[view] & (segment < reach[view]), INDEX), (shortened[token_row], PROBE)):
+            left = np.flatnonzero(pick & rest)
             d = mix(total[token_row[left]] - mixed[left] + base[token_row[left]])
-            out.append((d, v.owner[view[left]], np.full(len(left), kind), q[view[left]], np.ones(len(left), bool)))
+            out.append((d, v.owner[view[left]], np.full(len(left), kind), np.ones(len(left), bool)))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -339,12 +327,12 @@ def _least_without(cost: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
 # --- over tables ---------------------------------------------------------------
 
 def _described(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Rows (id, n, d1, d2) of every text, and rows (slot, seen) that count tokens; copies met by one task count once."""
+    """Rows (id, n, d1, d2) of every text, and rows (run, seen) that count tokens by slot; copies met by one task count once."""
     picked = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SLOTS, np.int64)
+        seen = np.zeros(SLOTS, np.int32)
         met: set = set()
         id_type = None
         for b in batches:
@@ -356,73 +344,71 @@ def _described(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
                 if len(met) < SEEN:
                     met.update(d1.tolist())
                 counted = sets.tokens[np.repeat(fresh, sets.size)]
-                seen += np.bincount((counted & _U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-                none = pa.nulls(e - a, pa.int64())
+                np.add.at(seen, (counted & _U(SLOTS - 1)).astype(np.int64), 1)
+                none = pa.nulls(e - a, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(a, e - a), pa.array(sets.size), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), none, none],
-                    names=["id", "n", "d1", "d2", "slot", "seen"])
+                    [b.column(0).slice(a, e - a), pa.array(sets.size), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), none, pa.nulls(e - a, counts)],
+                    names=["id", "n", "d1", "d2", "run", "seen"])
         if id_type is not None:
-            at = np.flatnonzero(seen)
-            none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), id_type), none, none, none, pa.array(at), pa.array(seen[at])],
-                                             names=["id", "n", "d1", "d2", "slot", "seen"])
+            runs = SLOTS // SLOT_RUN
+            none = pa.nulls(runs, pa.int64())
+            cut = pa.array(np.arange(runs + 1) * SLOT_RUN, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.nulls(runs, id_type), none, none, none, pa.array(np.arange(runs), pa.int32()),
+                                              pa.ListArray.from_arrays(cut, pa.array(seen))], names=["id", "n", "d1", "d2", "run", "seen"])
 
-    return ship(picked).mapInArrow(run, f"id {kind}, n long, d1 long, d2 long, slot long, seen long")
+    counts = pa.list_(pa.int32())
+    return ship(picked).mapInArrow(run, f"id {kind}, n long, d1 long, d2 long, run int, seen array<int>")
 
 
-_PACKED = ("bucket int, low array<int>, who array<int>, dear array<long>, dear_who array<int>, "
-           "d1 array<long>, d2 array<long>, n array<int>, q array<int>")
+_PACKED = ("bucket int, low array<int>, who array<short>, dear array<long>, dear_who array<short>, "
+           "d1 array<long>, d2 array<long>, n array<int>")
 
 
 def _packed(texts: DataFrame, shingle: int, bands: Bands, cost: np.ndarray, bar: float, buckets: int) -> DataFrame:
-    """Digests packed by bucket. ``who`` is a place in the row's table of views times four plus the role."""
+    """Digests packed by bucket. ``who`` is a place in the row's table of sets times four plus the role."""
+    shared = texts.sparkSession.sparkContext.broadcast(cost)  # a fixed number of slots
+
     def lists(values: np.ndarray, cut: np.ndarray, kind: pa.DataType) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(values, kind))
 
-    def rows(group, value, owner, role, q, named, size, dear: bool) -> pa.RecordBatch:
+    def rows(group, value, owner, role, named, size, dear: bool) -> pa.RecordBatch:
         order = np.lexsort((owner, group))
-        group, value, owner, role, q = group[order], value[order], owner[order], role[order], q[order]
-        seen = group * CHUNK_TEXTS + owner
-        # a set probes a band with one q and is indexed without: tables hold (set, q)
-        key = seen * (1 << 24) + q
-        tables, where = np.unique(key, return_inverse=True)
-        held = tables // (1 << 24)
-        t_group, t_owner = held // CHUNK_TEXTS, held % CHUNK_TEXTS
+        group, value, owner, role = group[order], value[order], owner[order], role[order]
+        tables, where = np.unique(group * CHUNK_TEXTS + owner, return_inverse=True)
+        t_owner = tables % CHUNK_TEXTS
         present, counts = np.unique(group, return_counts=True)
         cut = np.concatenate(([0], np.cumsum(counts)))
-        t_cut = np.concatenate((np.searchsorted(t_group, present), [len(tables)]))
-        who = (where - np.repeat(t_cut[:-1], counts)) * 4 + role
-        empty = lists(np.zeros(0, np.int64), np.zeros(len(present) + 1, int), pa.int64() if not dear else pa.int32())
-        none = lists(np.zeros(0, np.int64), np.zeros(len(present) + 1, int), pa.int32())
+        t_cut = np.concatenate((np.searchsorted(tables // CHUNK_TEXTS, present), [len(tables)]))
+        who = lists((where - np.repeat(t_cut[:-1], counts)) * 4 + role, cut, pa.int16())
+        none = np.zeros(len(present) + 1, int)
         if dear:
-            digest = [empty, none, lists(value.view(np.int64), cut, pa.int64()), lists(who, cut, pa.int32())]
+            digest = [lists(none[:0], none, pa.int32()), lists(none[:0], none, pa.int16()), lists(value.view(np.int64), cut, pa.int64()), who]
         else:
             low = (value & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-            digest = [lists(low, cut, pa.int32()), lists(who, cut, pa.int32()), empty, none]
+            digest = [lists(low, cut, pa.int32()), who, lists(none[:0], none, pa.int64()), lists(none[:0], none, pa.int16())]
         d1, d2 = named
         return pa.RecordBatch.from_arrays(
             [pa.array(present, pa.int32()), *digest, lists(d1[t_owner].view(np.int64), t_cut, pa.int64()),
-             lists(d2[t_owner].view(np.int64), t_cut, pa.int64()), lists(size[t_owner], t_cut, pa.int32()),
-             lists(tables % (1 << 24), t_cut, pa.int32())],
-            names=["bucket", "low", "who", "dear", "dear_who", "d1", "d2", "n", "q"])
+             lists(d2[t_owner].view(np.int64), t_cut, pa.int64()), lists(size[t_owner], t_cut, pa.int32())],
+            names=["bucket", "low", "who", "dear", "dear_who", "d1", "d2", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, data, offsets in chunked(b.column(0)):
                 sets = sets_of(data, offsets, shingle)
-                value, owner, role, q, cheap = digests(sets, bands, cost, bar)
+                value, owner, role, cheap = digests(sets, bands, shared.value, bar)
                 bucket = ((value >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
                 named = sets.digests()
                 if cheap.any():
-                    yield rows(bucket[cheap], value[cheap], owner[cheap], role[cheap], q[cheap], named, sets.size, False)
+                    yield rows(bucket[cheap], value[cheap], owner[cheap], role[cheap], named, sets.size, False)
                 if not cheap.all():  # digests of frequent tokens go anywhere, to be joined by their whole value
                     anywhere = np.full(int((~cheap).sum()), int(named[0][0] % _U(buckets)), np.int64)
-                    yield rows(anywhere, value[~cheap], owner[~cheap], role[~cheap], q[~cheap], named, sets.size, True)
+                    yield rows(anywhere, value[~cheap], owner[~cheap], role[~cheap], named, sets.size, True)
 
     return texts.mapInArrow(run, _PACKED)
 
 
-_ENTRY = "digest long, d1 long, d2 long, n int, q int, role int, dear boolean"
+_ENTRY = "digest long, d1 long, d2 long, n int, role int, dear boolean"
 
 
 def _shared(packed: DataFrame, parts: int) -> DataFrame:
@@ -431,7 +417,7 @@ def _shared(packed: DataFrame, parts: int) -> DataFrame:
         return b.column(name).flatten().to_numpy(zero_copy_only=False)
 
     def table(batches: list[pa.RecordBatch], digest: str, who: str):
-        """(digest, d1, d2, n, q, role) of each entry."""
+        """(digest, d1, d2, n, role) of each entry."""
         parts = []
         for b in batches:
             sizes = np.array(pc.list_value_length(b.column("n")))
@@ -439,24 +425,24 @@ def _shared(packed: DataFrame, parts: int) -> DataFrame:
             counts = np.array(pc.list_value_length(b.column(who)))
             packed_who = flat(b, who).astype(np.int64)
             at = (packed_who >> 2) + np.repeat(cut, counts)
-            parts.append((flat(b, digest).astype(np.int64), *[flat(b, c)[at] for c in ("d1", "d2", "n", "q")], packed_who & 3))
+            parts.append((flat(b, digest).astype(np.int64), *[flat(b, c)[at] for c in ("d1", "d2", "n")], packed_who & 3))
         return [np.concatenate(x) for x in zip(*parts)]
 
-    def rows(digest, d1, d2, n, q, role, dear: bool) -> pa.RecordBatch:
+    def rows(digest, d1, d2, n, role, dear: bool) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(digest, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(n, pa.int32()), pa.array(q, pa.int32()),
-             pa.array(role, pa.int32()), pa.array(np.full(len(digest), dear))], names=["digest", "d1", "d2", "n", "q", "role", "dear"])
+            [pa.array(digest, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(n, pa.int32()),
+             pa.array(role, pa.int32()), pa.array(np.full(len(digest), dear))], names=["digest", "d1", "d2", "n", "role", "dear"])
 
     def bucket_rows(bucket: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, d1, d2, n, q, role = table(batches, "low", "who")
-        order = np.lexsort((q, d2, d1, digest))
-        digest, d1, d2, n, q, role = (x[order] for x in (digest, d1, d2, n, q, role))
+        digest, d1, d2, n, role = table(batches, "low", "who")
+        order = np.lexsort((d2, d1, digest))
+        digest, d1, d2, n, role = (x[order] for x in (digest, d1, d2, n, role))
         same_digest = np.concatenate(([False], digest[1:] == digest[:-1]))
         same = same_digest.copy()
-        same[1:] &= (d1[1:] == d1[:-1]) & (d2[1:] == d2[:-1]) & (q[1:] == q[:-1])
+        same[1:] &= (d1[1:] == d1[:-1]) & (d2[1:] == d2[:-1])
         kept = np.flatnonzero(~same)  # copies of a set are one
         role = np.bitwise_or.reduceat(role, kept) if len(kept) else role
-        digest, d1, d2, n, q, same_digest = (x[kept] for x in (digest, d1, d2, n, q, same_digest))
+        digest, d1, d2, n, same_digest = (x[kept] for x in (digest, d1, d2, n, same_digest))
         start = np.flatnonzero(~same_digest)
         if not len(start):
             return
@@ -465,7 +451,7 @@ def _shared(packed: DataFrame, parts: int) -> DataFrame:
         several = (np.maximum.reduceat(d1, start) != np.minimum.reduceat(d1, start)) | (np.maximum.reduceat(d2, start) != np.minimum.reduceat(d2, start))
         use = np.repeat(several & probing, size)
         if use.any():
-            yield rows((bucket << 32) | (digest[use] & 0xFFFFFFFF), d1[use], d2[use], n[use], q[use], role[use], False)
+            yield rows((bucket << 32) | (digest[use] & 0xFFFFFFFF), d1[use], d2[use], n[use], role[use], False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_bucket, waiting = -1, []
@@ -537,34 +523,40 @@ def _near(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _most(percent: int):
-    """The most tokens in which similar sets of sizes nu and nv differ."""
-    return F.expr(f"({100 - percent} * (nu + nv)) div {100 + percent}")
+def _candidates(probes: DataFrame, index: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of different components that meet; u probes and is the larger (of equal sizes: the later)."""
+    own = probes.select("digest", F.col("sid").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"))
+    other = index.select("digest", F.col("sid").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv"))
+    met = own.join(other, "digest").filter("lu <> lv AND (nu > nv OR (nu = nv AND u > v))").filter(_near("nu", "nv", percent))
+    return met.select("u", "v").distinct()
 
 
-def _candidates(probes: DataFrame, index: DataFrame, percent: int, apart: bool) -> DataFrame:
-    """Pairs (u, v) with enough matching digests; u probes and is the larger (of equal sizes: the later)."""
-    own = probes.select("digest", F.col("sid").alias("u"), F.col("n").alias("nu"), "q", F.col("label").alias("lu"))
-    other = index.select("digest", F.col("sid").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv"))
-    met = own.join(other, "digest").filter("u <> v AND (nu > nv OR (nu = nv AND u > v))").filter(_near("nu", "nv", percent))
-    if apart:
-        met = met.filter("lu <> lv")
-    counted = met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("matches"), F.min("q").alias("q"), F.any_value("nu").alias("nu"), F.any_value("nv").alias("nv"))
-    return counted.filter(F.col("matches") >= F.greatest(F.lit(1), F.col("q") - _most(percent))).select("u", "v", "matches")
+def _unsettled(entries: DataFrame, links: DataFrame | None) -> DataFrame:
+    """The entries, with ``label`` (the component so far), of the digests that sets of several components share."""
+    labelled = entries.withColumn("label", F.col("sid"))
+    if links is not None:
+        label = components(links).toDF("sid", "label")
+        labelled = entries.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    mixed = labelled.groupBy("digest").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_or("role").alias("roles"))
+    mixed = mixed.filter(f"lo <> hi AND roles = {INDEX | PROBE}").select("digest")
+    return store(labelled.join(mixed, "digest"), "ngram-unsettled")
 
 
-def _with_hubs(entries: DataFrame) -> DataFrame:
-    """(digest, sid, n, ...) rows that are the best-connected set of their digest."""
+def _first_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Each set with the best-connected set of another component to which most of its digests lead."""
     crowd = entries.groupBy("digest").agg(F.count(F.lit(1)).alias("crowd"))
     weight = entries.join(crowd, "digest").groupBy("sid").agg(F.sum("crowd").alias("weight"))
-    hub = entries.join(weight, "sid").groupBy("digest").agg(F.max(F.struct("weight", "sid")).alias("hub"))
-    return hub.select("digest", F.col("hub.sid").alias("hub"))
+    hub = entries.join(weight, "sid").groupBy("digest").agg(F.max(F.struct("weight", "sid", "label", "n")).alias("hub"))
+    met = entries.join(hub, "digest").filter("label <> hub.label").filter(_near("n", "hub.n", percent))
+    best = met.groupBy("sid", F.col("hub.sid").alias("hub")).agg(F.count(F.lit(1)).alias("c"))
+    best = best.groupBy("sid").agg(F.max(F.struct("c", "hub")).alias("b"))
+    return best.select(F.greatest("sid", "b.hub").alias("u"), F.least("sid", "b.hub").alias("v")).distinct()
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable by links)."""
     described = store(_described(df, id_col, text_col, shingle), "ngram-sets")
-    sets = described.filter("slot IS NULL").drop("slot", "seen")
+    sets = described.filter("run IS NULL").drop("run", "seen")
     reps = store(sets.filter("n > 0").groupBy("d1", "d2").agg(F.any_value("n").alias("n"), F.min(smallest_id(F.col("id"))).alias("best")), "ngram-representatives")
     found = _components(df, described, reps, id_col, text_col, shingle, percent)
     named = reps.select("d1", "d2", "best") if found is None else reps.join(found, ["d1", "d2"], "left").select(
@@ -575,11 +567,21 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
 
 
 def token_costs(described: DataFrame) -> tuple[np.ndarray, float]:
-    """(an upper bound of how often a token of each slot occurs, the bound from which it counts as frequent)."""
-    cost = np.zeros(SLOTS)
-    for r in described.filter("slot IS NOT NULL").groupBy("slot").agg(F.sum("seen").alias("seen")).toArrow().to_batches():
-        cost[r.column("slot").to_numpy()] = r.column("seen").to_numpy()  # a fixed number of slots
-    return cost, 64.0 + 8.0 * cost.mean()
+    """(how often tokens of each slot occur, the bound from which they count as frequent)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}  # the runs of this task
+        for b in batches:
+            for k, seen in zip(b.column("run").to_pylist(), b.column("seen")):
+                total[k] = total.get(k, 0) + seen.values.to_numpy().astype(np.float32)
+        for k, seen in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([seen], pa.list_(pa.float32()))], names=["run", "seen"])
+
+    cost = np.zeros(SLOTS, np.float32)
+    runs = described.filter("run IS NOT NULL").select("run", "seen").repartition("run").mapInArrow(run, "run int, seen array<float>")
+    for b in runs.toArrow().to_batches():  # a fixed number of slots
+        for k, seen in zip(b.column("run").to_pylist(), b.column("seen")):
+            cost[k * SLOT_RUN:(k + 1) * SLOT_RUN] = seen.values.to_numpy()
+    return cost, 64.0 + 8.0 * float(cost.mean())
 
 
 def _components(df: DataFrame, described: DataFrame, reps: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame | None:
@@ -590,37 +592,30 @@ def _components(df: DataFrame, described: DataFrame, reps: DataFrame, id_col: st
     bands = Bands.of(largest, percent)
     cost, bar = token_costs(described)
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(least, total // (2 * BUCKET) + 1)  # about 0.6 digests a token
+    buckets = max(least, int(total * 0.6 / BUCKET) + 1)  # about 0.6 digests a token
     texts = df.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    entries = store(_shared(_packed(texts, shingle, bands, cost, bar, 4 * parts), parts), "ngram-shared")
-    dear = entries.filter("dear").distinct()
-    asked = dear.groupBy("digest").agg(F.bit_or("role").alias("roles"), F.count(F.lit(1)).alias("c")).filter(f"roles = {INDEX | PROBE} AND c > 1").select("digest")
-    entries = entries.filter("NOT dear").union(dear.join(asked, "digest").select(*entries.columns)).drop("dear")
+    entries = store(_shared(_packed(texts, shingle, bands, cost, bar, buckets), buckets), "ngram-shared")
+    dear = entries.filter("dear")
+    asked = dear.filter(f"role & {PROBE} <> 0").select("digest").distinct()
+    entries = entries.filter("NOT dear").union(dear.join(asked, "digest").select(*entries.columns).distinct()).drop("dear")
     if entries.isEmpty():
         return None
     nodes = store(entries.select("d1", "d2").distinct().withColumn("sid", F.monotonically_increasing_id()), "ngram-nodes")
     entries = store(entries.join(nodes, ["d1", "d2"]).drop("d1", "d2"), "ngram-entries")
 
-    # the bulk of each group: every set with the best-connected set of its digests
-    hubs = _with_hubs(entries)
-    hubbed = entries.join(hubs, "digest")
-    with_hub = hubbed.filter("sid <> hub").select("digest", "sid", "hub").groupBy("sid", "hub").agg(F.count(F.lit(1)).alias("c"))
-    best = with_hub.groupBy("sid").agg(F.max(F.struct("c", "hub")).alias("b")).select(F.col("sid").alias("u"), F.col("b.hub").alias("v"), F.col("b.c").alias("c"))
-    sizes = entries.groupBy("sid").agg(F.max("n").alias("n"), F.max("q").alias("q"))
-    best = best.join(sizes.toDF("u", "nu", "q"), "u").join(sizes.select("sid", "n").toDF("v", "nv"), "v").filter(_near("nu", "nv", percent))
-    best = best.filter(F.col("c") >= F.greatest(F.lit(1), F.col("q") - _most(percent)))  # else hardly alike: the second round looks exactly
-    pairs = store(best.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "ngram-first-pairs")
-    first = _linked(pairs, _with_texts(df, _named(pairs, nodes), reps, id_col, text_col, shingle), percent)
-    label = components(first)
-
-    # what is left: pairs in different components, with as many matches as similar sets must have
-    labelled = entries.join(label.toDF("sid", "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    mixed = labelled.groupBy("digest").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("digest")
-    rest = store(labelled.join(mixed, "digest"), "ngram-unsettled")
-    pairs = store(_candidates(rest.filter(f"role & {PROBE} <> 0"), rest.filter(f"role & {INDEX} <> 0"), percent, True).select("u", "v"), "ngram-pairs")
-    second = _linked(pairs, _with_texts(df, _named(pairs, nodes), reps, id_col, text_col, shingle), percent)
-
-    roots = components(first.union(second)).toDF("sid", "root")
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = store(pairs, name)
+        return _linked(pairs, _with_texts(df, _named(pairs, nodes), reps, id_col, text_col, shingle), percent)
+
+    links = None
+    for _ in range(ROUNDS):  # the bulk of each group
+        entries = _unsettled(entries.drop("label"), links)
+        found = verified(_first_pairs(entries, percent), "ngram-first-pairs")
+        links = found if links is None else links.union(found)
+    rest = _unsettled(entries.drop("label"), links)
+    links = links.union(verified(_candidates(rest.filter(f"role & {PROBE} <> 0"), rest.filter(f"role & {INDEX} <> 0"), percent), "ngram-pairs"))
+
+    roots = components(links).toDF("sid", "root")
     roots = roots.union(roots.select("root", "root")).distinct()
     members = store(roots.join(nodes, "sid").join(reps.select("d1", "d2", "best"), ["d1", "d2"]), "ngram-members")
     smallest = members.groupBy("root").agg(F.min("best").alias("of_all"))
