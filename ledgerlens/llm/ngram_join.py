@@ -66,6 +66,8 @@ BUCKET = 1_500_000
 SEEN = 100_000
 #: rounds in which sets are compared with one other set each
 ROUNDS = 2
+#: of the digests, one in so many serves those rounds
+SAMPLE = 8
 INDEX, PROBE = 1, 2
 
 _U = np.uint64
@@ -495,28 +497,20 @@ def _with_texts(df: DataFrame, wanted: DataFrame, reps: DataFrame, id_col: str,
             for _, _, data, offsets in chunked(b.column(0)):
                 sets = sets_of(data, offsets, shingle)
                 d1, d2 = sets.digests()
-                raw = pa.py_buffer(np.ascontiguousarray(sets.tokens).tobytes())
-                cut = np.append(sets.start, len(sets.tokens)).astype(np.int64) * 8
-                tokens = pa.Array.from_buffers(pa.large_binary(), len(d1), [None, pa.py_buffer(cut.tobytes()), raw]).cast(pa.binary())
+                cut = np.append(sets.start, len(sets.tokens))
+                tokens = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(sets.tokens.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), tokens], names=["d1", "d2", "tokens"])
 
-    hashed = near.mapInArrow(run, "d1 long, d2 long, tokens binary")
+    hashed = near.mapInArrow(run, "d1 long, d2 long, tokens array<long>")
     return store(keep_one_per(hashed.join(wanted, ["d1", "d2"]).select("sid", "tokens"), ["sid"]), "ngram-tokens")
 
 
 def _linked(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose tokens reach the similarity."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column("a"), b.column("b")):
-                s, t = (np.frombuffer(z.as_buffer(), _U) for z in (x, y))
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                good.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    sided = (pairs.join(tokens.toDF("v", "b"), "v").join(tokens.toDF("u", "a"), "u")).select("u", "v", "a", "b")
-    return store(sided.mapInArrow(run, "u long, v long"), "ngram-links")
+    sided = pairs.join(tokens.toDF("v", "b"), "v").join(tokens.toDF("u", "a"), "u")
+    both = F.size(F.array_intersect("a", "b"))
+    either = F.size("a") + F.size("b") - both
+    return store(sided.filter(100 * both >= percent * either).select("u", "v"), "ngram-links")
 
 
 def _near(a: str, b: str, percent: int):
@@ -531,19 +525,21 @@ def _candidates(probes: DataFrame, index: DataFrame, percent: int) -> DataFrame:
     return met.select("u", "v").distinct()
 
 
-def _unsettled(entries: DataFrame, links: DataFrame | None) -> DataFrame:
+def _unsettled(entries: DataFrame, links: DataFrame) -> DataFrame:
     """The entries, with ``label`` (the component so far), of the digests that sets of several components share."""
-    labelled = entries.withColumn("label", F.col("sid"))
-    if links is not None:
-        label = components(links).toDF("sid", "label")
-        labelled = entries.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    label = components(links).toDF("sid", "label")
+    labelled = entries.drop("label").join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     mixed = labelled.groupBy("digest").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_or("role").alias("roles"))
     mixed = mixed.filter(f"lo <> hi AND roles = {INDEX | PROBE}").select("digest")
     return store(labelled.join(mixed, "digest"), "ngram-unsettled")
 
 
 def _first_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Each set with the best-connected set of another component to which most of its digests lead."""
+    """Each set with the best-connected set of another component to which most of its digests lead.
+
+    Every SAMPLE-th digest will do: what these pairs leave open is compared afterwards.
+    """
+    entries = entries.filter(F.pmod("digest", F.lit(SAMPLE)) == 0)
     crowd = entries.groupBy("digest").agg(F.count(F.lit(1)).alias("crowd"))
     weight = entries.join(crowd, "digest").groupBy("sid").agg(F.sum("crowd").alias("weight"))
     hub = entries.join(weight, "sid").groupBy("digest").agg(F.max(F.struct("weight", "sid", "label", "n")).alias("hub"))
@@ -607,12 +603,12 @@ def _components(df: DataFrame, described: DataFrame, reps: DataFrame, id_col: st
         pairs = store(pairs, name)
         return _linked(pairs, _with_texts(df, _named(pairs, nodes), reps, id_col, text_col, shingle), percent)
 
+    rest = entries.withColumn("label", F.col("sid"))
     links = None
     for _ in range(ROUNDS):  # the bulk of each group
-        entries = _unsettled(entries.drop("label"), links)
-        found = verified(_first_pairs(entries, percent), "ngram-first-pairs")
+        found = verified(_first_pairs(rest, percent), "ngram-first-pairs")
         links = found if links is None else links.union(found)
-    rest = _unsettled(entries.drop("label"), links)
+        rest = _unsettled(rest, links)
     links = links.union(verified(_candidates(rest.filter(f"role & {PROBE} <> 0"), rest.filter(f"role & {INDEX} <> 0"), percent), "ngram-pairs"))
 
     roots = components(links).toDF("sid", "root")
