@@ -19,6 +19,7 @@ from ..functions.numeric import cents, half_up_ratio, half_up_round, pct_text
 from ..operators.reshape import rows_from_one
 from ..operators.stats import column_stats, mean_col, sd_col, with_stats, zscore
 from ..operators.sweep import confusion_sweep, precision_pct
+from ..operators.ranks import with_percent_ranks
 from ..operators.topk import top_k, with_percent_rank_of_top
 from .data import PaymentData
 
@@ -121,6 +122,16 @@ def amount_flagged_top(data: PaymentData, multiplier: float = C.OPTIMAL_AMOUNT_M
     return out.orderBy(*order)
 
 
+def amount_flagged_ranked(data: PaymentData, multiplier: float = C.OPTIMAL_AMOUNT_MULTIPLIER) -> DataFrame:
+    """Every flagged row with its percent rank (x100) among all flagged rows, by a distributed rank."""
+    fact = data.labelled.select("transaction_id", "amount", "is_fraud")
+    scored = with_stats(fact, column_stats(fact, ["amount"], F.sum("amount").alias("_sum"), F.count(F.lit(1)).alias("_cnt")))
+    flagged = scored.where(_amount_flag(multiplier)).select(
+        "transaction_id", "amount", "is_fraud", half_up_ratio(cents(F.col("_sum")), F.col("_cnt") * 100, 2).alias("avg_amount"),
+        half_up_round(_amount_threshold(multiplier), 2).alias("optimal_threshold"), F.lit(C.REVIEW_PRIORITY_HIGH).alias("review_priority"))
+    return with_percent_ranks(flagged, "amount", "amount_percentile")
+
+
 # --- z-score helpers ---------------------------------------------------------
 def _zscored(fact: DataFrame, features: Sequence[str]) -> DataFrame:
     scored = with_stats(fact, column_stats(fact, features))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.bands import hour_of_day
 from ..functions.numeric import cents, half_up_ratio, half_up_round
 from ..operators.quantiles import exact_percentiles
 from ..operators.stats import column_stats, with_stats, zscore
@@ -51,6 +52,13 @@ def amount_percentiles(data: PaymentData) -> DataFrame:
                                                       ("p99_amount", Decimal("0.99"))])
 
 
+def hourly_amount_percentiles(data: PaymentData) -> DataFrame:
+    """Exact median, 95th and 99th percentile of the labelled amounts per hour of day."""
+    rows = data.labelled.select(hour_of_day(F.col("transaction_time")).alias("hour_of_day"), "amount")
+    return exact_percentiles(rows, "amount", [("p50_amount", Decimal("0.5")), ("p95_amount", Decimal("0.95")), ("p99_amount", Decimal("0.99"))],
+                             by=["hour_of_day"])
+
+
 def v3_profile(data: PaymentData) -> DataFrame:
     """Per label: count, exact mean (4 places), sample deviation (4 places),
     extremes of V3 and the rows beyond the statistical line (z > 3, z over

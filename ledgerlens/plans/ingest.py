@@ -4,12 +4,15 @@
 Two ways to label transactions are offered:
 
 * ``load_fraud_cases`` reproduces the label join on 30 keys (amount, time and
-  the 28 features rounded to 6 places) with its DISTINCT. The staging side is
-  reduced to distinct (30 keys, is fraud) rows *before* the join (a plain hash
+  the 28 features rounded to 6 places) with its DISTINCT. Both sides carry the
+  SHA-256 of the 30 keys in the table's declared types, written out, instead of
+  the keys: 32 bytes a row are moved, not 30 columns. The first half is the join
+  key, the second half verifies each match. The staging side is reduced to
+  distinct (digest, is fraud) rows *before* the join (a plain hash
   aggregate, at most two rows per key), so a group of k identical source rows
   yields at most 2 cases per transaction instead of a k x k fan-out, and no
   DISTINCT pass is needed after the join. Both sides of the join are plain
-  shuffles on the 30 keys, so AQE can split a hot key of the transaction side.
+  shuffles, so AQE can split a hot key of the transaction side.
 * ``carry_label`` keeps the class through the id assignment: one pass, no
   join. It equals the label join when no two source rows share all 30 keys
   with different classes and no key is NULL.
@@ -18,6 +21,7 @@ Two ways to label transactions are offered:
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,13 +39,19 @@ from ..sources.card_csv import to_staging
 from ..sources.testdata import read_table, source_state
 from .data import PaymentData
 
-TX_KEYS = ["amount", "transaction_time", *FEATURES]
+
+def staging_of(events: DataFrame) -> DataFrame:
+    """Staging rows of some events: the fixture rows in the delivered file
+    layout, through the same mapping the CSV reader uses. Events with fewer
+    splits than the session has cores are dealt out first: their few columns
+    are cheap to move, the 28 derived ones are not cheap to compute."""
+    cores = events.sparkSession.sparkContext.defaultParallelism
+    return to_staging(fixtures.raw_card_file(events if events.rdd.getNumPartitions() >= cores else events.repartition(cores)))
 
 
 def staging_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The staging table (P01) for a test-data folder: the fixture rows in the
-    delivered file layout, through the same mapping the CSV reader uses."""
-    return to_staging(fixtures.raw_card_file(read_table(spark, sf_dir, "events")))
+    """The staging table (P01) for a test-data folder."""
+    return staging_of(read_table(spark, sf_dir, "events"))
 
 
 def _rounded_features(df: DataFrame) -> list:
@@ -95,19 +105,30 @@ def _case_columns() -> list:
     ]
 
 
+def key_digest(amount: Column, time: Column, features: Sequence[Column]) -> Column:
+    """SHA-256 (binary) of the 30 label keys; NULL if any of them is."""
+    keys = [amount.cast("decimal(10,2)"), time.cast("int"), *[f.cast("decimal(10,6)") for f in features]]
+    written = [part for k in keys for part in (k.cast("string"), F.lit("|"))]
+    return F.unhex(F.sha2(F.concat(*written), 256))
+
+
 def load_fraud_cases(transactions: DataFrame, staging: DataFrame) -> DataFrame:
     """Fraud cases (P06) by the 30-key label join; NULL keys match nothing.
 
-    The label side is the distinct (keys, is_fraud) rows: clustered on 31
-    columns, it is shuffled again for the join on 30, like the transaction
+    The label side is the distinct (digest, is_fraud) rows: clustered on all
+    three columns, it is shuffled again for the join on one, like the transaction
     side. That second shuffle of an already reduced table is what lets AQE's
     skew-join handling split a hot key (it never splits a partition that an
     aggregate below the join still needs whole).
     """
-    labels = staging.select(
-        "amount", F.col("time_seconds").alias("transaction_time"), *_rounded_features(staging),
-        _is_fraud().alias("is_fraud")).distinct()
-    joined = transactions.select("transaction_id", *TX_KEYS).join(labels, TX_KEYS, "inner")
+    def halves(digest: Column) -> list:
+        return [F.substring(digest, 1, 16).alias("_key"), F.substring(digest, 17, 16).alias("_rest")]
+
+    rounded = [F.round(F.col(v), 6) for v in FEATURES]
+    labels = staging.select(*halves(key_digest(F.col("amount"), F.col("time_seconds"), rounded)), _is_fraud().alias("is_fraud"))
+    labels = labels.where(F.col("_key").isNotNull()).distinct()
+    own = transactions.select("transaction_id", *halves(key_digest(F.col("amount"), F.col("transaction_time"), [F.col(v) for v in FEATURES])))
+    joined = own.join(labels.withColumnRenamed("_rest", "_verify"), "_key").where(F.col("_rest") == F.col("_verify"))
     return joined.select(*_case_columns())
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import catalog, detect, extras, ingest, params, report, views
+from . import append, catalog, detect, extras, ingest, params, report, view_sql, views
 from ..constants import TEST_LOAD_TIME
 from ..session import checkpoint_path
 from ..sources import fixtures
@@ -71,6 +71,61 @@ def _catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.validate_counts(catalog.read_published(spark))
 
 
+#: the events before this time are the first of two delivered files
+SECOND_FILE = "2024-01-16 00:00:00"
+
+
+def _append_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All transactions with their cases after two files were appended, the first of them twice."""
+    path = checkpoint_path(spark, f"appended/{uuid.uuid4().hex}")
+    events = read_table(spark, sf_dir, "events")
+    early = F.col("ts") < F.lit(SECOND_FILE).cast("timestamp_ntz")
+    files = {"file1": events.where(early), "file2": events.where(~early)}
+    for batch in ("file1", "file2", "file1"):
+        append.append_batch(ingest.staging_of(files[batch]), path, batch, as_of=TEST_LOAD_TIME)
+    loaded = append.read_appended(spark, path)
+    cases = loaded.fraud_cases.groupBy("transaction_id").agg(
+        F.count(F.lit(1)).alias("case_count"), F.count_if("is_fraud").alias("fraud_count"), F.min("case_id").alias("first_case_id"))
+    out = loaded.transactions.select("transaction_id", "batch_id", "transaction_time", "amount", "v1", "v27").join(cases, "transaction_id", "left")
+    return out.fillna(0, ["case_count", "fraud_count", "first_case_id"])
+
+
+_VIEW_TABLES: dict = {}
+
+
+def _stored_view(name: str, *stamps: str) -> Query:
+    """A view kept in the catalog over published tables, read by qualified name from another session."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        data = PaymentData.from_testdata(spark, sf_dir)
+        prefix = _VIEW_TABLES.get(id(data))
+        if prefix is None or prefix[0] is not data:
+            prefix = _VIEW_TABLES[id(data)] = (data, f"v{uuid.uuid4().hex[:8]}_")
+            tables = ingest.Loaded(None, data.transactions, data.fraud_cases)
+            catalog.publish(tables, checkpoint_path(spark, f"catalog/{uuid.uuid4().hex}"), prefix[1])
+            catalog.create_views(spark, prefix[1], as_of=TEST_LOAD_TIME)
+        other = spark.newSession()
+        other.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+        return _texted(*stamps)(other.table(f"{prefix[1]}{view_sql.SCHEMA}.{name}"))
+
+    return run
+
+
+def _catalog_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schemas that exist after a load was published, and the staging rows before and after it was truncated and dropped."""
+    prefix = f"c{uuid.uuid4().hex[:8]}_"
+    catalog.publish(ingest.loaded_from_testdata(spark, sf_dir), checkpoint_path(spark, f"catalog/{uuid.uuid4().hex}"), prefix)
+    staging = catalog.qualified("staging", prefix)
+    schemas = catalog.verify_schemas(spark, prefix).select(
+        F.lit("schema").alias("step"), F.expr(f"substring(schema_name, {len(prefix) + 1})").alias("object_name"), F.lit(None).cast("long").alias("row_count"))
+    seen = [("published", spark.table(staging).count())]  # counted here: the next statements change the table
+    catalog.truncate_staging(spark, prefix)
+    seen.append(("truncated", spark.table(staging).count()))
+    catalog.drop_staging(spark, prefix)
+    seen.append(("dropped", None if not spark.catalog.tableExists(staging) else spark.table(staging).count()))
+    rows = spark.createDataFrame([(step, catalog.TABLES["staging"], n) for step, n in seen], schemas.schema)
+    return schemas.unionByName(rows).withColumn("row_count", F.coalesce("row_count", F.lit(-1)))
+
+
 def _view_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per view in a dated snapshot of all views."""
     path = checkpoint_path(spark, f"snapshots/{uuid.uuid4().hex}")
@@ -147,12 +202,21 @@ _NATIVE: dict[str, Query] = {
     "sql_table_function": _sql_function,
     "catalog_scan": _catalog_scan,
     "view_snapshots": _view_snapshots,
+    "append_load": _append_load,
+    "catalog_lifecycle": _catalog_lifecycle,
+    "stored_view_fraud_hourly_stats": _stored_view("fraud_hourly_stats"),
+    "stored_view_high_risk_transactions": _stored_view("high_risk_transactions", "analysis_timestamp"),
+    "stored_view_detection_performance_summary": _stored_view("detection_performance_summary"),
+    "stored_view_executive_dashboard": _stored_view("executive_dashboard", "report_timestamp"),
+    "stored_view_segment_performance": _stored_view("segment_performance", "report_timestamp"),
     # extensions
     "detector_extras": _on_fixture(detect.detector_extras),
     "customer_rollup": _timed(_on_fixture(extras.customer_rollup, as_of=TEST_LOAD_TIME, epoch=TEST_LOAD_TIME),
                               "created_date", "last_transaction_date"),
     "v3_profile": _on_fixture(extras.v3_profile),
     "amount_percentiles": _on_fixture(extras.amount_percentiles),
+    "hourly_amount_percentiles": _on_fixture(extras.hourly_amount_percentiles),
+    "amount_flagged_ranked": _on_fixture(detect.amount_flagged_ranked),
     "outlier_dominance": _on_fixture(extras.outlier_dominance),
     # streaming (file stream of the events table, run to completion)
     "stream_score": streaming.stream_score_testdata,

@@ -1,8 +1,10 @@
 """Operational views: hourly statistics, high-risk transactions, detection
 performance, executive dashboard and segment performance.
 
-Each view is a function returning a DataFrame; ``register_views`` publishes
-them as temporary SQL views under the names users query, so
+Each view is a function returning a DataFrame: its SQL text (``view_sql.py``, the
+one definition that ``catalog.create_views`` also stores) run over the given
+tables; ``register_views`` publishes them as temporary SQL views under the names
+users query, so
 ``SELECT * FROM high_risk_transactions WHERE recommended_action =
 'IMMEDIATE_BLOCK'`` works as written. Views carry a ``report_timestamp`` /
 ``analysis_timestamp`` column (the query time, or a fixed ``as_of``).
@@ -10,20 +12,14 @@ them as temporary SQL views under the names users query, so
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.bands import amount_segment, amount_segment_rank, hour_of_day
-from ..functions.numeric import cents, half_up_ratio, half_up_round
-from ..operators.sweep import precision_pct
+from ..functions.bands import hour_of_day
+from ..functions.numeric import half_up_ratio
+from . import view_sql
 from .data import PaymentData
-from .detect import method_sweep, pattern_action, v3_scored
-
-
-
-def _stamp(as_of) -> Column:
-    return F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
 
 
 def _hourly_counts(data: PaymentData) -> DataFrame:
@@ -59,92 +55,37 @@ def hourly_fraud(data: PaymentData) -> DataFrame:
     return out.orderBy(F.col("fraud_rate_percentage").desc_nulls_first(), "hour_of_day")
 
 
+def _defined(data: PaymentData, definition, **options) -> DataFrame:
+    """A view's text over the labelled fact and the cases of ``data``."""
+    return data.spark.sql(definition(**options), labelled=data.labelled, cases=data.fraud_cases)
+
+
 # --- P17 -------------------------------------------------------------------
 def fraud_hourly_stats(data: PaymentData) -> DataFrame:
-    return _with_hour_shares(_hourly_counts(data), data).select(
-        "hour_of_day", "total_transactions", "fraud_count", "normal_count",
-        "fraud_rate_percentage", "fraud_distribution_percentage",
-    )
+    return _defined(data, view_sql.fraud_hourly_stats)
 
 
 # --- P18 -------------------------------------------------------------------
 def high_risk_transactions(data: PaymentData, as_of=None, include_timestamp: bool = True,
                            watch_z: float = C.MONITOR_V3_Z) -> DataFrame:
     """Every labelled row above the V3 watch line with its action."""
-    cols = [
-        "transaction_id",
-        "amount",
-        "is_fraud",
-        half_up_round(F.col("v3_z"), 2).alias("v3_risk_score"),
-        pattern_action(F.col("v3_z"), F.col("amount")).alias("recommended_action"),
-    ]
-    if include_timestamp:
-        cols.append(_stamp(as_of).alias("analysis_timestamp"))
-    return v3_scored(data).where(F.col("v3_z") > F.lit(watch_z)).select(*cols)
+    return _defined(data, view_sql.high_risk_transactions, as_of=as_of, include_timestamp=include_timestamp, watch_z=watch_z)
 
 
 # --- P19 -------------------------------------------------------------------
 def detection_performance_summary(data: PaymentData) -> DataFrame:
-    sweep = method_sweep(data, C.METHOD_LABELS_SHORT)
-    notes = F.element_at(F.array(*[F.lit(n) for n in C.METHOD_NOTES]), F.col("detector_order"))
-    return sweep.select(
-        "detection_method",
-        F.col("flagged").alias("total_flagged"),
-        F.col("caught").alias("fraud_caught"),
-        precision_pct(F.col("caught"), F.col("flagged")).alias("precision_percentage"),
-        notes.alias("performance_note"),
-    )
+    return _defined(data, view_sql.detection_performance_summary)
 
 
 # --- P27 -------------------------------------------------------------------
 def executive_dashboard(data: PaymentData, as_of=None, include_timestamp: bool = True) -> DataFrame:
     """One row over labelled rows; the average stays unrounded (DECIMAL(14,6))."""
-    one = data.labelled.agg(
-        F.count(F.lit(1)).alias("total_transactions"),
-        F.count_if(F.col("is_fraud")).alias("fraud_cases"),
-        F.sum("amount").alias("total_volume"),
-        F.sum(F.when(F.col("is_fraud"), F.col("amount"))).alias("fraud_loss"),
-        F.avg("amount").alias("avg_transaction"),
-    )
-    cols = [
-        "total_transactions",
-        "fraud_cases",
-        half_up_ratio(F.col("fraud_cases"), F.col("total_transactions"), 3, factor=100).alias("fraud_rate"),
-        "total_volume",
-        "fraud_loss",
-        half_up_ratio(cents(F.col("fraud_loss")), cents(F.col("total_volume")), 4, factor=100).alias("loss_percentage"),
-        "avg_transaction",
-    ]
-    if include_timestamp:
-        cols.append(_stamp(as_of).alias("report_timestamp"))
-    return one.select(*cols)
+    return _defined(data, view_sql.executive_dashboard, as_of=as_of, include_timestamp=include_timestamp)
 
 
 # --- P28 -------------------------------------------------------------------
 def segment_performance(data: PaymentData, as_of=None, include_timestamp: bool = True) -> DataFrame:
-    g = (
-        data.labelled.select(amount_segment_rank(F.col("amount")).alias("_rank"),
-                             amount_segment(F.col("amount"), short=True).alias("segment"), "amount", "is_fraud")
-        .groupBy("_rank", "segment")
-        .agg(
-            F.count(F.lit(1)).alias("transactions"),
-            F.count_if(F.col("is_fraud")).alias("fraud_count"),
-            F.sum("amount").alias("volume"),
-            F.sum(F.when(F.col("is_fraud"), F.col("amount"))).alias("fraud_volume"),
-        )
-    )
-    cols = [
-        "segment",
-        "transactions",
-        "fraud_count",
-        half_up_ratio(F.col("fraud_count"), F.col("transactions"), 3, factor=100).alias("fraud_rate"),
-        "volume",
-        "fraud_volume",
-        half_up_ratio(cents(F.col("fraud_volume")), cents(F.col("volume")), 4, factor=100).alias("loss_rate"),
-    ]
-    if include_timestamp:
-        cols.append(_stamp(as_of).alias("report_timestamp"))
-    return g.orderBy(F.col("volume").desc_nulls_first(), "_rank").select(*cols)
+    return _defined(data, view_sql.segment_performance, as_of=as_of, include_timestamp=include_timestamp)
 
 
 VIEW_BUILDERS = {

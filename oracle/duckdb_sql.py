@@ -18,6 +18,8 @@ a DOUBLE quotient misses some ties.
 
 from __future__ import annotations
 
+import re
+
 from ledgerlens import constants as C
 
 # --- small generators -----------------------------------------------------------
@@ -204,6 +206,11 @@ ORACLE_SQL: dict[str, str] = {
         f"{rounded(f'amount_mean + ({C.OPTIMAL_AMOUNT_MULTIPLIER} * amount_sd)')} AS optimal_threshold, '{C.REVIEW_PRIORITY_HIGH}' AS review_priority, "
         f"coalesce({percent('(SELECT count(*) FROM flagged AS f WHERE f.amount < t.amount)', '(SELECT count(*) - 1 FROM flagged)', 2)}, 0) AS amount_percentile "
         "FROM (SELECT * FROM flagged ORDER BY amount DESC, transaction_id, is_fraud LIMIT 50) AS t", FLAGGED),
+    "amount_flagged_ranked": query(
+        f"SELECT transaction_id, amount, is_fraud, {mean_money('volume_all', 'n_all')} AS avg_amount, "
+        f"{rounded(f'amount_mean + ({C.OPTIMAL_AMOUNT_MULTIPLIER} * amount_sd)')} AS optimal_threshold, '{C.REVIEW_PRIORITY_HIGH}' AS review_priority, "
+        f"coalesce({percent('below', 'others', 2)}, 0) AS amount_percentile "
+        "FROM (SELECT *, rank() OVER (ORDER BY amount) - 1 AS below, count(*) OVER () - 1 AS others FROM flagged)", FLAGGED),
     "zscore_outliers_top50": query(
         "SELECT transaction_id, amount, is_fraud, " + ", ".join(f"{rounded(f'z{i}')} AS v{i}_zscore" for i in FIVE)
         + f", {rounded('z_mean')} AS avg_zscore, '{C.OUTLIER_LABEL}' AS outlier_classification, {DOMINANT} AS dominant_outlier_feature "
@@ -225,6 +232,14 @@ ORACLE_SQL: dict[str, str] = {
             f"(SELECT min(amount) + (max(amount) - min(amount)) * any_value(frac) FROM (SELECT amount, place, (n_all - 1) * {p}::DECIMAL(3,2) AS x, "
             f"x - floor(x) AS frac FROM ranked) WHERE place IN (floor(x), ceil(x))) AS {name}" for name, p in (("p95_amount", "0.95"), ("p99_amount", "0.99"))),
         "ranked AS (SELECT amount, row_number() OVER (ORDER BY amount) - 1 AS place, count(*) OVER () AS n_all FROM gauged WHERE amount IS NOT NULL)"),
+    "hourly_amount_percentiles": query(
+        "SELECT hour_of_day, " + ", ".join(
+            f"max(amount) FILTER (place = floor(({p}) * (n_hour - 1))) + (max(amount) FILTER (place = ceil(({p}) * (n_hour - 1))) "
+            f"- max(amount) FILTER (place = floor(({p}) * (n_hour - 1)))) * (({p}) * (any_value(n_hour) - 1) - floor(({p}) * (any_value(n_hour) - 1))) AS {name}"
+            for name, p in (("p50_amount", "0.5::DECIMAL(3,2)"), ("p95_amount", "0.95::DECIMAL(3,2)"), ("p99_amount", "0.99::DECIMAL(3,2)")))
+        + " FROM placed GROUP BY hour_of_day",
+        "placed AS (SELECT hour_of_day, amount, row_number() OVER (PARTITION BY hour_of_day ORDER BY amount) - 1 AS place, "
+        "count(*) OVER (PARTITION BY hour_of_day) AS n_hour FROM gauged WHERE amount IS NOT NULL)"),
     "hourly_fraud": by_hour(f"{GUILTY_N} AS fraud_count, {HOURLY_SHARES}"),
     "view_fraud_hourly_stats": by_hour(f"{GUILTY_N} AS fraud_count, count(*) FILTER (NOT is_fraud) AS normal_count, {HOURLY_SHARES}"),
     "hourly_financials": by_hour(
@@ -389,6 +404,34 @@ ORACLE_SQL |= {
 
 ORACLE_SQL["csv_ingest_round_trip"] = ORACLE_SQL["ingest_staging"]
 ORACLE_SQL["catalog_scan"] = ORACLE_SQL["validate_counts"]
+ORACLE_SQL["catalog_lifecycle"] = loaded(stacked(
+    ("step", "object_name", "row_count"),
+    [*[("'schema'", f"'{s}'", "-1") for s in ("analytics", "fraud_detection", "staging")], ("'published'", f"'{_TABLES[0]}'", "(SELECT count(*) FROM raw)"),
+     ("'truncated'", f"'{_TABLES[0]}'", "0"), ("'dropped'", f"'{_TABLES[0]}'", "-1")], "(SELECT 1)"))
+ORACLE_SQL |= {f"stored_view_{stored}": ORACLE_SQL[own] for stored, own in {
+    "fraud_hourly_stats": "view_fraud_hourly_stats", "high_risk_transactions": "view_high_risk_transactions",
+    "detection_performance_summary": "view_detection_performance", "executive_dashboard": "view_executive_dashboard",
+    "segment_performance": "view_segment_performance"}.items()}
+
+# two files, each numbered on its own after the ids of the one before
+SECOND_FILE = "TIMESTAMP '2024-01-16 00:00:00'"
+
+
+def one_file(tag: str, condition: str) -> list[str]:
+    return [re.sub(r"\b(raw|staged|numbered|labels|filed)\b", rf"\1_{tag}", cte).replace("FROM events", f"FROM events WHERE {condition}")
+            for cte in (RAW, STAGED, NUMBERED, *CASES)]
+
+
+def file_rows(tag: str, after: str, cases_after: str) -> str:
+    return (f"SELECT transaction_id + {after} AS transaction_id, '{tag}' AS batch_id, transaction_time, amount, v1, v27, "
+            f"coalesce(c.n, 0) AS case_count, coalesce(c.f, 0) AS fraud_count, coalesce(c.first + {cases_after}, 0) AS first_case_id "
+            f"FROM numbered_{tag} LEFT JOIN (SELECT transaction_id, count(*) AS n, count(*) FILTER (is_fraud) AS f, min(case_id) AS first "
+            f"FROM filed_{tag} GROUP BY 1) AS c USING (transaction_id)")
+
+
+ORACLE_SQL["append_load"] = ("WITH " + ",\n".join([*one_file("file1", f"ts < {SECOND_FILE}"), *one_file("file2", f"ts >= {SECOND_FILE}")]) + "\n"
+                             + file_rows("file1", "0", "0") + "\nUNION ALL\n"
+                             + file_rows("file2", "(SELECT count(*) FROM numbered_file1)", "(SELECT count(*) FROM filed_file1)"))
 
 # --- streaming: every payment, labelled or not, against the labelled centre ------------
 ARRIVING = "arriving AS (SELECT transaction_id, ts, amount, abs(v3::DOUBLE - m3) / nullif(s3, 0) AS z3 FROM payment CROSS JOIN centre)"

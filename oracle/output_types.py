@@ -39,6 +39,13 @@ DOUBLE_COLUMNS: dict[str, tuple[str, ...]] = {
     "stream_hourly_alerts": ('volume',),
 }
 
+DOUBLE_COLUMNS["amount_flagged_ranked"] = DOUBLE_COLUMNS["amount_flagged_top50"]
+DOUBLE_COLUMNS["hourly_amount_percentiles"] = ("p50_amount", "p95_amount", "p99_amount")
+DOUBLE_COLUMNS["append_load"] = ("amount", "v1", "v27")
+DOUBLE_COLUMNS |= {f"stored_view_{stored}": DOUBLE_COLUMNS[own] for stored, own in {
+    "fraud_hourly_stats": "view_fraud_hourly_stats", "high_risk_transactions": "view_high_risk_transactions",
+    "detection_performance_summary": "view_detection_performance", "executive_dashboard": "view_executive_dashboard",
+    "segment_performance": "view_segment_performance"}.items()}
 DOUBLE_COLUMNS["csv_ingest_round_trip"] = DOUBLE_COLUMNS["ingest_staging"]
 DOUBLE_COLUMNS["sql_table_function"] = DOUBLE_COLUMNS["analyze_fraud_by_parameters"]
 
