@@ -18,7 +18,9 @@ deletion instead (such a segment covers one differing token and counts for two),
 where that does not suffice either, the frequent ones are probed after all, by a
 join that splits hot keys.
 
-Verification compares the tokens themselves. Within groups of alike sets not all
+Verification drops a pair if the parity bitmaps of the two sets (each token flips one
+bit) differ in more than H bits, since every differing bit takes a differing token,
+and then compares the tokens themselves. Within groups of alike sets not all
 pairs are compared: in each of a few rounds every set is compared with the
 best-connected set, of another component, that its digests lead to, which joins the
 bulk of each group; then only pairs in different components are verified. All links
@@ -478,8 +480,24 @@ def _shared(packed: DataFrame, parts: int) -> DataFrame:
     return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _ENTRY)
 
 
-def _with_texts(df: DataFrame, wanted: DataFrame, reps: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(sid, n, tokens) of the wanted sets (sid, d1, d2), hashed again from their representatives' texts.
+def parities(sets: Sets) -> pa.Array:
+    """A bitmap per set, a power of two of at least 512 bits and twice its size, in which each token flips one bit."""
+    spot = mix(sets.tokens, 50)
+    words, cut = [], [0]
+    for a, n in zip(sets.start.tolist(), sets.size.tolist()):
+        bits = max(512, 1 << (2 * n - 1).bit_length()) if n else 512
+        odd = np.bincount((spot[a:a + n] & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+        words.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+        cut.append(cut[-1] + bits // 64)
+    return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate(words) if words else np.zeros(0, np.int64)))
+
+
+def _token_lists(sets: Sets) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(sets.start, len(sets.tokens)), pa.int32()), pa.array(sets.tokens.view(np.int64)))
+
+
+def _of_texts(df: DataFrame, wanted: DataFrame, reps: DataFrame, id_col: str, text_col: str, shingle: int, made, name: str) -> DataFrame:
+    """(sid, longs): what ``made`` gives for the wanted sets (sid, d1, d2), hashed again from their representatives' texts.
 
     A bitmap of hashed ids (a fixed number of words) leaves out most texts before they are moved.
     """
@@ -497,12 +515,22 @@ def _with_texts(df: DataFrame, wanted: DataFrame, reps: DataFrame, id_col: str,
             for _, _, data, offsets in chunked(b.column(0)):
                 sets = sets_of(data, offsets, shingle)
                 d1, d2 = sets.digests()
-                cut = np.append(sets.start, len(sets.tokens))
-                tokens = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(sets.tokens.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), tokens], names=["d1", "d2", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), made(sets)], names=["d1", "d2", "longs"])
+
+    hashed = near.mapInArrow(run, "d1 long, d2 long, longs array<long>")
+    return store(keep_one_per(hashed.join(wanted, ["d1", "d2"]).select("sid", "longs"), ["sid"]), name)
 
-    hashed = near.mapInArrow(run, "d1 long, d2 long, tokens array<long>")
-    return store(keep_one_per(hashed.join(wanted, ["d1", "d2"]).select("sid", "tokens"), ["sid"]), "ngram-tokens")
+
+def _perhaps(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose bitmaps (sid, n, longs) differ in no more bits than similar sets may in tokens."""
+    sided = pairs.join(bitmaps.toDF("v", "nv", "b"), "v").join(bitmaps.toDF("u", "nu", "a"), "u")
+    least = F.least(F.size("a"), F.size("b"))  # lengths of sets of like size are equal or one is twice the other
+
+    def folded(x: str):
+        return F.when(F.size(x) == least, F.col(x)).otherwise(F.transform(F.slice(x, 1, least), lambda w, i: w.bitwiseXOR(F.get(x, i + least))))
+
+    differing = F.aggregate(F.zip_with(folded("a"), folded("b"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, n: acc + n)
+    return sided.filter(differing <= F.expr(f"({100 - percent} * (nu + nv)) div {100 + percent}")).select("u", "v")
 
 
 def _linked(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -599,9 +627,14 @@ def _components(df: DataFrame, described: DataFrame, reps: DataFrame, id_col: st
     nodes = store(entries.select("d1", "d2").distinct().withColumn("sid", F.monotonically_increasing_id()), "ngram-nodes")
     entries = store(entries.join(nodes, ["d1", "d2"]).drop("d1", "d2"), "ngram-entries")
 
+    sizes = nodes.join(reps.select("d1", "d2", F.col("n").cast("int").alias("n")), ["d1", "d2"]).select("sid", "n")
+    bitmaps = _of_texts(df, nodes, reps, id_col, text_col, shingle, parities, "ngram-bitmaps")
+    bitmaps = store(sizes.join(bitmaps, "sid"), "ngram-sized-bitmaps")
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = store(pairs, name)
-        return _linked(pairs, _with_texts(df, _named(pairs, nodes), reps, id_col, text_col, shingle), percent)
+        pairs = store(_perhaps(pairs, bitmaps, percent), name)
+        tokens = _of_texts(df, _named(pairs, nodes), reps, id_col, text_col, shingle, _token_lists, "ngram-tokens")
+        return _linked(pairs, tokens, percent)
 
     rest = entries.withColumn("label", F.col("sid"))
     links = None

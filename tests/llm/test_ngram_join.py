@@ -156,3 +156,14 @@ def test_tokens_are_the_distinct_shingles():
         for k in (1, 2, 5):
             sets = ngram_join.sets_of(data, np.array([0, len(data)]), k)
             assert sets.size[0] == len(shingles(text, k)) and (np.diff(sets.tokens.astype(object)) > 0).all()
+
+
+def test_bitmaps_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(2)
+    for n in (1, 30, 255, 257, 900):
+        a = np.sort(rng.integers(0, 2 ** 62, n, dtype=np.uint64))
+        b = np.sort(np.concatenate([a[n // 5:], rng.integers(0, 2 ** 62, n // 9, dtype=np.uint64)]))
+        maps = [np.array(ngram_join.parities(ngram_join.Sets(t, np.array([0]), np.array([len(t)]))).to_pylist()[0]) for t in (a, b)]
+        short = min(map(len, maps))
+        p, q = (m if len(m) == short else m[:short] ^ m[short:] for m in maps)
+        assert np.bitwise_count((p ^ q).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
