@@ -38,7 +38,7 @@ def test_stages_in_order_each_on_what_the_one_before_kept(spark):
 def test_run_and_registered_names(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and "sequence_id" in out.columns
-    assert sorted(q.split("_")[0] for q in queries.QUERIES) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(q.split("_")[0] for q in queries.QUERIES) == sorted(f"op{i}" for i in range(1, 14))
 
 
 def test_stages_on_awkward_rows_and_empty_tables(spark):
