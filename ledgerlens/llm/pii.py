@@ -226,9 +226,14 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows with every span in the text replaced by its kind in angle brackets; spans that overlap become one."""
-    text = text_or_empty(F.col(f"`{text_col}`"))
-    rows = store(df.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__found", candidates(text)), "pii-rows")
+    """The rows with every span in the text replaced by its kind in angle brackets; spans that overlap become one.
+
+    Inside, the columns have names of their own, so any names of the table may come.
+    """
+    own = [f"c{i}" for i in range(len(df.columns))]
+    held = own[df.columns.index(text_col)]
+    text = text_or_empty(F.col(held))
+    rows = store(df.toDF(*own).withColumn("__rid", F.monotonically_increasing_id()).withColumn("__found", candidates(text)), "pii-rows")
     has = F.size("__found") > 0
     clean = rows.filter(~has).drop("__rid", "__found")
     found = store(spans(rows.filter(has).select(F.col("__rid").alias("rid"), F.col("__found").alias("found"))), "pii-spans")
@@ -244,6 +249,6 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
         F.concat(F.substring(text, before(i).cast("int") + 1, (s["start"] - before(i)).cast("int")), F.lit("<"), F.get(names, s["kind"]), F.lit(">")))
         .otherwise(F.lit("")))
     tail = F.substring(text, F.array_max(reach).cast("int") + 1, F.length(text))
-    new = F.when(F.size(e) > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(F.col(f"`{text_col}`"))
-    done = hit.withColumn(text_col, new).select(*df.columns)
-    return clean.unionByName(done)
+    new = F.when(F.size(e) > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(F.col(held))
+    done = hit.withColumn(held, new).select(*own)
+    return clean.unionByName(done).toDF(*df.columns)

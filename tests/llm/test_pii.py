@@ -83,3 +83,12 @@ def test_empty_tables_and_no_python(spark):
     assert pii.find(df.limit(0)).count() == 0 and pii.redact(df.limit(0)).count() == 0
     plan = pii.find(df)._jdf.queryExecution().toString()
     assert "EvalPython" not in plan and "Arrow" not in plan
+
+
+def test_redaction_with_clashing_names(spark):
+    names = ["__rid", "__found", "__entries", "rid", "found", "entries", "kind", "c0", "c1"]
+    df = spark.createDataFrame([(1, "mail a.b@example.org now", *names), (2, None, *names)], ["doc_id", "text", *names])
+    out = pii.redact(df)
+    assert out.columns == df.columns
+    got = {r["doc_id"]: tuple(r) for r in out.collect()}
+    assert got[1] == (1, "mail <email> now", *names) and got[2] == (2, None, *names)
