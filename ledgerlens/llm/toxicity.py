@@ -30,9 +30,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +44,11 @@ from ledgerlens.llm.common import keep_one_per, ship, store
 MAX_EXAMPLES = 8192
 MAX_TERMS = 1024
 NEIGHBOURS = 25
-BLOCK = 64
+BLOCK = 512
+#: terms that one example in so many holds are dense rows
+DENSE = 8
+#: texts whose common terms are multiplied at once
+TOGETHER = 64
 #: blocks opened before the k-th best is first known
 FIRST_BLOCKS = 4
 #: chi-square (one degree of freedom) that a term must reach: about p = 4e-8
@@ -73,13 +79,12 @@ def _kth(sims: np.ndarray, k: int) -> float:
     return float(np.partition(held, len(held) - k)[len(held) - k]) if len(held) >= k else 0.0
 
 
-#: room for the postings of one text, kept by the process: fresh pages for each text cost more than the sums
-_SCRATCH = [np.empty(0, np.int64), np.empty(0)]
-
-
 @dataclass
 class Postings:
-    """Sparse terms x examples: postings by term and example; the postings of a term in a block are one entry with its maximum."""
+    """Terms x examples, sorted by term and example; the postings of a term in a block are one entry with its maximum.
+
+    Terms that at least one example in DENSE holds are dense rows beside it, multiplied for many texts at once.
+    """
 
     width: int
     rows: np.ndarray
@@ -88,37 +93,38 @@ class Postings:
     entry_max: np.ndarray
     entry_start: np.ndarray  # first posting of each entry, and the end
     term_start: np.ndarray  # first entry of each term, and the end
+    dense_row: np.ndarray  # of each term, -1 if it has none
+    dense: np.ndarray
 
     @classmethod
-    def of(cls, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> Postings:
-        row = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
-        term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        value = np.concatenate([q for _, q in vectors]) if vectors else np.zeros(0)
-        order = np.argsort(term, kind="stable")
-        row, term, value = row[order], term[order], value[order]
-        new = np.flatnonzero(np.diff(term * (len(vectors) // BLOCK + 1) + row // BLOCK, prepend=-1))
-        return cls(len(vectors), row, value, row[new] // BLOCK,
-                   np.maximum.reduceat(value, new) if len(new) else np.zeros(0),
-                   np.append(new, len(row)), np.searchsorted(term[new], np.arange(terms + 1)))
-
-    def opened(self, entries: np.ndarray, weight: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """Per example, the weighted sum of its postings in the live ones of the entries."""
-        start = self.entry_start[entries[live]]
-        held = self.entry_start[entries[live] + 1] - start
+    def of(cls, width: int, start: np.ndarray, rows: np.ndarray, values: np.ndarray) -> Postings:
+        """``start``: first posting of each term, and the end."""
+        held = np.diff(start)
+        term = np.repeat(np.arange(len(held)), held)
+        new = np.flatnonzero(np.diff(term * (width // BLOCK + 1) + rows // BLOCK, prepend=-1))
+        common = np.flatnonzero(held * DENSE >= max(width, DENSE))
+        dense_row = np.full(len(held), -1)
+        dense_row[common] = np.arange(len(common))
+        dense = np.zeros((len(common), width))
+        at = np.flatnonzero(dense_row[term] >= 0)
+        dense[dense_row[term[at]], rows[at]] = values[at]
+        return cls(width, rows, values, rows[new] // BLOCK, np.maximum.reduceat(values, new) if len(new) else np.zeros(0),
+                   np.append(new, len(rows)), np.searchsorted(term[new], np.arange(len(start))), dense_row, dense)
+
+    def opened(self, entries: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Per example, the weighted sum of its postings in the entries."""
+        start = self.entry_start[entries]
+        held = self.entry_start[entries + 1] - start
         at = _spans(start, held)
-        return np.bincount(self.rows[at], np.repeat(weight[live], held) * self.values[at], minlength=self.width)
-
-    def all_opened(self, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        start, end = self.entry_start[self.term_start[terms]], self.entry_start[self.term_start[terms + 1]]
-        spans = list(zip(start.tolist(), end.tolist()))
-        n = int((end - start).sum())
-        if len(_SCRATCH[0]) < n:
-            _SCRATCH[:] = np.empty(2 * n, np.int64), np.empty(2 * n)
-        rows, values = _SCRATCH[0][:n], _SCRATCH[1][:n]
-        np.concatenate([self.rows[a:b] for a, b in spans], out=rows)
-        np.concatenate([self.values[a:b] for a, b in spans], out=values)
-        values *= np.repeat(weight, end - start)
-        return np.bincount(rows, values, minlength=self.width)
+        return np.bincount(self.rows[at], np.repeat(weight, held) * self.values[at], minlength=self.width)
+
+    def common_part(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Texts x examples: the similarity that the dense terms give."""
+        q = np.zeros((len(vectors), len(self.dense)))
+        for i, (t, w) in enumerate(vectors):
+            at = self.dense_row[t]
+            q[i, at[at >= 0]] = w[at >= 0]
+        return q @ self.dense
 
     def __getitem__(self, terms: np.ndarray) -> np.ndarray:
         """The dense rows of some terms."""
@@ -139,72 +145,136 @@ class Index:
     toxic: np.ndarray
     weights: Postings = field(repr=False)
 
-    def counted(self, words: dict[str, int]) -> dict[int, int]:
-        at = self.terms
-        return {at[w]: n for w, n in words.items() if w in at}
-
-    def vector(self, tf: dict[int, int]) -> tuple[np.ndarray, np.ndarray, float]:
-        """(terms, tf-idf weights of unit length, their squared length before)."""
-        t = np.fromiter(tf, np.int64, len(tf))
+    def vector(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray, float]:
+        """Of counted words: (terms, tf-idf weights of unit length, their squared length before)."""
+        get = self.terms.get
+        t = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        tf = np.fromiter(words.values(), np.float64, len(words))[t >= 0]
+        t = t[t >= 0]
         if not len(t):
             return t, np.zeros(0), 0.0
         order = np.argsort(t)
         t = t[order]
-        w = (1 + np.log(np.fromiter(tf.values(), np.float64, len(tf))[order])) * self.idf[t]
+        w = (1 + np.log(tf[order])) * self.idf[t]
         square = float((w * w).sum())
         return t, w / np.sqrt(square), square
 
     def nearest(self, t: np.ndarray, q: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar examples with similarity above 0: (rows, similarities), exact, ties by row."""
+        return self.nearest_all([(t, q)], k, [without])[0]
+
+    def nearest_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        common = self.weights.common_part(vectors)
+        return [self._nearest(t, q, k, row, sims) for (t, q), row, sims in zip(vectors, without, common)]
+
+    def _nearest(self, t: np.ndarray, q: np.ndarray, k: int, without: int, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``sims``: the common terms' part, which is known of every example; blocks are opened for the other terms."""
         p = self.weights
         if not len(t) or not p.width:
             return np.zeros(0, dtype=np.int64), np.zeros(0)
+        rare = p.dense_row[t] < 0
+        t, q = t[rare], q[rare]
         counts = p.term_start[t + 1] - p.term_start[t]
         entries, weight = _spans(p.term_start[t], counts), np.repeat(q, counts)
         block = p.entry_block[entries]
-        bound = np.bincount(block, weight * p.entry_max[entries], minlength=-(-p.width // BLOCK))
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
+        rest = np.bincount(block, weight * p.entry_max[entries], minlength=-(-p.width // BLOCK))
+        bound = rest + np.maximum.reduceat(sims, np.arange(0, p.width, BLOCK))
         first = np.zeros(len(bound), bool)
-        first[order[:FIRST_BLOCKS]] = True
-        sims = p.opened(entries, weight, first[block])
+        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        live = first[block]
+        sims = sims + p.opened(entries[live], weight[live])
         if without >= 0:
             sims[without] = 0.0
-        kth = _kth(sims, k)
-        rest = (bound >= max(kth - 1e-9, 1e-300)) & ~first
-        if rest.any():
-            live = rest[block]
-            if 2 * live.sum() > len(live):
-                sims = p.all_opened(t, q)  # reading on is faster than leaving some out
-            else:
-                sims += p.opened(entries, weight, live)
+        more = (bound >= max(_kth(sims, k) - 1e-9, 1e-300)) & ~first & (rest > 0)
+        if more.any():
+            live = more[block]
+            sims += p.opened(entries[live], weight[live])
             if without >= 0:
                 sims[without] = 0.0
-            kth = _kth(sims, k)
-        rows = np.flatnonzero(sims >= max(kth - 1e-9, 1e-300))
+        # a closed block's sums are too low, yet below the k-th best with what was left out
+        rows = np.flatnonzero(sims >= max(_kth(sims, k) - 1e-9, 1e-300))
         sims = np.round(sims[rows], 9)
         rows, sims = rows[sims > 0], sims[sims > 0]
         top = np.lexsort((rows, -sims))[:k]
         return rows[top], sims[top]
 
 
+@dataclass
+class Examples:
+    """The labelled examples as integer arrays, which is what the driver holds and broadcasts; tasks build the index from them."""
+
+    words: pa.Array
+    idf: np.ndarray
+    ids: list
+    toxic: np.ndarray
+    start: np.ndarray  # first posting of each word, and the end
+    rows: np.ndarray
+    tf: np.ndarray
+
+    @classmethod
+    def of(cls, words: pa.Array, idf: np.ndarray, ids: list, toxic: np.ndarray, held: np.ndarray, term: np.ndarray, tf: np.ndarray) -> Examples:
+        """From ``held`` (term, tf) of each example in turn; those without any are left out."""
+        row = np.repeat(np.arange(len(ids), dtype=np.int32), held)
+        weight = (1 + np.log(tf)) * idf[term]
+        by_weight = np.lexsort((-term, weight, row))  # the last of each example is its strongest, the first of equals
+        strongest = term[by_weight[np.cumsum(held) - 1]] if len(term) else np.zeros(len(ids), np.int64)
+        # examples with the same strongest term share blocks, which keeps the block maxima sharp
+        order = sorted(np.flatnonzero(held > 0).tolist(), key=lambda r: (int(strongest[r]), str(ids[r])))
+        place = np.zeros(len(ids), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        by_term = np.lexsort((place[row], term))
+        return cls(words, idf, [ids[r] for r in order], toxic[order], np.searchsorted(term[by_term], np.arange(len(idf) + 1)),
+                   place[row[by_term]], tf[by_term].astype(np.int32))
+
+    def index(self, only: np.ndarray | None = None) -> Index:
+        """Over all words, or over ``only`` some (ascending)."""
+        terms = np.arange(len(self.idf)) if only is None else only
+        held = self.start[terms + 1] - self.start[terms]
+        at = slice(None) if only is None else _spans(self.start[terms], held)
+        rows, idf = self.rows[at], self.idf[terms]
+        weight = (1 + np.log(self.tf[at])) * np.repeat(idf, held)
+        norm = np.sqrt(np.bincount(rows, weight * weight, minlength=len(self.ids)))
+        names = self.words.take(pa.array(terms)).to_pylist()
+        return Index({w: i for i, w in enumerate(names)}, idf, self.ids, self.toxic,
+                     Postings.of(len(self.ids), np.append(0, np.cumsum(held)), rows, weight / norm[rows]))
+
+
 @dataclass
 class Model:
-    index: Index
-    telling: Index | None  # the same examples over the words that go with the label
+    examples: Examples
+    telling_words: np.ndarray  # the words that go with the label
     k: int
     no_neighbour: float  # score of a text with words, none of which any example holds
     no_words: float  # score of a text without words
-    slope: np.ndarray  # log-odds of the vote; intercept, then with telling words: constant, log-odds of their vote, their log count
+    slope: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0, 0.0, 0.0, 0.0]))
+    """log-odds of the vote; intercept, then with telling words: constant, log-odds of their vote, their log count"""
     others: DataFrame | None = field(repr=False, default=None)  # (term, df) of words that no example holds
     documents: int = 0
 
-    def second(self, words: dict[str, int], without: int = -1) -> list[float]:
-        """The features besides the vote over all words."""
-        if self.telling is None or not (tf := self.telling.counted(words)):
-            return [1.0, 0.0, 0.0, 0.0]
-        rows, sims = self.telling.nearest(*self.telling.vector(tf)[:2], self.k, without)
-        return [1.0, 1.0, log_odds(sims @ self.telling.toxic[rows], sims.sum()), np.log1p(sum(tf.values()))] if len(rows) else [1.0, 0.0, 0.0, 0.0]
+    @cached_property
+    def index(self) -> Index:
+        return self.examples.index()
+
+    @cached_property
+    def telling(self) -> Index:
+        """The same examples over the telling words."""
+        return self.examples.index(self.telling_words)
+
+    def votes(self, counted: list[dict[str, int]], without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, float, list[float]]]:
+        """Of each text's counted words: (nearest examples, similarities, squared length of its known words, features of the second vote)."""
+        without = without or [-1] * len(counted)
+        for at in range(0, len(counted), TOGETHER):
+            some, rows = counted[at:at + TOGETHER], without[at:at + TOGETHER]
+            vectors = [self.index.vector(words) for words in some]
+            near = self.index.nearest_all([v[:2] for v in vectors], self.k, rows)
+            told = [self.telling.vector(words) for words in some]
+            second = self.telling.nearest_all([v[:2] for v in told], self.k, rows)
+            for words, v, found, (by, sims) in zip(some, vectors, near, second):
+                features = [1.0, 0.0, 0.0, 0.0]
+                if len(by):
+                    spoken = sum(words[w] for w in words.keys() & self.telling.terms.keys())
+                    features = [1.0, 1.0, log_odds(sims @ self.telling.toxic[by], sims.sum()), np.log1p(spoken)]
+                yield *found, v[2], features
 
 
 def log_odds(toxic: float, total: float) -> float:
@@ -284,71 +354,80 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     strong = [r["term"] for r in ranked if r["chi2"] is not None and r["chi2"] >= MIN_CHI2]
     telling = sorted(strong or [r["term"] for r in ranked[:FALLBACK_TERMS]])
     if not n:
-        return _build([], {}, np.zeros(0), k)
+        return _model([], np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), pa.array([], pa.string()), np.zeros(0), k)
     total, frequencies = corpus_frequencies(texts, "text")
     spoken = store(_term_rows(sample, "text", []).select(F.explode("terms").alias("term")).distinct(), "toxicity-words")
-    known = frequencies.join(spoken, "term").toArrow()  # bounded: the words of max_examples texts
-    order = np.argsort(np.array(known["term"].to_pylist(), dtype=object), kind="stable")
-    at = {w: i for i, w in enumerate(known["term"].take(pa.array(order)).to_pylist())}
-    idf = np.log((1 + total) / (1 + known["df"].to_numpy()[order])) + 1
+    known = frequencies.join(spoken, "term").toArrow().sort_by("term")  # bounded: the words of max_examples texts
+    words = known["term"].combine_chunks()
+    idf = np.log((1 + total) / (1 + known["df"].to_numpy())) + 1
+    vocabulary = docs.sparkSession.sparkContext.broadcast(words)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {w: i for i, w in enumerate(vocabulary.value.to_pylist())}
         for b in batches:
             tf = [Counter(words_of(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("lid"), b.column("label"), pa.array([list(c) for c in tf], pa.list_(pa.string())),
+                [b.column("lid"), b.column("label"), pa.array([[at[w] for w in c] for c in tf], pa.list_(pa.int32())),
                  pa.array([list(c.values()) for c in tf], pa.list_(pa.int32()))], names=["lid", "label", "t", "tf"])
 
     kind = sample.schema["lid"].dataType.simpleString()
-    examples = sample.select("lid", "label", "text").mapInArrow(counted, f"lid {kind}, label int, t array<string>, tf array<int>").toArrow()
-    rows = [(lid.as_py(), label.as_py(), {at[w]: m for w, m in zip(t.as_py(), tf.as_py())})
-            for lid, label, t, tf in zip(*(examples[c] for c in ("lid", "label", "t", "tf")))]  # bounded: max_examples texts
-    model = _build(rows, at, idf, k, telling)
+    rows = sample.select("lid", "label", "text").mapInArrow(counted, f"lid {kind}, label int, t array<int>, tf array<int>").toArrow()
+    vocabulary.unpersist()
+    t, tf = rows["t"].combine_chunks(), rows["tf"].combine_chunks()  # bounded: the integers of max_examples texts
+    told = pc.index_in(pa.array(telling, pa.string()), words).to_numpy(zero_copy_only=False).astype(np.int64)
+    model = _model(rows["lid"].to_pylist(), rows["label"].to_numpy().astype(float), np.diff(t.offsets.to_numpy()),
+                   t.flatten().to_numpy().astype(np.int64), tf.flatten().to_numpy(), words, idf, k, np.sort(told))
+    model.slope = _calibrated(sample, model)
     model.others, model.documents = store(frequencies.join(spoken, "term", "left_anti"), "toxicity-other-words"), total
     return model
 
 
-def _indexed(examples: list, at: dict[str, int], idf: np.ndarray) -> Index:
-    """Over (id, label, tf), in their order."""
-    index = Index(at, idf, [e[0] for e in examples], np.array([float(e[1]) for e in examples]), Postings.of([], 0))
-    index.weights = Postings.of([index.vector(tf)[:2] for _, _, tf in examples], len(at))
-    return index
-
-
-def _build(rows: list, at: dict[str, int], idf: np.ndarray, k: int, telling: list[str] = ()) -> Model:
-    bare = [label for _, label, tf in rows if not tf]
-    share = (sum(label for _, label, _ in rows) + 0.5) / (len(rows) + 1.0)
-    no_words = (sum(bare) + PRIOR * share) / (len(bare) + PRIOR) if rows else 0.0
-    empty = Index(at, idf, [], np.zeros(0), Postings.of([], 0))
-    spoken = [(*r, *empty.vector(r[2])[:2]) for r in rows if r[2]]
-    # examples with the same strongest term share blocks, which keeps the block maxima sharp
-    spoken.sort(key=lambda r: (int(r[3][np.argmax(r[4])]), str(r[0])))
-    spoken = [r[:3] for r in spoken]
-    model = Model(_indexed(spoken, at, idf), None, k, share if rows else 0.0, no_words, np.array([1.0, 0.0, 0.0, 0.0, 0.0]))
-    words = list(at)
-    if telling:
-        few = {at[w]: i for i, w in enumerate(telling)}
-        model.telling = _indexed([(lid, label, {few[i]: m for i, m in tf.items() if i in few}) for lid, label, tf in spoken],
-                                 {w: i for i, w in enumerate(telling)}, idf[[at[w] for w in telling]])
-    x, y = [], []
-    for row, (_, label, tf) in enumerate(spoken):
-        near, sims = model.index.nearest(*model.index.vector(tf)[:2], k, without=row)
-        if len(near):
-            x.append([log_odds(sims @ model.index.toxic[near], sims.sum()),
-                      *model.second({words[i]: m for i, m in tf.items()}, without=row)])
-            y.append(float(label))
-    if len(set(y)) == 2:
+def _model(ids: list, label: np.ndarray, held: np.ndarray, term: np.ndarray, tf: np.ndarray, words: pa.Array, idf: np.ndarray, k: int,
+           telling: np.ndarray | None = None) -> Model:
+    """Not yet calibrated; ``held`` (term, tf) of each example in turn."""
+    bare = label[held == 0]
+    share = (label.sum() + 0.5) / (len(ids) + 1.0) if ids else 0.0
+    no_words = (bare.sum() + PRIOR * share) / (len(bare) + PRIOR)
+    return Model(Examples.of(words, idf, ids, label, held, term, tf), np.zeros(0, np.int64) if telling is None else telling, k, share, no_words)
+
+
+def _build(rows: list, at: dict[str, int], idf: np.ndarray, k: int) -> Model:
+    """From (id, label, {term: tf}) rows in memory."""
+    return _model([r[0] for r in rows], np.array([float(r[1]) for r in rows]), np.array([len(r[2]) for r in rows]),
+                  np.array([t for r in rows for t in r[2]]), np.array([n for r in rows for n in r[2].values()]), pa.array(list(at)), idf, k)
+
+
+def _calibrated(sample: DataFrame, model: Model) -> np.ndarray:
+    """Logistic fit on the examples' votes without themselves, which the tasks find; the driver gets five numbers of each example."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        place = {lid: row for row, lid in enumerate(m.examples.ids)}
+        for b in batches:
+            counts = [Counter(words_of(t)) for t in b.column("text").to_pylist()]
+            own = [place.get(lid, -1) for lid in b.column("lid").to_pylist()]
+            kept = [[log_odds(sims @ m.index.toxic[near], sims.sum()), *features] if len(near) else None
+                    for near, sims, _, features in m.votes(counts, own)]
+            yield pa.RecordBatch.from_arrays([b.column("lid"), b.column("label"), pa.array(kept, pa.list_(pa.float64()))], names=["lid", "label", "x"])
+
+    kind = sample.schema["lid"].dataType.simpleString()
+    found = sample.select("lid", "label", "text").mapInArrow(run, f"lid {kind}, label int, x array<double>").filter("x IS NOT NULL")
+    got = sorted(found.collect(), key=lambda r: str(r["lid"]))  # bounded by max_examples; in one order, so that sums agree
+    shared.unpersist()
+    slope = model.slope.copy()
+    if len({r["label"] for r in got}) == 2:
         order = [1, 0, 2, 3, 4]  # the intercept first, which the ridge leaves out
-        model.slope[order] = _logistic(np.array(x)[:, order], np.array(y))
-    return model
+        slope[order] = _logistic(np.array([r["x"] for r in got])[:, order], np.array([float(r["label"]) for r in got]))
+    return slope
 
 
 def other_words(df: DataFrame, model: Model) -> DataFrame:
     """(key, square): for each text with words that no example holds, the sum of their squared weights."""
-    shared = df.sparkSession.sparkContext.broadcast(set(model.index.terms))
+    shared = df.sparkSession.sparkContext.broadcast(model.examples.words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = set(shared.value.to_pylist())
         for b in batches:
             other = [{w: n for w, n in Counter(words_of(t)).items() if w not in known} for t in b.column("text").to_pylist()]
             held = [bool(o) for o in other]
@@ -368,7 +447,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", prefix: str = "to
     shared = spark.sparkContext.broadcast(replace(model, others=None))  # bounded by max_examples
     place = df.columns.index(text_col)
     names = [f"c{i}" for i in range(len(df.columns))]
-    ids = pa.array(model.index.ids) if model.index.ids else pa.array([], pa.int64())
+    ids = pa.array(model.examples.ids) if model.examples.ids else pa.array([], pa.int64())
     kind = "long" if pa.types.is_integer(ids.type) else "string"
     fields = [T.StructField(n, f.dataType) for n, f in zip(names, df.schema.fields)]
     out = T.StructType([*fields, T.StructField("own", T.DoubleType()), T.StructField("toxic", T.DoubleType()),
@@ -381,12 +460,10 @@ def score(df: DataFrame, model: Model, text_col: str = "text", prefix: str = "to
         m = shared.value
         for b in batches:
             numbers, evidence = [], []
-            for t in b.column(place):
-                text = t.as_py()
-                words = Counter(words_of(text if text is None or isinstance(text, str) else str(text)))
-                at, q, own = m.index.vector(m.index.counted(words))
-                rows, sims = m.index.nearest(at, q, m.k)
-                numbers.append((own if words else -1.0, float(sims @ m.index.toxic[rows]), float(sims.sum()), float(m.slope[1:] @ m.second(words))))
+            texts = (t.as_py() for t in b.column(place))
+            counts = [Counter(words_of(t if t is None or isinstance(t, str) else str(t))) for t in texts]
+            for words, (rows, sims, own, features) in zip(counts, m.votes(counts)):
+                numbers.append((own if words else -1.0, float(sims @ m.index.toxic[rows]), float(sims.sum()), float(m.slope[1:] @ features)))
                 evidence.append([{"example": m.index.ids[r] if kind == "long" else str(m.index.ids[r]), "similarity": float(v),
                                   "toxic": int(m.index.toxic[r])} for r, v in zip(rows.tolist(), sims.tolist())])
             parts = [pa.array(list(x), pa.float64()) for x in (zip(*numbers) if numbers else [[]] * 4)]
