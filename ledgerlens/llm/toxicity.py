@@ -44,7 +44,7 @@ from ledgerlens.llm.common import keep_one_per, ship, store
 MAX_EXAMPLES = 8192
 MAX_TERMS = 1024
 NEIGHBOURS = 25
-BLOCK = 512
+BLOCK = 256
 #: terms that one example in so many holds are dense rows
 DENSE = 8
 #: texts whose common terms are multiplied at once
