@@ -41,6 +41,29 @@ def test_search_is_exact():
         assert np.allclose(s, sims[expected])
 
 
+def test_search_with_common_terms_and_many_blocks_is_exact():
+    """Dense rows, blocks that stay closed and an example left out give what all similarities give."""
+    rng = np.random.default_rng(1)
+    terms = {f"t{i}": i for i in range(900)}
+    rows = [(i, i % 2, {int(t): int(rng.integers(1, 4)) for t in {*rng.choice(8, 3), *(8 + i // 4 % 800 + rng.integers(0, 3, 4))}}) for i in range(1900)]
+    index = toxicity._build(rows, terms, rng.uniform(1, 5, 900), 10).index
+    assert index.weights.dense.shape[0] and len(set(index.weights.entry_block)) > toxicity.FIRST_BLOCKS
+    vectors = [index.vector({f"t{t}": int(n) for t, n in rows[i][2].items()})[:2] for i in range(0, 1900, 19)] + [index.vector({"none": 1})[:2]]
+    without = [index.ids.index(i) for i in range(0, 1900, 19)] + [-1]
+    for (t, q), row, (got, s) in zip(vectors, without, index.nearest_all(vectors, 10, without)):
+        sims = np.round(q @ index.weights[t], 9) if len(t) else np.zeros(1900)
+        sims[row] = 0 if row >= 0 else sims[row]
+        expected = [r for r in np.lexsort((np.arange(1900), -sims))[:10] if sims[r] > 0]
+        assert np.allclose(s, sims[expected])
+        assert len(t) == 0 or row not in got
+
+
+def test_words_of_ascii_texts_are_those_of_the_expression():
+    every = "".join(map(chr, range(128)))
+    for text in (every, every[::-1], "A_b-c'd\x1ce\x85f".encode("ascii", "ignore").decode(), "x\ny\tz", "ÉTÉ " + every, "", None):
+        assert toxicity.words_of(text) == toxicity._WORDS((text or "").lower())
+
+
 def test_held_out_accuracy_and_evidence(spark):
     rows, labels = rows_and_labels(spark)
     docs = documents(spark, rows)
