@@ -221,6 +221,7 @@ _NATIVE: dict[str, Query] = {
     # streaming (file stream of the events table, run to completion)
     "stream_score": streaming.stream_score_testdata,
     "stream_hourly_alerts": streaming.stream_hourly_alerts_testdata,
+    "stream_rule_episodes": streaming.stream_rule_episodes_testdata,
 }
 
 # results with their library types (DECIMAL money and ratios)

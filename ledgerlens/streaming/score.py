@@ -8,7 +8,9 @@
   row is part of its own statistics.
 * ``hourly_alert_stream``: event-time windows of one hour with a watermark;
   append mode emits a window once the watermark passes its end, and rows
-  older than the watermark are dropped (late data).
+  older than the watermark are dropped (late data). A source that ends closes
+  its last windows by a heartbeat (``alerts.py``, which also has the alerts
+  with a cooldown).
 
 Sinks are Parquet folders with their own checkpoint folder, both under the
 cluster's shared checkpoint directory, so a restarted query resumes exactly
@@ -31,7 +33,7 @@ from ..plans.detect import pattern_action, pattern_flag
 from ..schema import EVENTS
 from ..session import checkpoint_path
 from ..sources import fixtures
-from ..sources.testdata import read_table
+from . import alerts
 
 
 def write_stats_snapshot(data: PaymentData, path: str, features=("v3",)) -> DataFrame:
@@ -95,23 +97,6 @@ def hourly_alert_stream(transactions: DataFrame, stats: DataFrame, delay: str =
     return _alert_windows(scored.withWatermark("event_time", delay), window)
 
 
-def close_open_windows(emitted: DataFrame, transactions: DataFrame, stats: DataFrame, window: str = "1 hour") -> DataFrame:
-    """All windows of a source that has ended: those the stream emitted, and those still in its state.
-
-    Append mode emits a window only when the watermark has passed its end, so
-    the last windows of a source that stops stay in the state. This closing
-    step computes them as a batch from the source's rows past the last emitted
-    window (a time filter); the stream's own output is left as it is.
-    """
-    last = emitted.agg(F.max("window_end").alias("last_end"))  # one row
-    scored = (
-        transactions.crossJoin(F.broadcast(last))
-        .where(F.col("last_end").isNull() | (utc_text(F.col("event_time")) >= F.col("last_end")))
-        .drop("last_end").crossJoin(F.broadcast(stats)).withColumn("v3_z", zscore("v3"))
-    )
-    return emitted.unionByName(_alert_windows(scored, window))
-
-
 def run_to_parquet(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True,
                    processing_time: str | None = None) -> StreamingQuery:
     writer = (stream.writeStream.format("parquet").option("path", path)
@@ -139,14 +124,36 @@ def stream_score_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, "score", build)
 
 
+def run_to_end(spark: SparkSession, name: str, sf_dir: str, build, conf: dict | None = None) -> DataFrame:
+    """A stream over the events of a folder, run until its source ends.
+
+    ``build(transactions, stats)`` makes the stream; ``conf`` holds for it alone. The
+    first run takes all files there are; then the end is written, and the query,
+    restarted from its checkpoint, emits what was still open in its state.
+    """
+    base = checkpoint_path(spark, f"streams/{name}-{uuid.uuid4().hex}")
+    write_stats_snapshot(PaymentData.from_testdata(spark, sf_dir), f"{base}/stats")
+    own = spark.newSession()
+    for key, value in {"spark.sql.session.timeZone": spark.conf.get("spark.sql.session.timeZone"), **(conf or {})}.items():
+        own.conf.set(key, value)
+    alerts.open_heartbeats(own, f"{base}/heartbeats")
+    for ended in (False, True):
+        if ended:
+            alerts.write_end(own, f"{base}/heartbeats")
+        events = event_stream(own, _events_glob(sf_dir)).unionByName(event_stream(own, f"{base}/heartbeats"))
+        stream = build(transaction_stream(events), own.read.parquet(f"{base}/stats"))
+        run_to_parquet(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
 def stream_hourly_alerts_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X2 over a test-data folder: the stream runs until its source ends, then its open windows are closed."""
-    data = PaymentData.from_testdata(spark, sf_dir)
-    stats_path = checkpoint_path(spark, f"streams/stats-{uuid.uuid4().hex}")
-    stats = write_stats_snapshot(data, stats_path)
-    emitted = _run(spark, "hourly", lambda base: hourly_alert_stream(
-        transaction_stream(event_stream(spark, _events_glob(sf_dir))), stats))
-    return close_open_windows(emitted, transaction_stream(read_table(spark, sf_dir, "events")), stats)
+    """X2 over a test-data folder: all hourly windows, from the state alone."""
+    return run_to_end(spark, "hourly", sf_dir, hourly_alert_stream)
+
+
+def stream_rule_episodes_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X2 over a test-data folder: one alert per rule and cooldown, from the state alone."""
+    return run_to_end(spark, "episodes", sf_dir, alerts.rule_episode_stream, {alerts.LOCAL_MERGE: "true"})
 
 
 def _events_glob(sf_dir: str) -> str:

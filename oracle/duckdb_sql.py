@@ -444,6 +444,13 @@ ORACLE_SQL |= {
         f"SELECT strftime(opened, {STAMP}) AS window_start, strftime(opened + INTERVAL 1 HOUR, {STAMP}) AS window_end, count(*) AS transactions, "
         f"count(*) FILTER (z3 > {C.MONITOR_V3_Z}) AS high_risk, count(*) FILTER (z3 > {C.PATTERN_V3_Z} AND {PATTERN}) AS immediate_block, "
         "CAST(sum(amount) AS DECIMAL(20,2)) AS volume FROM (SELECT *, date_trunc('hour', ts) AS opened FROM arriving) GROUP BY opened", ARRIVING),
+    # an episode starts where the hit before lies more than the cooldown back
+    "stream_rule_episodes": query(
+        f"SELECT rule, strftime(min(ts), {STAMP}) AS first_hit, strftime(max(ts), {STAMP}) AS last_hit, count(*) AS hits, "
+        f"CAST(sum(amount) AS DECIMAL(20,2)) AS volume, {rounded('max(z3)')} AS max_risk_score FROM ("
+        "SELECT *, sum(starts) OVER (PARTITION BY rule ORDER BY ts RANGE UNBOUNDED PRECEDING) AS episode FROM ("
+        "SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY rule ORDER BY ts) > INTERVAL 12 HOUR, true)::INT AS starts FROM ("
+        f"SELECT ts, amount, z3, {ACTION} AS rule FROM arriving WHERE z3 > {C.MONITOR_V3_Z}))) GROUP BY rule, episode", ARRIVING),
 }
 
 

@@ -37,6 +37,7 @@ DOUBLE_COLUMNS: dict[str, tuple[str, ...]] = {
     "v3_profile": ('v3_mean', 'v3_stddev', 'v3_min', 'v3_max',),
     "stream_score": ('amount', 'v3_risk_score',),
     "stream_hourly_alerts": ('volume',),
+    "stream_rule_episodes": ('volume', 'max_risk_score'),
 }
 
 DOUBLE_COLUMNS["amount_flagged_ranked"] = DOUBLE_COLUMNS["amount_flagged_top50"]
