@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,26 @@ def column_stats(df: DataFrame, columns: Iterable[str], *extra: Column) -> DataF
     return df.agg(*aggs)
 
 
+def moments(c: str) -> Column:
+    """Count, mean and population variance of a column within a group, as one struct that ``merged_stats`` takes."""
+    x = F.col(c).cast("double")
+    return F.struct(F.count(x).alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("var"))
+
+
+def merged_stats(groups: DataFrame, columns: Iterable[str], *extra: Column) -> DataFrame:
+    """``column_stats`` of all rows from each group's ``moments`` (columns of the
+    same names), plus ``extra`` aggregates of the groups. For few groups: their
+    means are spread around the common mean in one partition."""
+    everywhere = Window.partitionBy()
+    aggs = list(extra)
+    for c in columns:
+        n, mean = F.col(f"{c}.n"), F.col(f"{c}.mean")
+        groups = groups.withColumn(f"_all_{c}", F.sum(n * mean).over(everywhere) / F.nullif(F.sum(n).over(everywhere), F.lit(0)))
+        apart = F.sum(n * (F.col(f"{c}.var") + F.pow(mean - F.col(f"_all_{c}"), F.lit(2.0))))
+        aggs += [F.first(f"_all_{c}").alias(mean_col(c)), F.when(F.sum(n) > 1, F.sqrt(apart / (F.sum(n) - 1))).alias(sd_col(c))]
+    return groups.agg(*aggs)
+
+
 def with_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
     """Attach the one-row statistics to every row (broadcast nested-loop join
     whose build side is the single aggregate row)."""

@@ -23,12 +23,14 @@ def confusion_sweep(
     detectors: Sequence[tuple[str, Column]],
     truth: Column,
     label_name: str = "detector",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Columns: <label_name>, detector_order, flagged, caught, false_positives.
 
     ``flagged`` counts rows whose predicate is TRUE (NULL counts as not
     flagged), ``caught`` those also with ``truth`` TRUE, ``false_positives``
-    those with ``truth`` FALSE (a NULL truth is in neither).
+    those with ``truth`` FALSE (a NULL truth is in neither). ``carry`` names
+    columns with one value for all rows (of a broadcast row) to keep.
     """
     aggs = []
     for i, (_, pred) in enumerate(detectors):
@@ -37,7 +39,7 @@ def confusion_sweep(
             F.count_if(pred & truth).alias(f"_c{i}"),
             F.count_if(pred & ~truth).alias(f"_p{i}"),
         ]
-    one_row = df.agg(*aggs)
+    one_row = df.agg(*aggs, *[F.first(c).alias(c) for c in carry])
     rows = F.array(
         *[
             F.struct(
@@ -50,7 +52,7 @@ def confusion_sweep(
             for i, (label, _) in enumerate(detectors)
         ]
     )
-    return one_row.select(F.inline(rows))
+    return one_row.select(*carry, F.inline(rows))
 
 
 def precision_pct(caught: Column, flagged: Column, scale: int = 2) -> Column:

@@ -225,17 +225,21 @@ def v3_pattern_top(data: PaymentData, watch_z: float = C.MONITOR_V3_Z, limit: in
 
 
 # --- P16 -------------------------------------------------------------------
-def method_sweep(data: PaymentData, labels: Sequence[str] = C.METHOD_LABELS_LONG) -> DataFrame:
-    """Counts of the three detectors in one pass: amount > mean + 2.5 sd,
-    V3 z > 3, and the V3 pattern (z > 15 and a pattern amount)."""
-    fact = data.labelled.select("amount", "v3", "is_fraud")
-    scored = with_stats(fact, column_stats(fact, ["amount", "v3"])).withColumn("v3_z", zscore("v3"))
-    detectors = [
+def method_detectors(labels: Sequence[str] = C.METHOD_LABELS_LONG) -> list[tuple[str, Column]]:
+    """The three detectors over rows with their ``v3_z`` and the statistics:
+    amount > mean + 2.5 sd, V3 z > 3, and the V3 pattern (z > 15 and a pattern amount)."""
+    return [
         (labels[0], _amount_flag(C.OPTIMAL_AMOUNT_MULTIPLIER)),
         (labels[1], F.col("v3_z") > F.lit(C.STATISTICAL_V3_Z)),
         (labels[2], pattern_flag(F.col("v3_z"), F.col("amount"))),
     ]
-    return confusion_sweep(scored, detectors, F.col("is_fraud"), "detection_method")
+
+
+def method_sweep(data: PaymentData, labels: Sequence[str] = C.METHOD_LABELS_LONG) -> DataFrame:
+    """Counts of the three detectors in one pass."""
+    fact = data.labelled.select("amount", "v3", "is_fraud")
+    scored = with_stats(fact, column_stats(fact, ["amount", "v3"])).withColumn("v3_z", zscore("v3"))
+    return confusion_sweep(scored, method_detectors(labels), F.col("is_fraud"), "detection_method")
 
 
 def method_comparison(data: PaymentData) -> DataFrame:

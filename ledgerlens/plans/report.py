@@ -27,8 +27,10 @@ from ..functions.bands import (
 )
 from ..functions.numeric import cents, half_up_ratio, money_grouped_text, money_text, pct_text
 from ..operators.reshape import rows_from_one
+from ..operators.stats import merged_stats, moments, with_stats, zscore
+from ..operators.sweep import confusion_sweep, precision_pct
 from .data import PaymentData
-from .detect import method_sweep, pattern_flag, v3_scored
+from .detect import method_detectors, pattern_flag, v3_scored
 
 
 
@@ -216,72 +218,52 @@ def operational_insights(data: PaymentData, benchmark_pct: Decimal = C.INDUSTRY_
     """Six recommendation rows, computed from the data: the riskiest window of
     consecutive hours, the riskiest amount segment, the most precise method,
     the alert rule, and the fraud rate and loss share against an industry
-    benchmark (a parameter)."""
-    # hourly counts, segment counts and the fraud totals from ONE pass over
-    # the labelled fact: one (hour, segment) aggregate of <= 24 x 5 cells; the
-    # three roll-ups are aggregates over those cells and share its exchange
-    # the three measures travel as ONE struct column, so every consumer
-    # references the same aggregate output and column pruning leaves the
-    # shared subtree identical: its exchange is computed once and reused
+    benchmark (a parameter). Two passes over the labelled rows (the methods need the
+    statistics first), one over the transactions, four exchanges."""
+    # first pass over the labelled rows: one (hour, segment) aggregate with counts, loss
+    # and the moments of the scored columns; a few cells per hour, put into one partition,
+    # where every roll-up below needs no further exchange
     cells = (
         data.labelled.select(hour_of_day(F.col("transaction_time")).alias("_h"),
-                             amount_segment_rank(F.col("amount")).alias("_seg"), "amount", "is_fraud")
+                             amount_segment_rank(F.col("amount")).alias("_seg"), "amount", "v3", "is_fraud")
         .groupBy("_h", "_seg")
-        .agg(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col("is_fraud")).alias("f"),
-                      _fraud_sum().alias("loss")).alias("_m"))
-    )
-    hourly = cells.groupBy(F.col("_h").alias("hour_of_day")).agg(
-        F.sum("_m.n").alias("total_transactions"), F.sum("_m.f").alias("fraud_count"))
-    segments = cells.groupBy(F.col("_seg").alias("_rank")).agg(
-        F.sum("_m.n").alias("total_transactions"), F.sum("_m.f").alias("fraud_transactions"))
-    impact = cells.agg(F.sum("_m.loss").alias("fraud_loss"), F.sum("_m.f").alias("n_fraud"))
-    # riskiest window of `window_hours` consecutive hours (<= 24 hourly rows)
-    w = Window.orderBy("hour_of_day").rowsBetween(0, window_hours - 1)
-    windows = (
-        hourly.select(
-            "hour_of_day",
-            F.sum("total_transactions").over(w).alias("_n"),
-            F.sum("fraud_count").over(w).alias("_f"),
-            (F.max("hour_of_day").over(w) - F.col("hour_of_day")).alias("_span"),
-        )
-        .where(F.col("_span") == window_hours - 1)
-        .withColumn("_rate", half_up_ratio(F.col("_f"), F.col("_n"), 2, factor=100))
-    )
-    peak = windows.orderBy(F.col("_rate").desc_nulls_last(), "hour_of_day").limit(1).select(
-        _two_digit_hour(F.col("hour_of_day")).alias("_h0"),
-        _two_digit_hour(F.col("hour_of_day") + window_hours).alias("_h1"),
-        F.col("_rate").alias("_peak_rate"),
-    )
-    seg = (
-        segments
-        .withColumn("_rate", half_up_ratio(F.col("fraud_transactions"), F.col("total_transactions"), 2, factor=100))
-        .orderBy(F.col("_rate").desc_nulls_last(), F.col("_rank"))
-        .limit(1)
-        .select(label_of_rank(F.col("_rank"), C.SEGMENT_LABELS).alias("_segment"), F.col("_rate").alias("_seg_rate"))
-    )
-    best = (
-        method_sweep(data, C.METHOD_LABELS_SHORT)
-        .withColumn("_precision", half_up_ratio(F.col("caught"), F.col("flagged"), 2, factor=100))
-        .orderBy(F.col("_precision").desc_nulls_last(), "detector_order")
-        .limit(1)
-        .select(F.col("detection_method").alias("_method"), "_precision")
+        .agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("is_fraud")).alias("_f"), _fraud_sum().alias("_loss"),
+             moments("amount").alias("amount"), moments("v3").alias("v3"))
+        .repartition(1)
     )
+    # riskiest window of `window_hours` consecutive hours, all of them present, and riskiest segment
+    w = Window.orderBy("_h").rangeBetween(0, window_hours - 1)
+    by_segment = Window.partitionBy("_seg")
+    rate_over = lambda over: half_up_ratio(F.sum("_f").over(over), F.sum("_n").over(over), 2, factor=100)
+    rated = cells.select("*", F.size(F.collect_set("_h").over(w)).alias("_width"), rate_over(w).alias("_window_rate"),
+                         rate_over(by_segment).alias("_segment_rate"))
+    highest = lambda rate, then: F.struct((-F.col(rate)).alias("below"), F.col(then).alias("at"))
+    found = merged_stats(
+        rated, ["amount", "v3"], F.sum("_loss").alias("fraud_loss"), F.sum("_f").alias("n_fraud"),
+        F.min(F.when((F.col("_width") == window_hours) & F.col("_h").isNotNull(), highest("_window_rate", "_h"))).alias("_peak"),
+        F.min(highest("_segment_rate", "_seg")).alias("_worst"))
+    # second pass: the methods, scored by that one row, which goes along with their counts
+    scored = with_stats(data.labelled.select("amount", "v3", "is_fraud"), found).withColumn("v3_z", zscore("v3"))
+    kept = ["fraud_loss", "n_fraud", "_peak", "_worst"]
+    swept = confusion_sweep(scored, method_detectors(C.METHOD_LABELS_SHORT), F.col("is_fraud"), "detection_method", kept).withColumn(
+        "_precision", precision_pct(F.col("caught"), F.col("flagged")))
+    sharpest = F.min(F.when(F.col("_precision").isNotNull(), F.struct((-F.col("_precision")).alias("below"), "detector_order", "detection_method")))
+    one = swept.agg(sharpest.alias("_best"), *[F.first(c).alias(c) for c in kept]).crossJoin(F.broadcast(data.transaction_totals()))
+    one = one.withColumns({
+        "_h0": _two_digit_hour(F.col("_peak.at")), "_h1": _two_digit_hour(F.col("_peak.at") + window_hours), "_peak_rate": -F.col("_peak.below"),
+        "_segment": label_of_rank(F.col("_worst.at"), C.SEGMENT_LABELS), "_seg_rate": -F.col("_worst.below"),
+        "_method": F.col("_best.detection_method"), "_precision": -F.col("_best.below")})
     # fraud rate and loss share against the benchmark (all transactions as base)
     exp = -benchmark_pct.as_tuple().exponent if benchmark_pct.as_tuple().exponent < 0 else 0
     b_int = int(benchmark_pct.scaleb(exp))
     scale = 10**exp
-    totals = impact.crossJoin(data.transaction_totals())
     rate = half_up_ratio(F.col("n_fraud"), F.col("n_tx"), 3, factor=100)
     loss_share = half_up_ratio(cents(F.col("fraud_loss")), F.col("volume_all_cents"), 3, factor=100)
     # (b - rate)/b·100 with rate = n_fraud·100/n_tx, in integers scaled by 10^exp
     better = half_up_ratio(F.lit(b_int) * F.col("n_tx") - F.col("n_fraud") * (100 * scale),
                            F.lit(b_int) * F.col("n_tx"), 0, factor=100)
     bench_txt = str(benchmark_pct)
-    # every part has at most one row; where one has none (no two consecutive hours,
-    # no rows at all) its recommendation says so and the others stand
-    one = totals
-    for part in (peak, seg, best):
-        one = one.join(F.broadcast(part), F.lit(True), "left")
+    # where a part has no answer (no consecutive hours, no rows at all) its recommendation says so
     ops, bench = C.INSIGHT_CATEGORY_OPS, C.INSIGHT_CATEGORY_BENCH
     t = C.INSIGHT_TYPES
     none = F.lit(C.INSIGHT_NO_DATA)

@@ -61,14 +61,18 @@ def _with_statistics(columns: str, *measures: str) -> str:
             f"FROM {{labelled}} AS fact CROSS JOIN (SELECT {stats} FROM {{labelled}} AS every) AS centre)")
 
 
-def fraud_hourly_stats(as_of=None, include_timestamp: bool = True) -> str:
+HOURS = (f"(SELECT {HOUR} AS hour_of_day, count(*) AS total_transactions, count_if(is_fraud) AS fraud_count, "
+         f"count_if(NOT is_fraud) AS normal_count FROM {{labelled}} AS fact GROUP BY 1)")
+KNOWN = "(SELECT count_if(is_fraud) AS n_fraud_cases FROM {cases} AS filed)"
+
+
+def fraud_hourly_stats(as_of=None, include_timestamp: bool = True, hours: str = HOURS, known: str = KNOWN) -> str:
+    """``hours`` and ``known`` are the counts, of the fact or merged from partial counts (``view_state.py``)."""
     return f"""
 SELECT /*+ BROADCAST(known) */ hour_of_day, total_transactions, fraud_count, normal_count,
   {percent('fraud_count', 'total_transactions', 3)} AS fraud_rate_percentage,
   {percent('fraud_count', 'n_fraud_cases', 1)} AS fraud_distribution_percentage
-FROM (SELECT {HOUR} AS hour_of_day, count(*) AS total_transactions, count_if(is_fraud) AS fraud_count, count_if(NOT is_fraud) AS normal_count
-      FROM {{labelled}} AS fact GROUP BY 1) AS hours
-CROSS JOIN (SELECT count_if(is_fraud) AS n_fraud_cases FROM {{cases}} AS filed) AS known"""
+FROM {hours} AS hours CROSS JOIN {known} AS known"""
 
 
 def high_risk_transactions(as_of=None, include_timestamp: bool = True, watch_z: float = C.MONITOR_V3_Z) -> str:
@@ -91,23 +95,28 @@ FROM (SELECT inline(array({rows}))
       FROM (SELECT {counts} FROM {_with_statistics('transaction_id', 'amount', 'v3')} AS scored) AS once) AS hits"""
 
 
-def executive_dashboard(as_of=None, include_timestamp: bool = True) -> str:
+TOTALS = ("(SELECT count(*) AS total_transactions, count_if(is_fraud) AS fraud_cases, sum(amount) AS total_volume, "
+          "sum(CASE WHEN is_fraud THEN amount END) AS fraud_loss, avg(amount) AS avg_transaction FROM {labelled} AS fact)")
+
+
+def executive_dashboard(as_of=None, include_timestamp: bool = True, totals: str = TOTALS) -> str:
     return f"""
 SELECT total_transactions, fraud_cases, {percent('fraud_cases', 'total_transactions', 3)} AS fraud_rate, total_volume, fraud_loss,
   {percent(cents('fraud_loss'), cents('total_volume'), 4)} AS loss_percentage, avg_transaction{f', {stamp(as_of)} AS report_timestamp' if include_timestamp else ''}
-FROM (SELECT count(*) AS total_transactions, count_if(is_fraud) AS fraud_cases, sum(amount) AS total_volume,
-      sum(CASE WHEN is_fraud THEN amount END) AS fraud_loss, avg(amount) AS avg_transaction FROM {{labelled}} AS fact) AS totals"""
+FROM {totals} AS totals"""
+
+
+PLACE = case([(f"amount <= {x}", str(i + 1)) for i, x in enumerate(C.SEGMENT_LIMITS)], str(len(C.SEGMENT_LIMITS) + 1))
+BANDS = (f"(SELECT {PLACE} AS place, count(*) AS transactions, count_if(is_fraud) AS fraud_count, sum(amount) AS volume, "
+         "sum(CASE WHEN is_fraud THEN amount END) AS fraud_volume FROM {labelled} AS fact GROUP BY 1)")
 
 
-def segment_performance(as_of=None, include_timestamp: bool = True) -> str:
-    limits = [f"amount <= {x}" for x in C.SEGMENT_LIMITS]
-    rank = case([(w, str(i + 1)) for i, w in enumerate(limits)], str(len(limits) + 1))
-    label = case([(w, text(C.SEGMENT_SHORT_LABELS[i])) for i, w in enumerate(limits)], text(C.SEGMENT_SHORT_LABELS[-1]))
+def segment_performance(as_of=None, include_timestamp: bool = True, bands: str = BANDS) -> str:
+    label = case([(f"place = {i + 1}", text(x)) for i, x in enumerate(C.SEGMENT_SHORT_LABELS[:-1])], text(C.SEGMENT_SHORT_LABELS[-1]))
     return f"""
-SELECT segment, transactions, fraud_count, {percent('fraud_count', 'transactions', 3)} AS fraud_rate, volume, fraud_volume,
+SELECT {label} AS segment, transactions, fraud_count, {percent('fraud_count', 'transactions', 3)} AS fraud_rate, volume, fraud_volume,
   {percent(cents('fraud_volume'), cents('volume'), 4)} AS loss_rate{f', {stamp(as_of)} AS report_timestamp' if include_timestamp else ''}
-FROM (SELECT {rank} AS place, {label} AS segment, count(*) AS transactions, count_if(is_fraud) AS fraud_count, sum(amount) AS volume,
-      sum(CASE WHEN is_fraud THEN amount END) AS fraud_volume FROM {{labelled}} AS fact GROUP BY 1, 2) AS bands
+FROM {bands} AS bands
 ORDER BY volume DESC NULLS FIRST, place"""
 
 

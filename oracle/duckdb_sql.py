@@ -433,6 +433,25 @@ ORACLE_SQL["append_load"] = ("WITH " + ",\n".join([*one_file("file1", f"ts < {SE
                              + file_rows("file1", "0", "0") + "\nUNION ALL\n"
                              + file_rows("file2", "(SELECT count(*) FROM numbered_file1)", "(SELECT count(*) FROM filed_file1)"))
 
+# the views over both files: every numbered row with each of its cases
+BOTH_FILES = [*one_file("file1", f"ts < {SECOND_FILE}"), *one_file("file2", f"ts >= {SECOND_FILE}"),
+              "filed_rows AS (SELECT is_fraud FROM filed_file1 UNION ALL SELECT is_fraud FROM filed_file2)",
+              "appended AS (" + " UNION ALL ".join(f"SELECT transaction_time, amount, is_fraud FROM numbered_{f} JOIN (SELECT transaction_id, is_fraud "
+                                                   f"FROM filed_{f}) USING (transaction_id)" for f in ("file1", "file2")) + ")"]
+
+
+def appended_view(name: str, item: str, share: str, source: str = "appended") -> str:
+    return (f"SELECT '{name}' AS view_name, CAST({item} AS VARCHAR) AS item, count(*) AS transactions, {GUILTY_N} AS fraud_count, "
+            f"CAST({percent(GUILTY_N, 'count(*)', 3)} AS DOUBLE) AS fraud_rate, CAST({share} AS DOUBLE) AS share FROM {source} GROUP BY ALL")
+
+
+ORACLE_SQL["incremental_views"] = "WITH " + ",\n".join([*BOTH_FILES, SEGMENTS]) + "\n" + "\nUNION ALL\n".join([
+    appended_view("fraud_hourly_stats", "(transaction_time - CASE WHEN transaction_time >= 86400 THEN 86400 ELSE 0 END) // 3600",
+                  percent(GUILTY_N, "(SELECT count(*) FILTER (is_fraud) FROM filed_rows)", 1)),
+    appended_view("segment_performance", "seg_short", percent(cent(LOSS), cent("sum(amount)"), 4),
+                  "appended JOIN segment ON amount > above AND amount <= upto"),
+    appended_view("executive_dashboard", "'all'", percent(cent(LOSS), cent("sum(amount)"), 4))])
+
 # --- streaming: every payment, labelled or not, against the labelled centre ------------
 ARRIVING = "arriving AS (SELECT transaction_id, ts, amount, abs(v3::DOUBLE - m3) / nullif(s3, 0) AS z3 FROM payment CROSS JOIN centre)"
 STAMP = "'%Y-%m-%d %H:%M:%S'"

@@ -51,3 +51,24 @@ def test_filters_and_columns_reach_the_scan(spark):
     text = "\n".join(plan_lines(report.executive_summary(PaymentData.from_testdata(spark, SF_SMALL))))
     assert "PushedFilters: [IsNotNull(is_fraud), EqualTo(is_fraud,true)]" in text
     assert all("v1" not in line for line in text.splitlines() if "ReadSchema" in line)
+
+
+def test_operational_insights_takes_three_scans_and_four_exchanges(spark):
+    df = report.operational_insights(PaymentData.from_testdata(spark, SF_SMALL))
+    lines = plan_lines(df)  # before it runs: the initial plan only
+    assert sum("FileScan" in line for line in lines) == 3  # labelled rows twice, transactions once
+    assert sum(" Exchange " in line for line in lines) == 4
+    assert sum("BroadcastExchange" in line for line in lines) == 2  # one row each
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "1.50")], [(1, "1.50"), (2, None), (2, "4.25"), (3, "4.25"), (3, "-100.00")], [(1, None), (2, None)]])
+def test_merged_moments_are_those_of_all_rows(spark, rows):
+    from decimal import Decimal
+
+    from ledgerlens.operators.stats import column_stats, merged_stats, moments
+
+    df = spark.createDataFrame([(k, None if x is None else Decimal(x)) for k, x in rows], "k int, x decimal(10,2)")
+    whole = column_stats(df, ["x"]).first()
+    merged = merged_stats(df.groupBy("k").agg(moments("x").alias("x")), ["x"]).first()
+    for a, b in zip(whole, merged):
+        assert (a is None and b is None) or abs(a - b) <= 1e-12 * abs(a)
