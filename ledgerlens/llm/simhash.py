@@ -273,15 +273,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                 budget: int = MAX_BITS) -> DataFrame:
-    """The rows of ``df`` that stay (one per component), with all their columns."""
-    verdict = store(near_duplicates(df, id_col, text_col, shingle, budget), "simhash-verdicts")
-    stay = verdict.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    counts = stay.groupBy("doc_id").agg(F.count("*").alias("n"))
-    gone = verdict.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    gone = gone.join(counts, gone["doc_id"].eqNullSafe(counts["doc_id"]), "left_anti").toDF("__id")
-    kept = df.join(gone, df[f"`{id_col}`"].eqNullSafe(gone["__id"]), "left_anti")
-    again = counts.filter("n > 1").select(F.col("doc_id").alias("__id"))
-    if again.isEmpty():  # no repeated identifiers
-        return kept
-    match = kept[f"`{id_col}`"].eqNullSafe(again["__id"])
-    return kept.join(again, match, "left_anti").unionByName(keep_one_per(kept.join(again, match, "left_semi"), [id_col, text_col]))
+    """The rows of ``df`` that stay, with all their columns: one row per component, that of the smallest id
+    (no id: last), of several such rows any one. Where identifiers repeat, a row is decided by itself and
+    not by its id, so one id may stand in several components, and rows of one id with other texts in one."""
+    if df.groupBy(F.col(f"`{id_col}`")).count().filter("count > 1").isEmpty():
+        verdict = store(near_duplicates(df, id_col, text_col, shingle, budget), "simhash-verdicts")
+        gone = verdict.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
+        return df.join(gone, df[f"`{id_col}`"].eqNullSafe(gone["__id"]), "left_anti")
+    row = "row"
+    while row in {c.lower() for c in df.columns}:
+        row = f"_{row}"
+    rows = store(df.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")  # stored, so that a row keeps its number
+    verdict = near_duplicates(rows, row, text_col, shingle, budget).select(F.col("doc_id").alias(row), "component_id")
+    ids = rows.select(row, smallest_id(F.col(f"`{id_col}`")).alias("__least"))
+    stay = verdict.join(ids, row).groupBy("component_id").agg(F.min(F.struct("__least", row)).alias("__first"))
+    return rows.join(stay.select(F.col(f"__first.{row}").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])

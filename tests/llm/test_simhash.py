@@ -100,3 +100,19 @@ def test_one_document_of_each_group_stays(spark):
     assert out.columns == df.columns
     assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4, 9]
     assert simhash.deduplicate(df.limit(0)).count() == 0
+
+
+def test_repeated_ids_are_decided_by_row(spark):
+    rows = [(3, "x y z w"), (3, "X  y z w"),                      # one id, two texts, one component: one stays
+            (1, "a b c d e"), (1, "quite another text here"),      # one id in two components: both stay
+            (5, "a  b c d e"), (3, "quite another text  here"),    # gone: copies of rows of id 1
+            (None, "no id at all"), (None, "nothing else like it"), (7, "No id at all")]
+    df = documents(spark, rows, extra=["row", "component_id"])
+    out = simhash.deduplicate(df)
+    assert out.columns == df.columns
+    kept = sorted((-1 if r.doc_id is None else r.doc_id, simhash_words(r.text)) for r in out.collect())
+    assert kept == [(-1, "nothing else like it"), (1, "a b c d e"), (1, "quite another text here"), (3, "x y z w"), (7, "no id at all")]
+
+
+def simhash_words(text):
+    return " ".join(text.lower().split())
