@@ -103,7 +103,11 @@ def memory(key: str, tokenizer_json: str) -> ChunkMemory:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_str(tokenizer_json)
-        tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        # an added token's string in a text is that token, as in the library; the cuts below are at
+        # spaces, so a token that holds or takes in a space would not survive them
+        for added in tok.get_added_tokens_decoder().values():
+            if " " in added.content or added.lstrip or added.rstrip or added.single_word:
+                raise ValueError(f"added token {added.content!r}: texts cannot be cut at spaces")
 
         n_bytes = np.zeros(tok.get_vocab_size(), dtype=np.int64)  # byte-level vocabulary: a character stands for a byte
         for token, i in tok.get_vocab().items():

@@ -51,10 +51,14 @@ def test_pieces_cover_every_document(spark):
 
 
 def test_special_strings_repeated_ids_and_empty_tables(spark):
-    df = documents(spark, [(1, "a <|endoftext|> b"), (1, "a <|endoftext|> b"), (None, None)], extra=["pos", "grp"])
-    out = packing.pack(df, TOKENIZER).toPandas()
+    texts = ["a <|endoftext|> b", "Hello<|endoftext|> world", "<|endoftext|>", " <|endoftext|><|endoftext|>  x <|endoftext|", "one two <|endoftext|>\n y"]
     tok = Tokenizer.from_file(TOKENIZER)
-    tok.encode_special_tokens = True
-    n = len(tok.encode("a <|endoftext|> b", add_special_tokens=False).ids) + 1
+    whole = [tok.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert 50256 in whole[0]
+    out = packing.pack(documents(spark, list(enumerate(texts))), TOKENIZER, with_ids=True).toPandas()
+    assert [list(out.ids[out.id == i].iloc[0]) for i in range(len(texts))] == whole
+    df = documents(spark, [(1, texts[0]), (1, texts[0]), (None, None)], extra=["pos", "grp"])
+    out = packing.pack(df, TOKENIZER).toPandas()
+    n = len(whole[0])
     assert sorted(out.length) == [1, n, n] and out.sequence_id.nunique() == 1
     assert packing.pack(df.limit(0), TOKENIZER).count() == 0
