@@ -36,17 +36,17 @@ from ledgerlens.llm.common import keep_one_per, ship
 
 SAMPLE_PAGES = 160
 SAMPLE_CHARS = 100_000
-#: blocks per page that enter training (pages of the sample with more are cut there; labelling reads all)
+#: consecutive blocks that one training sequence holds (a page with more is several sequences; labelling reads pages whole)
 TRAIN_BLOCKS = 80
 PATH_DIM, WORD_DIM, HIDDEN = 96, 48, 24
 NUMBERS = 6
 DIM = PATH_DIM + WORD_DIM + NUMBERS
 
 #: elements whose content is not text of the page
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd",
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select", "button"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd",
           "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+VOID = {"area", "base", "col", "embed", "hr", "link", "meta", "param", "source", "track", "wbr"}
 #: an open element that the next one of its kind ends
 SELF_CLOSING = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 
@@ -111,6 +111,9 @@ def blocks_of(page: str | None) -> list[Block]:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, pos)
                 pos = end.end() if end else len(page)
             continue
+        if name == "br":
+            add(" ")
+            continue
         if name in INLINE:
             if name == "a":
                 in_link = 0 if closing else 1
@@ -327,7 +330,7 @@ def train(pages: list[str], seed: int = 7, epochs: int = 6, batch: int = 24) ->
     rng = np.random.default_rng(seed)
     model = BiLSTM(rng)
     parsed = [(b, weak_labels(b)) for b in map(blocks_of, pages)]
-    parsed = [(b[:TRAIN_BLOCKS], y[:TRAIN_BLOCKS]) for b, y in parsed if b]
+    parsed = [(b[i:i + TRAIN_BLOCKS], y[i:i + TRAIN_BLOCKS]) for b, y in parsed for i in range(0, len(b), TRAIN_BLOCKS)]
     if not parsed:  # no usable page in the sample: learn from altered forms of one plain page
         plain = blocks_of(PLAIN_PAGE)
         parsed = [(plain, weak_labels(plain))] * 40

@@ -38,7 +38,7 @@ def test_gradients():
 def test_blocks():
     page = ("<html><head><title>T</title><style>p{}</style><script>var t=\"</p>\";</script></head><body><p>a &amp; b\n <b>c</b> &eacute;<p>d"
             "<!-- <p>no</p> --><ul><li>x<li>y</ul>tail<br>more <a href='>'>link</a><textarea>no</textarea> &lt;end")
-    assert [b.text for b in H.blocks_of(page)] == ["a & b c é", "d", "x", "y", "tail", "more link <end"]
+    assert [b.text for b in H.blocks_of(page)] == ["a & b c é", "d", "x", "y", "tail more link <end"]
     assert H.blocks_of(None) == [] and H.blocks_of("") == [] and H.blocks_of("<p>") == []
 
 
@@ -72,3 +72,9 @@ def test_rows(spark, model, pages):
     got = out[out.page_id == 1].text.tolist()
     assert got[0] == got[1] == H.extract_pages(model, [pages[101]])[0]
     assert H.extract(df.limit(0), model).count() == 0
+
+
+def test_elements_inside_a_line_do_not_end_its_block():
+    texts = lambda page: [b.text for b in H.blocks_of(page)]
+    assert texts("<p>foo <img src=x> bar<br>baz <input name=q> qux<br/><br/>end</p><p>next</p>") == ["foo bar baz qux end", "next"]
+    assert texts("<p>press <button class=b>Send</button> now</p>") == ["press now"]
