@@ -58,6 +58,8 @@ PERCENT = 80
 #: bytes of text that are hashed at a time, and texts (a place in a packed digest has 12 bits)
 CHUNK_BYTES = 2 << 20
 CHUNK_TEXTS = 1 << 12
+#: bytes whose words are hashed at a time, however long a text is (a longer word is taken alone)
+HASH_BYTES = 1 << 18
 #: slots of the token counts
 SLOTS = 1 << 20
 #: slots that travel in one row
@@ -132,12 +134,18 @@ def _powers(which: int, n: int) -> list[np.ndarray]:
 
 
 def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of data[start:end] under two bases, mixed into one."""
+    """Polynomial hashes of the words data[start:end] under two bases, mixed into one."""
     out = np.zeros(len(start), _U)
-    value = data.astype(_U) + _U(1)
-    for which in range(len(_BASES)):
-        power, back = _powers(which, len(data))
-        out = mix(out + _sums(value * power[:len(data)], start, end) * back[start], which)
+    a = 0
+    while a < len(start):  # a word's hash does not depend on where it stands
+        b = max(a + 1, int(np.searchsorted(end, start[a] + HASH_BYTES, "right")))
+        first = start[a]
+        value = data[first:end[b - 1]].astype(_U) + _U(1)
+        for which in range(len(_BASES)):
+            power, back = _powers(which, len(value))
+            words = _sums(value * power[:len(value)], start[a:b] - first, end[a:b] - first)
+            out[a:b] = mix(out[a:b] + words * back[start[a:b] - first], which)
+        a = b
     return out
 
 
