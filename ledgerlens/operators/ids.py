@@ -49,9 +49,10 @@ def ranges_for(df: DataFrame, bytes_per_range: int = BYTES_PER_RANGE) -> int:
 
 
 def materialize_ordered(df: DataFrame, order: Sequence[Column], num_partitions: int | None = None,
-                        path: str | None = None) -> DataFrame:
+                        path: str | None = None, derived: dict[str, Column] | None = None) -> DataFrame:
     """Range-partition and sort ``df`` and write it with ``_pid`` (partition)
-    and ``_pos`` (position in partition); return the written table."""
+    and ``_pos`` (position in partition); return the written table. ``derived``
+    columns are added after the sort: neither sampled nor moved, computed once."""
     spark = df.sparkSession
     n = num_partitions or ranges_for(df)
     path = path or checkpoint_path(spark, f"ordered/{uuid.uuid4().hex}")
@@ -63,6 +64,7 @@ def materialize_ordered(df: DataFrame, order: Sequence[Column], num_partitions:
         .withColumns({
             "_pid": F.spark_partition_id(),
             "_pos": F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK)),
+            **(derived or {}),
         })
         .drop("_input_pos")
         .write.mode("overwrite").parquet(path)

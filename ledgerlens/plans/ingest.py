@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.numeric import half_up_ratio
-from ..operators.ids import assign_sequential_ids, materialize_ordered, number_ordered
+from ..operators.ids import assign_sequential_ids, materialize_ordered, number_ordered, ranges_for
 from ..operators.quality import duplicate_keys, null_counts, referential_counts
 from ..operators.reshape import rows_from_one
 from ..schema import FEATURES
@@ -40,13 +40,18 @@ from ..sources.testdata import read_table, source_state
 from .data import PaymentData
 
 
+#: bytes of events whose staging rows one task derives
+BYTES_PER_DEAL = 8 << 20
+
+
 def staging_of(events: DataFrame) -> DataFrame:
     """Staging rows of some events: the fixture rows in the delivered file
-    layout, through the same mapping the CSV reader uses. Events with fewer
-    splits than the session has cores are dealt out first: their few columns
-    are cheap to move, the 28 derived ones are not cheap to compute."""
+    layout, through the same mapping the CSV reader uses. The events are dealt
+    out first: their few columns are cheap to move, the 28 derived ones are not
+    cheap to compute, and a split of a file may hold no row group, or all of it."""
     cores = events.sparkSession.sparkContext.defaultParallelism
-    return to_staging(fixtures.raw_card_file(events if events.rdd.getNumPartitions() >= cores else events.repartition(cores)))
+    waves = -(-ranges_for(events, BYTES_PER_DEAL) // cores)
+    return to_staging(fixtures.raw_card_file(events.repartition(cores * waves)))
 
 
 def staging_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,12 +66,14 @@ def _rounded_features(df: DataFrame) -> list:
 _ORDER_COLUMNS = ["transaction_time", "amount", *FEATURES, "class"]
 
 
-def _ordered_rows(staging: DataFrame) -> DataFrame:
-    """Staging rows with rounded features, in load order, written once."""
+def _ordered_rows(staging: DataFrame, digest: bool = False) -> DataFrame:
+    """Staging rows with rounded features, in load order, written once; with
+    ``digest`` also ``_digest`` of their 30 label keys."""
     rows = staging.select(
         F.col("time_seconds").alias("transaction_time"), "amount", *_rounded_features(staging), "class",
     )
-    return materialize_ordered(rows, [F.col(c).asc_nulls_first() for c in _ORDER_COLUMNS])
+    keys = {"_digest": key_digest(F.col("amount"), F.col("transaction_time"), [F.col(v) for v in FEATURES])} if digest else {}
+    return materialize_ordered(rows, [F.col(c).asc_nulls_first() for c in _ORDER_COLUMNS], derived=keys)
 
 
 def _transactions_from_ordered(ordered: DataFrame, audit_columns: bool = False, keep_class: bool = False, as_of=None) -> DataFrame:
@@ -121,14 +128,17 @@ def load_fraud_cases(transactions: DataFrame, staging: DataFrame) -> DataFrame:
     skew-join handling split a hot key (it never splits a partition that an
     aggregate below the join still needs whole).
     """
-    def halves(digest: Column) -> list:
-        return [F.substring(digest, 1, 16).alias("_key"), F.substring(digest, 17, 16).alias("_rest")]
-
     rounded = [F.round(F.col(v), 6) for v in FEATURES]
-    labels = staging.select(*halves(key_digest(F.col("amount"), F.col("time_seconds"), rounded)), _is_fraud().alias("is_fraud"))
-    labels = labels.where(F.col("_key").isNotNull()).distinct()
-    own = transactions.select("transaction_id", *halves(key_digest(F.col("amount"), F.col("transaction_time"), [F.col(v) for v in FEATURES])))
-    joined = own.join(labels.withColumnRenamed("_rest", "_verify"), "_key").where(F.col("_rest") == F.col("_verify"))
+    labels = staging.select("class", key_digest(F.col("amount"), F.col("time_seconds"), rounded).alias("_digest"))
+    own = transactions.select("transaction_id", key_digest(F.col("amount"), F.col("transaction_time"), [F.col(v) for v in FEATURES]).alias("_digest"))
+    return _cases_by_digest(own, labels)
+
+
+def _cases_by_digest(own: DataFrame, labels: DataFrame) -> DataFrame:
+    """The label join of (transaction_id, _digest) with (class, _digest)."""
+    halves = [F.substring("_digest", 1, 16).alias("_key"), F.substring("_digest", 17, 16).alias("_rest")]
+    labels = labels.select(*halves, _is_fraud().alias("is_fraud")).where(F.col("_key").isNotNull()).distinct()
+    joined = own.select("transaction_id", *halves).join(labels.withColumnRenamed("_rest", "_verify"), "_key").where(F.col("_rest") == F.col("_verify"))
     return joined.select(*_case_columns())
 
 
@@ -167,13 +177,14 @@ class Loaded:
 
 def load_all(staging: DataFrame, as_of=None) -> Loaded:
     """Staging -> transactions -> fraud cases, both with all their columns. The
-    ordered, rounded staging rows are written once; both the ids and the label
-    side of the join read that table (its rows are the staging rows, rounded —
-    rounding again is a no-op), so the staging input is computed once."""
-    ordered = _ordered_rows(staging)
+    ordered, rounded staging rows are written once, with the digest of their
+    label keys; the ids and both sides of the label join read that table (its
+    rows are the staging rows and the transactions alike), so the staging input
+    is computed once and each row's keys are rounded and digested once."""
+    ordered = _ordered_rows(staging, digest=True)
     tx = _transactions_from_ordered(ordered, audit_columns=True, as_of=as_of)
-    as_staging = ordered.select(F.col("transaction_time").alias("time_seconds"), *FEATURES, "amount", "class")
-    return Loaded(staging, tx, with_case_ids(load_fraud_cases(tx, as_staging), as_of))
+    own = number_ordered(ordered.select("_pid", "_pos", "_digest"), "transaction_id")
+    return Loaded(staging, tx, with_case_ids(_cases_by_digest(own, ordered.select("class", "_digest")), as_of))
 
 
 def write_staging(staging: DataFrame, path: str | None = None) -> DataFrame:

@@ -95,9 +95,10 @@ def raw_card_file(events: DataFrame) -> DataFrame:
     fraud = F.expr(f"CASE WHEN {_FRAUD} THEN 1 ELSE 0 END")
     feats = []
     for i, m in enumerate(RAW_FEATURE_MULTIPLIERS, start=1):
+        # thousandths plus (event_id % 10) * 1e-7, in units of the last of 10 places: one decimal product
         e = (
-            f"CAST({_base(m)} + CAST(event_id % 10 AS DECIMAL(2,0)) * CAST(0.0000001 AS DECIMAL(8,7)) "
-            "AS DECIMAL(15,10))"
+            f"CAST(CAST(((event_id * {m}) % 2001 - 1000) * 10000000 + (event_id % 10) * 1000 AS DECIMAL(12,0)) "
+            "* CAST(0.0000000001 AS DECIMAL(10,10)) AS DECIMAL(15,10))"
         )
         c = F.expr(e)
         if i == N_FEATURES:

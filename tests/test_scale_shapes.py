@@ -62,3 +62,24 @@ def test_snapshot_views_overwrite_only_their_date(spark, scratch):
     assert by_date == {"2024-02-01": 1, "2024-02-02": 1}
     risky = spark.read.parquet(f"{scratch}/high_risk_transactions")
     assert risky.where("snapshot_date = '2024-02-02'").count() == 5
+
+
+def test_label_keys_are_digested_once_a_row(spark):
+    # the ordered table holds the digest: neither side of the label join rounds or digests the 30 keys again
+    rows = [(t, *[Decimal(t) / 1000] * 28, Decimal(t), t % 2) for t in (3, 1, 2, 2)]
+    loaded = ingest.load_all(spark.createDataFrame([*rows, (2, *rows[2][1:-1], 1)], STAGING), as_of="2024-01-01")
+    assert sorted((r.transaction_id, r.is_fraud) for r in loaded.fraud_cases.collect()) == [
+        (1, True), (2, False), (2, True), (3, False), (3, True), (4, False), (4, True), (5, True)]
+    ordered = ingest._ordered_rows(loaded.staging, digest=True)
+    own = ingest.number_ordered(ordered.select("_pid", "_pos", "_digest"), "transaction_id")
+    assert "sha2(" not in _plan(ingest._cases_by_digest(own, ordered.select("class", "_digest")))
+
+
+def test_events_are_dealt_out_before_the_features(spark, scratch):
+    # one row group under several splits: only one of them holds rows
+    spark.range(2000).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "1L AS user_id", "'view' AS event_type",
+        "1.5D AS value", "repeat(sha2(CAST(id AS STRING), 256), 9) AS props").coalesce(1).write.parquet(scratch + "/e")
+    events = spark.read.parquet(scratch + "/e")
+    sizes = [n for n in ingest.staging_of(events).rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()]
+    assert sum(sizes) == 2006 and max(sizes) < 1000
