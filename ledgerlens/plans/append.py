@@ -72,22 +72,24 @@ def append_batch(staging: DataFrame, base_path: str, batch_id: str, as_of=None,
     spark, base = staging.sparkSession, base_path.rstrip("/")
     ledger = read_ledger(spark, base)
     last_tx, last_case = ledger.agg(F.coalesce(F.max("last_transaction_id"), F.lit(0)), F.coalesce(F.max("last_case_id"), F.lit(0))).first()
-    staged = f"{base}/incoming/batch_id={batch_id}"
+    known = ledger.where(F.col("batch_id") == batch_id).select("row_count", "content").first()
+    if known is not None:
+        if tuple(known) == content_of(staging):
+            return Appended(batch_id, False, last_tx + 1, last_case + 1)
+        if not replace:
+            raise ValueError(f"batch {batch_id!r} is loaded with other rows; replace=True puts these in their place")
+    # one evaluation of the input, which may read the tables; a new batch is invisible until its ledger row
+    staged = f"{base}/staging/batch_id={batch_id}" if known is None else f"{base}/incoming/batch_id={batch_id}"
     staging.write.mode("overwrite").parquet(staged)
     staging = spark.read.parquet(staged).select(*staging.columns)
     rows, content = content_of(staging)
-    known = ledger.where(F.col("batch_id") == batch_id).select("row_count", "content").first()
-    if known is not None and tuple(known) == (rows, content):
-        return Appended(batch_id, False, last_tx + 1, last_case + 1)
-    if known is not None and not replace:
-        raise ValueError(f"batch {batch_id!r} is loaded with other rows; replace=True puts these in their place")
     loaded = load_all(staging, as_of)
     shifted = {
         "staging": staging,
         "transactions": loaded.transactions.withColumn("transaction_id", F.col("transaction_id") + last_tx),
         "fraud_cases": loaded.fraud_cases.withColumns({"transaction_id": F.col("transaction_id") + last_tx, "case_id": F.col("case_id") + last_case}),
     }
-    for part in PARTS:
+    for part in PARTS if known is not None else PARTS[1:]:
         shifted[part].write.mode("overwrite").parquet(f"{base}/{part}/batch_id={batch_id}")
     tx, cases = (spark.read.parquet(f"{base}/{part}/batch_id={batch_id}") for part in PARTS[1:])
     entry = (tx.agg(F.coalesce(F.max("transaction_id"), F.lit(last_tx)).alias("last_transaction_id"))

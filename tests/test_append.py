@@ -78,3 +78,12 @@ def test_reading_prunes_to_loaded_batches(spark, scratch):
         append.append_batch(staging(spark, rows), scratch, b, as_of="2024-01-01")
     one = append.read_appended(spark, scratch).transactions.where(F.col("batch_id") == "b")
     assert one.count() == 2 and all("batch_id=b" in f for f in one.select(F.input_file_name()).distinct().toPandas().iloc[:, 0])
+
+
+def test_a_batch_is_stored_once(spark, scratch):
+    # a first delivery is written to its own folder only, and a repeated one is not written at all
+    for _ in range(2):
+        append.append_batch(staging(spark, DAY1), scratch, "a", as_of="2024-01-01")
+    import os
+    assert not os.path.exists(f"{scratch}/incoming")
+    assert len(tables(spark, scratch)[2]) == len(DAY1)
