@@ -60,6 +60,8 @@ CHUNK_BYTES = 2 << 20
 CHUNK_TEXTS = 1 << 12
 #: bytes whose words are hashed at a time, however long a text is (a longer word is taken alone)
 HASH_BYTES = 1 << 18
+#: tokens, once per band that sees them, whose digests are worked out at a time (at least one set in one band)
+VIEW_TOKENS = 1 << 17
 #: slots of the token counts
 SLOTS = 1 << 20
 #: slots that travel in one row
@@ -270,6 +272,16 @@ def digests(sets: Sets, bands: Bands, cost: np.ndarray, bar: float):
     Returns (digest, set, role, cheap); digests that are not cheap are of frequent tokens or none.
     """
     v = views(sets.size, bands)
+    end = np.cumsum(sets.size[v.owner])
+    out, a = [], 0
+    while a < len(end) or not out:  # the digests of a view do not depend on the others
+        b = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + VIEW_TOKENS, "right")))
+        out.append(_digests_of(sets, Views(v.owner[a:b], v.band[a:b], v.own[a:b]), bands, cost, bar))
+        a = b
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _digests_of(sets: Sets, v: Views, bands: Bands, cost: np.ndarray, bar: float):
     m = bands.segments[v.band]
     count = sets.size[v.owner]
     h = Bands.differing(count, np.minimum(count, bands.edge[v.band + 1] - 1), bands.percent)
@@ -428,16 +440,21 @@ def _shared(packed: DataFrame, parts: int) -> DataFrame:
     def flat(b: pa.RecordBatch, name: str) -> np.ndarray:
         return b.column(name).flatten().to_numpy(zero_copy_only=False)
 
-    def table(batches: list[pa.RecordBatch], digest: str, who: str):
-        """(digest, d1, d2, n, role) of each entry."""
+    def table(batches: list[pa.RecordBatch], digest: str, who: str, wanted: np.ndarray | None = None):
+        """(digest, d1, d2, n, role) of each entry, or of those whose digest is among the wanted (sorted)."""
         parts = []
         for b in batches:
             sizes = np.array(pc.list_value_length(b.column("n")))
             cut = np.cumsum(sizes) - sizes
             counts = np.array(pc.list_value_length(b.column(who)))
-            packed_who = flat(b, who).astype(np.int64)
-            at = (packed_who >> 2) + np.repeat(cut, counts)
-            parts.append((flat(b, digest).astype(np.int64), *[flat(b, c)[at] for c in ("d1", "d2", "n")], packed_who & 3))
+            value, packed_who, cut = flat(b, digest), flat(b, who), np.repeat(cut, counts)
+            if wanted is not None:
+                place = np.minimum(np.searchsorted(wanted, value), max(len(wanted) - 1, 0))
+                use = np.flatnonzero(wanted[place] == value) if len(wanted) else np.zeros(0, int)
+                value, packed_who, cut = value[use], packed_who[use], cut[use]
+            packed_who = packed_who.astype(np.int64)
+            at = (packed_who >> 2) + cut
+            parts.append((value.astype(np.int64), *[flat(b, c)[at] for c in ("d1", "d2", "n")], packed_who & 3))
         return [np.concatenate(x) for x in zip(*parts)]
 
     def rows(digest, d1, d2, n, role, dear: bool) -> pa.RecordBatch:
@@ -446,7 +463,9 @@ def _shared(packed: DataFrame, parts: int) -> DataFrame:
              pa.array(role, pa.int32()), pa.array(np.full(len(digest), dear))], names=["digest", "d1", "d2", "n", "role", "dear"])
 
     def bucket_rows(bucket: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, d1, d2, n, role = table(batches, "low", "who")
+        low = np.sort(np.concatenate([flat(b, "low") for b in batches]))
+        again = low[1:] == low[:-1]  # a digest met once is shared by nobody: its set is not looked up
+        digest, d1, d2, n, role = table(batches, "low", "who", np.unique(low[1:][again]))
         order = np.lexsort((d2, d1, digest))
         digest, d1, d2, n, role = (x[order] for x in (digest, d1, d2, n, role))
         same_digest = np.concatenate(([False], digest[1:] == digest[:-1]))

@@ -167,3 +167,20 @@ def test_bitmaps_never_differ_more_than_the_sets():
         short = min(map(len, maps))
         p, q = (m if len(m) == short else m[:short] ^ m[short:] for m in maps)
         assert np.bitwise_count((p ^ q).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_digests_in_pieces_are_those_of_the_whole(monkeypatch):
+    # the working arrays hold VIEW_TOKENS tokens, not those of a whole chunk of texts
+    rng = np.random.default_rng(5)
+    raw = [" ".join(f"w{k}" for k in rng.integers(0, 300, n)).encode() for n in (0, 3, 40, 400, 41, 90, 400)]
+    offsets = np.cumsum([0, *map(len, raw)])
+    sets = ngram_join.sets_of(np.frombuffer(b"".join(raw), np.uint8), offsets, 5)
+    bands = ngram_join.Bands.of(int(sets.size.max()), 80)
+    cost = rng.integers(1, 9, ngram_join.SLOTS).astype(np.float32)
+    whole = ngram_join.digests(sets, bands, cost, 6.0)
+    seen, one = [], ngram_join._digests_of
+    monkeypatch.setattr(ngram_join, "VIEW_TOKENS", 100)
+    monkeypatch.setattr(ngram_join, "_digests_of", lambda s, v, *rest: seen.append(int(s.size[v.owner].sum())) or one(s, v, *rest))
+    parts = ngram_join.digests(sets, bands, cost, 6.0)
+    assert sorted(zip(*(x.tolist() for x in parts))) == sorted(zip(*(x.tolist() for x in whole)))
+    assert len(seen) > 3 and max(seen) <= max(100, int(sets.size.max()))
