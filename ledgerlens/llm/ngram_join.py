@@ -23,7 +23,13 @@ bit) differ in more than H bits, since every differing bit takes a differing tok
 and then compares the tokens themselves. Within groups of alike sets not all
 pairs are compared: in each of a few rounds every set is compared with the
 best-connected set, of another component, that its digests lead to, which joins the
-bulk of each group; then only pairs in different components are verified. All links
+bulk of each group; then only pairs in different components are verified. Of sets
+that share a crowded digest, all tokens are counted: a set differs from any other that
+shares none of its rare tokens (those of at most RARE of these sets) in all of them, so
+a pair is compared only if neither has more than similar sets of their sizes may, or if
+it shares rare tokens, which a join on these finds. The sets of the fewest rare tokens
+are compared first, which joins what is left of each group. Alike sets that do not link, such as
+copies with too many edits of their own, thus do not meet pair by pair. All links
 between different components are found this way, so the components are those of all
 pairs.
 
@@ -56,7 +62,7 @@ SHINGLE = 5
 #: similarity in percent
 PERCENT = 80
 #: bytes of text that are hashed at a time, and texts (a place in a packed digest has 12 bits)
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 CHUNK_TEXTS = 1 << 12
 #: bytes whose words are hashed at a time, however long a text is (a longer word is taken alone)
 HASH_BYTES = 1 << 18
@@ -72,8 +78,14 @@ BUCKET = 1_500_000
 SEEN = 100_000
 #: rounds in which sets are compared with one other set each
 ROUNDS = 2
+#: sets of a crowded digest with which each of the others is compared before all that may be similar
+HUBS = 4
 #: of the digests, one in so many serves those rounds
 SAMPLE = 8
+#: a digest of more sets is crowded: its pairs are compared only if their rare tokens allow it
+CROWD = 16
+#: most sets of crowded digests that hold a rare token
+RARE = 8
 INDEX, PROBE = 1, 2
 
 _U = np.uint64
@@ -195,17 +207,17 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Sets:
 
 def chunked(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, end, bytes, offsets) of runs of whole texts; null texts are empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    if not len(column):
-        return
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
-    raw = column.buffers()[2]
-    data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths)))
     a = 0
     while a < len(column):
-        b = int(np.searchsorted(offsets, offsets[a] + CHUNK_BYTES, "right")) - 1
+        b = int(np.searchsorted(ends, ends[a] + CHUNK_BYTES, "right")) - 1
         b = min(max(b, a + 1), a + CHUNK_TEXTS, len(column))
-        yield a, b, data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
+        some = pc.fill_null(column.slice(a, b - a).cast(pa.large_string()), "")  # a copy of one run, not of the whole batch
+        offsets = np.frombuffer(some.buffers()[1], np.int64)[some.offset:some.offset + len(some) + 1]
+        raw = some.buffers()[2]
+        data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+        yield a, b, data[offsets[0]:offsets[-1]], offsets - offsets[0]
         a = b
 
 
@@ -572,12 +584,47 @@ def _near(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _allowed(rare_u: str, rare_v: str, percent: int):
+    """Whether sets u and v of sizes nu and nv may be similar when they hold so many tokens that the other lacks."""
+    h = f"({100 - percent} * (nu + nv)) div {100 + percent}"
+    return F.expr(f"2 * ({rare_u}) <= {h} + nu - nv AND 2 * ({rare_v}) <= {h} + nv - nu")
+
+
 def _candidates(probes: DataFrame, index: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of different components that meet; u probes and is the larger (of equal sizes: the later)."""
-    own = probes.select("digest", F.col("sid").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"))
-    other = index.select("digest", F.col("sid").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv"))
+    """Pairs (u, v) of different components that meet; u probes and is the larger (of equal sizes: the later).
+
+    ``rare`` (null: not counted): the tokens that few sets hold; pairs with one in common are found by these.
+    """
+    own = probes.select("digest", F.col("sid").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"), F.col("rare").alias("ru"))
+    other = index.select("digest", F.col("sid").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv"), F.col("rare").alias("rv"))
     met = own.join(other, "digest").filter("lu <> lv AND (nu > nv OR (nu = nv AND u > v))").filter(_near("nu", "nv", percent))
-    return met.select("u", "v").distinct()
+    return met.filter(F.expr("ru IS NULL OR rv IS NULL") | _allowed("ru", "rv", percent)).select("u", "v").distinct()
+
+
+def _crowded(entries: DataFrame) -> DataFrame:
+    """(sid, n, label) of the sets that share a digest with many."""
+    crowds = entries.groupBy("digest").agg(F.count(F.lit(1)).alias("crowd")).filter(F.col("crowd") > CROWD).select("digest")
+    return entries.join(crowds, "digest").select("sid", "n", "label").distinct()
+
+
+def _rare_tokens(crowded: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the crowded sets, whose tokens are given: (sid, n, label, rare), the number of rare tokens; and (token, sid) of
+    the rare ones that several hold."""
+    held = tokens.select("sid", F.explode("longs").alias("token"))
+    holders = held.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).filter(F.col("holders") <= RARE)
+    rare = store(held.join(holders, "token"), "ngram-rare-tokens")
+    counted = crowded.join(rare.groupBy("sid").agg(F.count(F.lit(1)).cast("int").alias("rare")), "sid", "left")
+    return store(counted.fillna(0, ["rare"]), "ngram-crowded"), rare.filter("holders > 1").select("token", "sid")
+
+
+def _rare_pairs(counted: DataFrame, several: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of different components that share rare tokens, and enough of them."""
+    own = several.join(counted.select("sid", "n", "label", "rare"), "sid")
+    sides = [own.select("token", *[F.col(c).alias(c2) for c, c2 in zip(("sid", "n", "label", "rare"), names)])
+             for names in (("u", "nu", "lu", "ru"), ("v", "nv", "lv", "rv"))]
+    met = sides[0].join(sides[1], "token").filter("lu <> lv AND (nu > nv OR (nu = nv AND u > v))").filter(_near("nu", "nv", percent))
+    shared = met.groupBy("u", "v", "nu", "nv", "ru", "rv").agg(F.count(F.lit(1)).alias("both"))
+    return shared.filter(_allowed("ru - both", "rv - both", percent)).select("u", "v")
 
 
 def _unsettled(entries: DataFrame, links: DataFrame) -> DataFrame:
@@ -604,6 +651,20 @@ def _first_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return best.select(F.greatest("sid", "b.hub").alias("u"), F.least("sid", "b.hub").alias("v")).distinct()
 
 
+def _closest_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Each crowded set with the sets of other components, one of each of HUBS parts, that lead most of its digests:
+    a digest is led by the set of the fewest rare tokens, which is the closest to what its sets have in common."""
+    entries = entries.filter(F.col("rare").isNotNull() & (F.pmod("digest", F.lit(SAMPLE)) == 0))
+    hub = entries.groupBy("digest", F.pmod(F.xxhash64("sid"), F.lit(HUBS)).alias("part")).agg(
+        F.min(F.struct("rare", "sid", "label", "n")).alias("hub"))
+    met = entries.join(hub, "digest").filter("label <> hub.label").filter(_near("n", "hub.n", percent))
+    met = met.select("sid", "part", F.col("hub.sid").alias("hub"), F.col("rare").alias("ru"), F.col("hub.rare").alias("rv"),
+                     F.col("n").alias("nu"), F.col("hub.n").alias("nv")).filter(_allowed("ru", "rv", percent))
+    best = met.groupBy("sid", "part", "hub", "rv").agg(F.count(F.lit(1)).alias("c"))
+    best = best.groupBy("sid", "part").agg(F.max(F.struct("c", -F.col("rv"), "hub")).alias("b"))
+    return best.select(F.greatest("sid", "b.hub").alias("u"), F.least("sid", "b.hub").alias("v")).distinct()
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable by links)."""
     described = store(_described(df, id_col, text_col, shingle), "ngram-sets")
@@ -669,7 +730,20 @@ def _components(df: DataFrame, described: DataFrame, reps: DataFrame, id_col: st
         found = verified(_first_pairs(rest, percent), "ngram-first-pairs")
         links = found if links is None else links.union(found)
         rest = _unsettled(rest, links)
-    links = links.union(verified(_candidates(rest.filter(f"role & {PROBE} <> 0"), rest.filter(f"role & {INDEX} <> 0"), percent), "ngram-pairs"))
+    crowded = store(_crowded(rest), "ngram-crowded-sets")
+    tokens = _of_texts(df, crowded.select("sid").join(nodes, "sid"), reps, id_col, text_col, shingle, _token_lists, "ngram-crowded-tokens")
+    counted, several = _rare_tokens(crowded, tokens)
+
+    def with_rare(entries: DataFrame) -> DataFrame:
+        return entries.join(counted.select("sid", "rare"), "sid", "left")
+
+    close = store(_perhaps(_closest_pairs(with_rare(rest), percent), bitmaps, percent), "ngram-closest-pairs")
+    links = links.union(_linked(close, tokens, percent))
+    rest = with_rare(_unsettled(rest, links))
+    label = rest.select("sid", F.col("label").alias("now")).distinct()
+    counted = counted.join(label, "sid").withColumn("label", F.col("now")).drop("now")
+    pairs = _candidates(rest.filter(f"role & {PROBE} <> 0"), rest.filter(f"role & {INDEX} <> 0"), percent)
+    links = links.union(verified(pairs.union(_rare_pairs(counted, several, percent)).distinct(), "ngram-pairs"))
 
     roots = components(links).toDF("sid", "root")
     roots = roots.union(roots.select("root", "root")).distinct()

@@ -184,3 +184,29 @@ def test_digests_in_pieces_are_those_of_the_whole(monkeypatch):
     parts = ngram_join.digests(sets, bands, cost, 6.0)
     assert sorted(zip(*(x.tolist() for x in parts))) == sorted(zip(*(x.tolist() for x in whole)))
     assert len(seen) > 3 and max(seen) <= max(100, int(sets.size.max()))
+
+
+def test_alike_sets_that_do_not_link_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """A group of copies with many edits of their own (0.6 to 0.8 alike) beside near ones: few candidate pairs, all links."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    far, near = 90, 40
+    rows = [(i, " ".join(edited(rng, base, rng.randint(5, 9) if i < far else rng.randint(1, 2)))) for i in range(far + near)]
+    rows += [(500 + i, " ".join(base[:60] + [f"x{i}"] + base[61:i % 7 + 120] + [f"y{i}"])) for i in range(30)]
+    tried, found = [], ngram_join._candidates
+    monkeypatch.setattr(ngram_join, "_candidates", lambda *rest: tried.append((out := found(*rest)).count()) or out)
+    assert got(ngram_join.classes(documents(spark, rows, extra=()))) == brute(rows)
+    assert tried[0] < 500  # of 12,720 pairs
+
+
+def test_pairs_that_share_rare_tokens_only(spark):
+    """Far copies of a group that link to each other by edits that two of them share."""
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(60):
+        words = edited(rng, base, rng.randint(6, 9))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited(rng, words, rng.randint(0, 2))))]
+    expected = brute(rows)
+    assert len({c for _, _, c in expected}) > 20
+    assert got(ngram_join.classes(documents(spark, rows, extra=()))) == expected
