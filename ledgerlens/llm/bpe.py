@@ -25,11 +25,14 @@ other columns are not read.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +40,7 @@ from ledgerlens.llm.chunks import ChunkMemory, Memory, blocks
 from ledgerlens.llm.common import ship
 
 #: chunks and pieces per generation that a worker remembers, with ids and decoded bytes
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 #: characters of text whose new pieces go through one recursive query
 BLOCK = 2_000_000
 
@@ -192,7 +195,7 @@ class Encoder:
         starts = np.flatnonzero(head)
         long_word = np.diff(np.append(starts, len(joined))) > LONG
         ids_of: list = [b""] * len(starts)
-        hex_of: list = [""] * len(starts)
+        decoded_of: list = [b""] * len(starts)
         for query, pick in ((SHORT_FIXPOINT, ~long_word), (LONG_FIXPOINT, long_word)):
             if not pick.any():
                 continue
@@ -202,33 +205,54 @@ class Encoder:
             self.db.unregister("pieces")
             ids = found.column("ids").combine_chunks()
             flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            begin = 0
-            for w, end, hexed in zip(found.column("word").to_pylist(), (4 * np.cumsum(np.asarray(ids.value_lengths()))).tolist(),
-                                     found.column("decoded").to_pylist()):
-                ids_of[w], hex_of[w], begin = flat[begin:end], hexed, end
+            hexed = found.column("decoded")
+            decoded = bytes.fromhex("".join(hexed.to_pylist()))
+            begin = first = 0
+            for w, end, last in zip(found.column("word").to_pylist(), (4 * np.cumsum(np.asarray(ids.value_lengths()))).tolist(),
+                                    (np.cumsum(pc.binary_length(hexed).to_numpy()) // 2).tolist()):
+                ids_of[w], decoded_of[w], begin, first = flat[begin:end], decoded[first:last], end, last
         first = 0
         for (p, _), end in zip(open_, (word[ends - 1] + 1).tolist()):  # a piece is one word or several in a row
             if end == first + 1:
-                out[p] = (ids_of[first], bytes.fromhex(hex_of[first]))
+                out[p] = (ids_of[first], decoded_of[first])
             else:
-                out[p] = (b"".join(ids_of[first:end]), bytes.fromhex("".join(hex_of[first:end])))
+                out[p] = (b"".join(ids_of[first:end]), b"".join(decoded_of[first:end]))
             first = end
         return out
 
     def encode_chunks(self, chunk_list: list[str]) -> list[tuple[bytes, bytes]]:
         # a space and ASCII letters are one piece of either public pattern
-        split = [[c] if (w := c[1:] if c[:1] == " " else c).isascii() and w.isalpha() else self.split(c) for c in chunk_list]
-        known = self.pieces.values_of(set().union(*split))
-        out = []
-        for s in split:
-            parts = [known[p] for p in s]
-            out.append(parts[0] if len(parts) == 1 else (b"".join([a for a, _ in parts]), b"".join([b for _, b in parts])))
-        return out
+        split = [c if (w := c[1:] if c[:1] == " " else c).isascii() and w.isalpha() else self.split(c) for c in chunk_list]
+        several = [s for s in split if s.__class__ is list]
+        known = self.pieces.values_of({s for s in split if s.__class__ is str}.union(*several))
+        several = iter([join_parts([known[p] for p in s]) for s in several])
+        return [known[s] if s.__class__ is str else next(several) for s in split]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         for block in blocks(texts, len, BLOCK):
-            for values in self.memory.values(block):
-                yield b"".join([v[0] for v in values]), b"".join([v[1] for v in values])
+            with no_collector():
+                found = [join_parts(values) for values in self.memory.values(block)]
+            yield from found
+
+
+@contextmanager
+def no_collector() -> Iterator[None]:
+    """Without the search for reference cycles, which walks all that is remembered: strings and bytes form none."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+def join_parts(parts: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+    """The ids and decoded bytes of consecutive pieces as one."""
+    if len(parts) == 1:
+        return parts[0]
+    ids, decoded = zip(*parts) if parts else ((), ())
+    return b"".join(ids), b"".join(decoded)
 
 
 _ENCODERS: dict[str, Encoder] = {}
