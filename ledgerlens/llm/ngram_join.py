@@ -79,13 +79,13 @@ SEEN = 100_000
 #: rounds in which sets are compared with one other set each
 ROUNDS = 2
 #: sets of a crowded digest with which each of the others is compared before all that may be similar
-HUBS = 4
+HUBS = 8
 #: of the digests, one in so many serves those rounds
 SAMPLE = 8
 #: a digest of more sets is crowded: its pairs are compared only if their rare tokens allow it
 CROWD = 16
 #: most sets of crowded digests that hold a rare token
-RARE = 8
+RARE = 16
 INDEX, PROBE = 1, 2
 
 _U = np.uint64
