@@ -1,3 +1,4 @@
+import gc
 import hashlib
 import random
 import struct
@@ -49,3 +50,11 @@ def test_rows(spark, both):
     assert sorted((r.id or -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out) == expected
     assert all(len(r.ids) == r.n_tokens for r in out)
     assert bpe.encode(documents(spark, rows).limit(0), VOCABULARY, public.PATTERN).count() == 0
+
+
+def test_no_cycle_search_while_pieces_are_worked_out():
+    encoder = bpe.Encoder(bpe.read_ranks(VOCABULARY), public.PATTERN)
+    seen, work_out = [], encoder.pieces.work_out
+    encoder.pieces.work_out = lambda pieces: seen.append(gc.isenabled()) or work_out(pieces)
+    assert gc.isenabled() and len(list(encoder.encode(["some words, qzxv.", ""]))) == 2
+    assert gc.isenabled() and seen and not any(seen)
