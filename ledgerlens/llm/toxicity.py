@@ -45,13 +45,15 @@ from ledgerlens.llm.common import keep_one_per, ship, store
 MAX_EXAMPLES = 8192
 MAX_TERMS = 1024
 NEIGHBOURS = 25
-BLOCK = 256
+BLOCK = 1024
 #: terms that one example in so many holds are dense rows
-DENSE = 8
+DENSE = 16
 #: texts whose common terms are multiplied at once
 TOGETHER = 64
+#: examples, far apart, of which only the best counts where a bound of the k-th best is sought
+CHUNK = 32
 #: blocks opened before the k-th best is first known
-FIRST_BLOCKS = 4
+FIRST_BLOCKS = 1
 #: chi-square (one degree of freedom) that a term must reach: about p = 4e-8
 MIN_CHI2 = 30.0
 #: terms taken by rank alone if fewer reach the bar
@@ -67,11 +69,25 @@ _WORDS = re.compile(r"\w+").findall
 
 #: what the expression above does not count as part of a word becomes a space
 _ASCII_GAPS = {i: " " for i in range(128) if not _WORDS(chr(i))}
+_ASCII = bytes(range(128))
+_BYTE_GAPS = bytes(32 if i in _ASCII_GAPS else i for i in range(256))
+#: characters beyond ASCII that were met and are part of a word
+_WORD_CHARS: set[str] = set()
 
 
 def words_of(text: str | None) -> list[str]:
+    """What ``_WORDS`` finds in the lower-cased text, faster: all that is not part of a word becomes a space."""
     text = (text or "").lower()
-    return text.translate(_ASCII_GAPS).split() if text.isascii() else _WORDS(text)  # the same words, the first faster
+    if text.isascii():
+        return text.translate(_ASCII_GAPS).split()
+    data = text.encode("utf-8", "surrogatepass")
+    text = data.translate(_BYTE_GAPS).decode("utf-8", "surrogatepass")
+    for c in set(data.translate(None, _ASCII).decode("utf-8", "surrogatepass")):
+        if c not in _WORD_CHARS and not _WORDS(c):
+            text = text.replace(c, " ")
+        else:
+            _WORD_CHARS.add(c)
+    return text.split()
 
 
 def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -80,7 +96,9 @@ def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _kth(sims: np.ndarray, k: int) -> float:
-    """The k-th largest, 0 if fewer are above 0."""
+    """At most the k-th largest, and close to it: the k-th largest of the maxima of CHUNK places each; 0 if fewer are above 0."""
+    if len(sims) >= CHUNK * k:
+        sims = sims[:len(sims) // CHUNK * CHUNK].reshape(CHUNK, -1).max(axis=0)
     return max(float(np.partition(sims, len(sims) - k)[len(sims) - k]), 0.0) if len(sims) >= k else 0.0
 
 
@@ -152,14 +170,21 @@ class Index:
 
     def vector(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray, float]:
         """Of counted words: (terms, tf-idf weights of unit length, their squared length before)."""
+        return self.unit(*self.counts(words))
+
+    def counts(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Of counted words: (terms, how often each occurs), by term."""
         t = np.fromiter(map(self.terms.get, words, repeat(-1)), np.int64, len(words))
         tf = np.fromiter(words.values(), np.float64, len(words))[t >= 0]
         t = t[t >= 0]
+        order = np.argsort(t)
+        return t[order], tf[order]
+
+    def unit(self, t: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Of counted terms: (terms, tf-idf weights of unit length, their squared length before)."""
         if not len(t):
             return t, np.zeros(0), 0.0
-        order = np.argsort(t)
-        t = t[order]
-        w = (1 + np.log(tf[order])) * self.idf[t]
+        w = (1 + np.log(tf)) * self.idf[t]
         square = float((w * w).sum())
         return t, w / np.sqrt(square), square
 
@@ -195,7 +220,7 @@ class Index:
             sims += p.opened(entries[live], weight[live])
             if without >= 0:
                 sims[without] = 0.0
-        # a closed block's sums are too low, yet below the k-th best with what was left out
+        # a closed block's sums are too low, yet below the k-th best with what was left out; a few rows too many are sorted away
         rows = np.flatnonzero(sims >= max(_kth(sims, k) - 1e-9, 1e-300))
         sims = np.round(sims[rows], 9)
         rows, sims = rows[sims > 0], sims[sims > 0]
@@ -238,8 +263,9 @@ class Examples:
         rows, idf = self.rows[at], self.idf[terms]
         weight = (1 + np.log(self.tf[at])) * np.repeat(idf, held)
         norm = np.sqrt(np.bincount(rows, weight * weight, minlength=len(self.ids)))
-        names = self.words.take(pa.array(terms)).to_pylist()
-        return Index({w: i for i, w in enumerate(names)}, idf, self.ids, self.toxic,
+        common_first = np.argsort(idf, kind="stable")  # so that words looked up often lie together
+        names = self.words.take(pa.array(terms[common_first])).to_pylist()
+        return Index(dict(zip(names, common_first.tolist())), idf, self.ids, self.toxic,
                      Postings.of(len(self.ids), np.append(0, np.cumsum(held)), rows, weight / norm[rows]))
 
 
@@ -264,19 +290,27 @@ class Model:
         """The same examples over the telling words."""
         return self.examples.index(self.telling_words)
 
+    @cached_property
+    def told(self) -> np.ndarray:
+        """Of each word of the examples, its place among the telling ones, -1 if it is none."""
+        place = np.full(len(self.examples.idf), -1)
+        place[self.telling_words] = np.arange(len(self.telling_words))
+        return place
+
     def votes(self, counted: Iterable[tuple[dict[str, int], int]]) -> Iterator[tuple[dict[str, int], np.ndarray, np.ndarray, float, list[float]]]:
         """Of each text's (counted words, example to leave out or -1), held TOGETHER at a time: (words, nearest examples,
         similarities, squared length of its known words, features of the second vote)."""
         for some in batched(counted, TOGETHER):
             rows = [row for _, row in some]
-            vectors = [self.index.vector(words) for words, _ in some]
+            counts = [self.index.counts(words) for words, _ in some]
+            vectors = [self.index.unit(t, tf) for t, tf in counts]
             near = self.index.nearest_all([v[:2] for v in vectors], self.k, rows)
-            told = [{w: words[w] for w in words.keys() & self.telling.terms.keys()} for words, _ in some]
-            second = self.telling.nearest_all([self.telling.vector(words)[:2] for words in told], self.k, rows)
-            for (words, _), v, few, found, (by, sims) in zip(some, vectors, told, near, second):
+            told = [(at[at >= 0], tf[at >= 0]) for t, tf in counts for at in [self.told[t]]]
+            second = self.telling.nearest_all([self.telling.unit(t, tf)[:2] for t, tf in told], self.k, rows)
+            for (words, _), v, (_, few), found, (by, sims) in zip(some, vectors, told, near, second):
                 features = [1.0, 0.0, 0.0, 0.0]
                 if len(by):
-                    features = [1.0, 1.0, log_odds(sims @ self.telling.toxic[by], sims.sum()), np.log1p(sum(few.values()))]
+                    features = [1.0, 1.0, log_odds(sims @ self.telling.toxic[by], sims.sum()), np.log1p(few.sum())]
                 yield words, *found, v[2], features
 
 

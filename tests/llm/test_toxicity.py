@@ -64,6 +64,50 @@ def test_words_of_ascii_texts_are_those_of_the_expression():
         assert toxicity.words_of(text) == toxicity._WORDS((text or "").lower())
 
 
+def test_words_of_other_texts_are_those_of_the_expression():
+    rng = random.Random(3)
+    every = [chr(i) for i in range(0x11000) if not 0xD800 <= i < 0xE000]
+    some = [" ", "_", "\n", "a", "Z", "9", "\u0301", "\u2019", "\u00e9", "\u0130", "\u03a3", "\u4e2d", "\u00a0", "\u2003", "\U0001f600"]
+    texts = ["".join(every), "".join(every[::-1]), "\u00e9\ud800 x"] + ["".join(rng.choices(some, k=30)) for _ in range(300)]
+    for _ in range(2):  # the second time all characters are known
+        for text in texts:
+            assert toxicity.words_of(text) == toxicity._WORDS(text.lower())
+
+
+def test_no_text_is_searched_by_the_expression_as_a_whole(monkeypatch):
+    asked = []
+    monkeypatch.setattr(toxicity, "_WORDS", lambda t: asked.append(t) or [t] * t.isalnum())
+    monkeypatch.setattr(toxicity, "_WORD_CHARS", set(), raising=False)
+    assert toxicity.words_of("caf\u00e9 \u2013 ol\u00e9, x " * 50) == ["caf\u00e9", "ol\u00e9", "x"] * 50
+    assert sorted(asked) == ["\u00e9", "\u2013"]
+
+
+def test_words_are_looked_up_once_and_middling_ones_are_dense():
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 2, {int(t): 1 for t in {i % 10, *rng.choice(np.arange(10, 60), 3)}}) for i in range(400)]
+    model = toxicity._build(rows, {f"t{i}": i for i in range(60)}, rng.uniform(1, 5, 60), 10)
+    model.telling_words = np.array([3, 10, 41])
+    texts = [({"t3": 2, "t11": 1, "t41": 1, "none": 1}, -1), ({"t12": 1}, -1), ({}, -1)]
+    some = {w: texts[0][0][w] for w in ("t3", "t41")}
+    by, sims = model.telling.nearest(*model.telling.vector(some)[:2], 10)
+    assert (model.index.weights.dense_row[:10] >= 0).all()  # held by one example in ten
+    model.telling.terms = None
+    features = [r[4] for r in model.votes(texts)]
+    assert features[0] == [1.0, 1.0, toxicity.log_odds(sims @ model.telling.toxic[by], sims.sum()), np.log1p(3)]
+    assert features[1:] == [[1.0, 0.0, 0.0, 0.0]] * 2
+
+
+def test_bound_of_the_kth_best():
+    rng = np.random.default_rng(4)
+    for n in (0, 3, 10, 31, 320, 700, 1900):
+        for k in (1, 10, 25):
+            for sims in (rng.normal(size=n), np.maximum(rng.normal(size=n).round(1), 0), np.zeros(n)):
+                best = max(np.sort(sims)[n - k], 0.0) if n >= k else 0.0
+                got = toxicity._kth(sims, k)
+                assert got == best if n < 32 * k else 0 <= got <= best
+                assert np.count_nonzero(sims >= got) < 8 * k or n < 32 * k or not got or len(set(sims)) < n
+
+
 def test_held_out_accuracy_and_evidence(spark):
     rows, labels = rows_and_labels(spark)
     docs = documents(spark, rows)
