@@ -28,7 +28,8 @@ that share a crowded digest, all tokens are counted: a set differs from any othe
 shares none of its rare tokens (those of at most RARE of these sets) in all of them, so
 a pair is compared only if neither has more than similar sets of their sizes may, or if
 it shares rare tokens, which a join on these finds. The sets of the fewest rare tokens
-are compared first, which joins what is left of each group. Alike sets that do not link, such as
+are compared first, which joins what is left of each group: by a sample of the digests, then,
+for sets that this left out, by all of them. Alike sets that do not link, such as
 copies with too many edits of their own, thus do not meet pair by pair. All links
 between different components are found this way, so the components are those of all
 pairs.
@@ -560,16 +561,21 @@ def _of_texts(df: DataFrame, wanted: DataFrame, reps: DataFrame, id_col: str, te
     return store(keep_one_per(hashed.join(wanted, ["d1", "d2"]).select("sid", "longs"), ["sid"]), name)
 
 
-def _perhaps(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose bitmaps (sid, n, longs) differ in no more bits than similar sets may in tokens."""
-    sided = pairs.join(bitmaps.toDF("v", "nv", "b"), "v").join(bitmaps.toDF("u", "nu", "a"), "u")
+def _bits_allow(percent: int):
+    """Whether the bitmaps a and b of sets of sizes nu and nv differ in no more bits than similar sets may in tokens."""
     least = F.least(F.size("a"), F.size("b"))  # lengths of sets of like size are equal or one is twice the other
 
     def folded(x: str):
         return F.when(F.size(x) == least, F.col(x)).otherwise(F.transform(F.slice(x, 1, least), lambda w, i: w.bitwiseXOR(F.get(x, i + least))))
 
     differing = F.aggregate(F.zip_with(folded("a"), folded("b"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, n: acc + n)
-    return sided.filter(differing <= F.expr(f"({100 - percent} * (nu + nv)) div {100 + percent}")).select("u", "v")
+    return differing <= F.expr(f"({100 - percent} * (nu + nv)) div {100 + percent}")
+
+
+def _perhaps(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose bitmaps (sid, n, longs) allow it."""
+    sided = pairs.join(bitmaps.toDF("v", "nv", "b"), "v").join(bitmaps.toDF("u", "nu", "a"), "u")
+    return sided.filter(_bits_allow(percent)).select("u", "v")
 
 
 def _linked(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -593,12 +599,13 @@ def _allowed(rare_u: str, rare_v: str, percent: int):
 def _candidates(probes: DataFrame, index: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) of different components that meet; u probes and is the larger (of equal sizes: the later).
 
-    ``rare`` (null: not counted): the tokens that few sets hold; pairs with one in common are found by these.
+    ``rare`` (null: not counted): the tokens that few sets hold; pairs with one in common are found by these. Where both
+    sets are counted, their bitmaps (``longs``) are compared as they meet, so that only pairs that may be similar become rows.
     """
-    own = probes.select("digest", F.col("sid").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"), F.col("rare").alias("ru"))
-    other = index.select("digest", F.col("sid").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv"), F.col("rare").alias("rv"))
+    own = probes.select("digest", F.col("sid").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"), F.col("rare").alias("ru"), F.col("longs").alias("a"))
+    other = index.select("digest", F.col("sid").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv"), F.col("rare").alias("rv"), F.col("longs").alias("b"))
     met = own.join(other, "digest").filter("lu <> lv AND (nu > nv OR (nu = nv AND u > v))").filter(_near("nu", "nv", percent))
-    return met.filter(F.expr("ru IS NULL OR rv IS NULL") | _allowed("ru", "rv", percent)).select("u", "v").distinct()
+    return met.filter(F.expr("ru IS NULL OR rv IS NULL") | (_allowed("ru", "rv", percent) & _bits_allow(percent))).select("u", "v").distinct()
 
 
 def _crowded(entries: DataFrame) -> DataFrame:
@@ -651,10 +658,11 @@ def _first_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return best.select(F.greatest("sid", "b.hub").alias("u"), F.least("sid", "b.hub").alias("v")).distinct()
 
 
-def _closest_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Each crowded set with the sets of other components, one of each of HUBS parts, that lead most of its digests:
-    a digest is led by the set of the fewest rare tokens, which is the closest to what its sets have in common."""
-    entries = entries.filter(F.col("rare").isNotNull() & (F.pmod("digest", F.lit(SAMPLE)) == 0))
+def _closest_pairs(entries: DataFrame, percent: int, sample: int) -> DataFrame:
+    """Each crowded set with the sets of other components, one of each of HUBS parts, that lead most of its digests,
+    of which one in ``sample`` serves: a digest is led by the set of the fewest rare tokens, which is the closest to
+    what its sets have in common."""
+    entries = entries.filter(F.col("rare").isNotNull() & (F.pmod("digest", F.lit(sample)) == 0))
     hub = entries.groupBy("digest", F.pmod(F.xxhash64("sid"), F.lit(HUBS)).alias("part")).agg(
         F.min(F.struct("rare", "sid", "label", "n")).alias("hub"))
     met = entries.join(hub, "digest").filter("label <> hub.label").filter(_near("n", "hub.n", percent))
@@ -737,9 +745,11 @@ def _components(df: DataFrame, described: DataFrame, reps: DataFrame, id_col: st
     def with_rare(entries: DataFrame) -> DataFrame:
         return entries.join(counted.select("sid", "rare"), "sid", "left")
 
-    close = store(_perhaps(_closest_pairs(with_rare(rest), percent), bitmaps, percent), "ngram-closest-pairs")
-    links = links.union(_linked(close, tokens, percent))
-    rest = with_rare(_unsettled(rest, links))
+    for sample in (SAMPLE, 1):  # a set none of whose digests was sampled would meet all of its group
+        close = store(_perhaps(_closest_pairs(with_rare(rest), percent, sample), bitmaps, percent), "ngram-closest-pairs")
+        links = links.union(_linked(close, tokens, percent))
+        rest = _unsettled(rest, links)
+    rest = rest.join(counted.select("sid", "rare").join(bitmaps.select("sid", "longs"), "sid"), "sid", "left")
     label = rest.select("sid", F.col("label").alias("now")).distinct()
     counted = counted.join(label, "sid").withColumn("label", F.col("now")).drop("now")
     pairs = _candidates(rest.filter(f"role & {PROBE} <> 0"), rest.filter(f"role & {INDEX} <> 0"), percent)

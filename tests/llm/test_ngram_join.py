@@ -210,3 +210,24 @@ def test_pairs_that_share_rare_tokens_only(spark):
     expected = brute(rows)
     assert len({c for _, _, c in expected}) > 20
     assert got(ngram_join.classes(documents(spark, rows, extra=()))) == expected
+
+
+def test_sets_without_a_sampled_digest_are_compared_with_a_few_first(spark, monkeypatch):
+    """Where the sample holds none of a group's digests, the sets still do not meet all of their group."""
+    rng = random.Random(14)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(edited(rng, base, rng.randint(1, 2)))) for i in range(60)]
+    tried, found = [], ngram_join._candidates
+    monkeypatch.setattr(ngram_join, "SAMPLE", 1 << 62)
+    monkeypatch.setattr(ngram_join, "_candidates", lambda *rest: tried.append((out := found(*rest)).count()) or out)
+    assert got(ngram_join.classes(documents(spark, rows, extra=()))) == brute(rows)
+    assert tried[0] < 200  # of 1770 pairs, most of which link
+
+
+def test_counted_sets_whose_bitmaps_differ_too_much_do_not_pair(spark):
+    kind = "digest long, sid long, n int, label long, rare int, longs array<long>"
+    sets = {1: [0] * 8, 2: [-1] + [0] * 7, 3: [7] + [0] * 7, 4: [7] + [0] * 15}
+    entries = spark.createDataFrame([(9, sid, 100, sid, 0, longs) for sid, longs in sets.items()] + [(9, 5, 100, 5, None, None)], kind)
+    pairs = ngram_join._candidates(entries, entries, 80)
+    # 64 bits or 61 are more than the 22 tokens in which sets of 100 may differ; a longer bitmap is folded; 5 is not counted
+    assert sorted(map(tuple, pairs.collect())) == [(3, 1), (4, 1), (4, 3), (5, 1), (5, 2), (5, 3), (5, 4)]
